@@ -1,15 +1,13 @@
-"""Rounding for display and tail probabilities, as Column expressions.
+"""Rounding for display and tail probabilities.
 
 Spark has no ``erf``, ``lgamma`` or incomplete gamma/beta, so they are built
-here from fixed-length or argument-bounded folds. They are only ever applied to
-small result tables (one row per test), except ``ln_gamma`` and its derivatives,
-which are closed forms without a fold.
+here from series and continued fractions whose length depends on the degrees of
+freedom. They are applied to small result tables, one row per test. Special
+functions take and return SQL text, which keeps large expressions cheap to build.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,113 +28,87 @@ def signif(c, digits: int = 3) -> Column:
     )
 
 
-_SHIFT = 10
-
+HALF_LOG_2PI = 0.9189385332046727
 
-def _shifted(x: Column) -> Column:
-    return x + float(_SHIFT)
 
-
-def ln_gamma(x: Column) -> Column:
-    """log Gamma for x > 0: Stirling's series after shifting the argument up."""
-    y = _shifted(x)
-    z = 1.0 / (y * y)
-    series = (1 / 12 - z * (1 / 360 - z * (1 / 1260 - z * (1 / 1680 - z * (1 / 1188))))) / y
-    stirling = (y - 0.5) * F.ln(y) - y + 0.5 * math.log(2 * math.pi) + series
-    product = x
-    for j in range(1, _SHIFT):
-        product = product * (x + float(j))
-    return stirling - F.ln(product)
+def ln_gamma_large(x: str) -> str:
+    """Stirling's series for log Gamma, for x of 10 or more."""
+    return (
+        f"((({x}) - 0.5D) * ln({x}) - ({x}) + {HALF_LOG_2PI}D + (1D/12 - (1D/360 - (1D/1260 - (1D/1680 - 1D/1188/(({x})*({x})))"
+        f" /(({x})*({x}))) /(({x})*({x}))) /(({x})*({x}))) / ({x}))"
+    )
 
 
-def digamma(x: Column) -> Column:
-    y = _shifted(x)
-    z = 1.0 / (y * y)
-    tail = z * (1 / 12 - z * (1 / 120 - z * (1 / 252 - z * (1 / 240 - z * (1 / 132)))))
-    out = F.ln(y) - 0.5 / y - tail
-    for j in range(_SHIFT):
-        out = out - 1.0 / (x + float(j))
-    return out
+def digamma_large(x: str) -> str:
+    """Asymptotic series for the derivative of log Gamma, for x of 10 or more."""
+    return (
+        f"(ln({x}) - 0.5D/({x}) - (1D/12 - (1D/120 - (1D/252 - (1D/240 - 1D/132/(({x})*({x})))"
+        f" /(({x})*({x}))) /(({x})*({x}))) /(({x})*({x}))) / (({x})*({x})))"
+    )
 
 
-def trigamma(x: Column) -> Column:
-    y = _shifted(x)
-    z = 1.0 / (y * y)
-    out = 1.0 / y + 0.5 * z + (z / y) * (1 / 6 - z * (1 / 30 - z * (1 / 42 - z * (1 / 30 - z * (5 / 66)))))
-    for j in range(_SHIFT):
-        out = out + 1.0 / ((x + float(j)) * (x + float(j)))
-    return out
+def trigamma_large(x: str) -> str:
+    """Asymptotic series for the second derivative of log Gamma, for x of 10 or more."""
+    return (
+        f"(1D/({x}) + 0.5D/(({x})*({x})) + (1D/6 - (1D/30 - (1D/42 - (1D/30 - 5D/66/(({x})*({x})))"
+        f" /(({x})*({x}))) /(({x})*({x}))) /(({x})*({x}))) / (({x})*({x})*({x})))"
+    )
 
 
-def _pair(a: Column, b: Column) -> Column:
-    return F.struct(a.cast("double").alias("a"), b.cast("double").alias("b"))
+def ln_gamma(x: str) -> str:
+    """log Gamma for x > 0: the argument is raised by 10, then divided back out."""
+    product = " * ".join(f"(({x}) + {j}D)" for j in range(10))
+    return f"({ln_gamma_large(f'({x}) + 10D')} - ln({product}))"
 
 
-def _gamma_p_series(a: Column, x: Column) -> Column:
+def _gamma_p_series(a: str, x: str) -> str:
     """Lower regularised incomplete gamma by its power series (x <= a + 1)."""
-    steps = F.sequence(F.lit(1), F.ceil(a + 12 * F.sqrt(a + 1) + 80).cast("int"))
-    total = F.aggregate(
-        steps,
-        _pair(1.0 / a, 1.0 / a),
-        lambda s, i: _pair(s["a"] * x / (a + i), s["b"] + s["a"] * x / (a + i)),
-        lambda s: s["b"],
+    steps = f"cast(ceil({a} + 12 * sqrt({a} + 1) + 80) AS int)"
+    total = (
+        f"aggregate(sequence(1, {steps}), named_struct('term', 1D / ({a}), 'sum', 1D / ({a})),"
+        f" (s, i) -> named_struct('term', s.term * ({x}) / (({a}) + i), 'sum', s.sum + s.term * ({x}) / (({a}) + i)),"
+        f" s -> s.sum)"
     )
-    return total * F.exp(a * F.ln(x) - x - ln_gamma(a))
+    return f"({total} * exp(({a}) * ln({x}) - ({x}) - {ln_gamma(a)}))"
 
 
-def _gamma_q_fraction(a: Column, x: Column) -> Column:
+def _gamma_q_fraction(a: str, x: str) -> str:
     """Upper regularised incomplete gamma by its continued fraction (x > a + 1),
     evaluated from the innermost level outwards."""
-    depth = F.ceil(60 + 6 * F.sqrt(a + 1)).cast("int")
-    inner = F.aggregate(
-        F.sequence(depth, F.lit(1), F.lit(-1)),
-        x - a + 1.0 + 2.0 * depth,
-        lambda acc, i: (x - a - 1.0 + 2.0 * i) - (i * (i - a)) / acc,
+    depth = f"cast(ceil(60 + 6 * sqrt({a} + 1)) AS int)"
+    inner = (
+        f"aggregate(sequence({depth}, 1, -1), ({x}) - ({a}) + 1D + 2D * {depth},"
+        f" (f, i) -> ({x}) - ({a}) - 1D + 2D * i - i * (i - ({a})) / f)"
     )
-    return F.exp(a * F.ln(x) - x - ln_gamma(a)) / inner
+    return f"(exp(({a}) * ln({x}) - ({x}) - {ln_gamma(a)}) / {inner})"
 
 
-def chi2_sf(stat, df) -> Column:
+def chi2_sf(stat: str, df: str) -> Column:
     """Upper tail of chi-square; NULL in gives NULL out."""
-    a = _col(df).cast("double") / 2
-    x = _col(stat).cast("double") / 2
-    tail = F.when(x <= a + 1, 1.0 - _gamma_p_series(a, x)).otherwise(_gamma_q_fraction(a, x))
-    return F.when(x.isNull() | a.isNull() | (a <= 0), F.lit(None)).when(x <= 0, F.lit(1.0)).otherwise(tail)
-
-
-def normal_two_sided(z) -> Column:
-    z = _col(z)
-    return chi2_sf(z * z, F.lit(1))
-
-
-def _beta_fraction(a: Column, b: Column, x: Column) -> Column:
-    """Regularised incomplete beta for x below its mean, by the classic
-    even/odd continued fraction folded from the innermost level outwards."""
-    depth = F.ceil(40 + 8 * F.sqrt(F.greatest(a, b))).cast("int")
-    fraction = F.aggregate(
-        F.sequence(depth, F.lit(1), F.lit(-1)),
-        F.lit(1.0),
-        lambda acc, i: 1.0
-        + (-(a + i - 1.0) * (a + b + i - 1.0) * x / ((a + 2.0 * i - 2.0) * (a + 2.0 * i - 1.0)))
-        / (1.0 + (i * (b - i) * x / ((a + 2.0 * i - 1.0) * (a + 2.0 * i))) / acc),
+    a, x = f"(cast({df} AS double) / 2)", f"(cast({stat} AS double) / 2)"
+    return F.expr(
+        f"CASE WHEN {x} IS NULL OR {a} IS NULL OR {a} <= 0 THEN NULL WHEN {x} <= 0 THEN 1D"
+        f" WHEN {x} <= {a} + 1 THEN 1D - {_gamma_p_series(a, x)} ELSE {_gamma_q_fraction(a, x)} END"
     )
-    front = F.exp(
-        ln_gamma(a + b) - ln_gamma(a) - ln_gamma(b) + a * F.ln(x) + b * F.ln(1.0 - x)
-    ) / a
-    return front / fraction
 
 
-def f_sf(stat, df1, df2) -> Column:
+def _beta_fraction(a: str, b: str, x: str) -> str:
+    """Regularised incomplete beta for x below its mean, by the classic even/odd
+    continued fraction folded from the innermost level outwards."""
+    odd = f"(-(({a}) + i - 1D) * (({a}) + ({b}) + i - 1D) * ({x}) / ((({a}) + 2D*i - 2D) * (({a}) + 2D*i - 1D)))"
+    even = f"(i * (({b}) - i) * ({x}) / ((({a}) + 2D*i - 1D) * (({a}) + 2D*i)))"
+    depth = f"cast(ceil(40 + 8 * sqrt(greatest({a}, {b}))) AS int)"
+    fraction = f"aggregate(sequence({depth}, 1, -1), 1D, (f, i) -> 1D + {odd} / (1D + {even} / f))"
+    front = f"exp({ln_gamma(f'({a}) + ({b})')} - {ln_gamma(a)} - {ln_gamma(b)} + ({a}) * ln({x}) + ({b}) * ln(1D - ({x})))"
+    return f"({front} / ({a}) / {fraction})"
+
+
+def f_sf(stat: str, df1: str, df2: str) -> Column:
     """Upper tail of the F distribution."""
-    f = _col(stat).cast("double")
-    a = _col(df2).cast("double") / 2
-    b = _col(df1).cast("double") / 2
-    x = a / (a + b * f)
-    tail = F.when(x < (a + 1) / (a + b + 2), _beta_fraction(a, b, x)).otherwise(
-        1.0 - _beta_fraction(b, a, 1.0 - x)
-    )
-    return (
-        F.when(f.isNull() | a.isNull() | b.isNull() | (a <= 0) | (b <= 0), F.lit(None))
-        .when(f <= 0, F.lit(1.0))
-        .otherwise(tail)
+    f, a, b = f"(cast({stat} AS double))", f"(cast({df2} AS double) / 2)", f"(cast({df1} AS double) / 2)"
+    x, y = f"({a} / ({a} + {b} * {f}))", f"({b} * {f} / ({a} + {b} * {f}))"
+    return F.expr(
+        f"CASE WHEN {f} IS NULL OR {a} IS NULL OR {b} IS NULL OR {a} <= 0 OR {b} <= 0 THEN NULL WHEN {f} <= 0 THEN 1D"
+        f" WHEN {x} < ({a} + 1) / ({a} + {b} + 2) THEN {_beta_fraction(a, b, x)}"
+        f" ELSE 1D - {_beta_fraction(b, a, y)} END"
     )

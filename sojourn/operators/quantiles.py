@@ -28,7 +28,7 @@ def exact_quantiles(counts: DataFrame, by, probs: dict[str, float], value: str =
     ``F.percentile`` in an ordinary aggregate is the better choice.
     """
     by = list(by)
-    ranked = running_totals(counts, value, {"upto": F.col("n")}, by=by, blocks=BLOCKS)
+    ranked = running_totals(counts, value, {"upto": "n"}, by=by, blocks=BLOCKS)
     sizes = counts.groupBy(*by).agg(F.sum("n").alias("size"))
     ranked = ranked.join(F.broadcast(sizes), by) if by else ranked.withColumn("size", sizes.scalar())
     aggs, outs = [], []

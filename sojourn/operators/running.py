@@ -9,27 +9,27 @@ totals are accumulated in one place. No task then holds more than about
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 BLOCKS = 256
 
 
-def _window(by, order, descending: bool):
-    position = F.col(order).desc() if descending else F.col(order).asc()
-    return Window.partitionBy(*by).orderBy(position).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+def _over(expr: str, by, order: str, descending: bool, frame: str = "CURRENT ROW"):
+    groups = f"PARTITION BY {', '.join(by)} " if by else ""
+    way = "DESC" if descending else "ASC"
+    return F.expr(f"sum({expr}) OVER ({groups}ORDER BY {order} {way} ROWS BETWEEN UNBOUNDED PRECEDING AND {frame})")
 
 
 def running_totals(
     df: DataFrame,
     order: str,
-    totals: dict[str, Column],
+    totals: dict[str, str],
     by=(),
     descending: bool = False,
     blocks: int | None = None,
 ) -> DataFrame:
-    """Add inclusive running sums, one per entry of ``totals``.
+    """Add inclusive running sums, one per entry of ``totals`` (name: SQL expression).
 
     ``df`` has one row per (by, order). ``blocks`` selects the block form, which is for
     a handful of groups (variables, strata): its per-group bounds and block totals are
@@ -37,28 +37,23 @@ def running_totals(
     """
     by = list(by)
     if not blocks:
-        w = _window(by, order, descending)
-        return df.withColumns({name: F.sum(expr).over(w) for name, expr in totals.items()})
+        return df.withColumns({name: _over(expr, by, order, descending) for name, expr in totals.items()})
 
     groups = by or ["__all"]
     if not by:
         df = df.withColumn("__all", F.lit(0))
-    df = df.withColumns({f"__v_{name}": expr for name, expr in totals.items()})
+    df = df.withColumns({f"__v_{name}": F.expr(expr) for name, expr in totals.items()})
     cuts = [i / blocks for i in range(1, blocks)]
     bounds = df.groupBy(*groups).agg(F.percentile_approx(order, cuts, 10 * blocks).alias("__bounds"))
     placed = df.join(F.broadcast(bounds), groups).withColumn(
-        "__block",
-        F.size(F.filter("__bounds", lambda b: b < F.col(order))),
+        "__block", F.expr(f"size(filter(__bounds, b -> b < {order}))")
     ).drop("__bounds")
     per_block = placed.groupBy(*groups, "__block").agg(*[F.sum(f"__v_{n}").alias(f"__t_{n}") for n in totals])
-    before = Window.partitionBy(*groups).orderBy(
-        F.col("__block").desc() if descending else F.col("__block").asc()
-    ).rowsBetween(Window.unboundedPreceding, -1)
     starts = per_block.select(
-        *groups, "__block", *[F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__s_{n}") for n in totals]
+        *groups, "__block",
+        *[F.coalesce(_over(f"__t_{n}", groups, "__block", descending, "1 PRECEDING"), F.lit(0)).alias(f"__s_{n}") for n in totals],
     )
-    inside = _window([*groups, "__block"], order, descending)
-    out = placed.withColumns({f"__w_{n}": F.sum(f"__v_{n}").over(inside) for n in totals})
+    out = placed.withColumns({f"__w_{n}": _over(f"__v_{n}", [*groups, "__block"], order, descending) for n in totals})
     out = out.join(F.broadcast(starts), [*groups, "__block"])
     keep = [c for c in df.columns if not c.startswith("__")]
-    return out.select(*keep, *[(F.col(f"__s_{n}") + F.col(f"__w_{n}")).alias(n) for n in totals])
+    return out.select(*keep, *[F.expr(f"__s_{n} + __w_{n}").alias(n) for n in totals])

@@ -23,15 +23,15 @@ TIE = -1
 def _ranked(df: DataFrame) -> DataFrame:
     rows = df.groupBy("time", "event", "score").agg(F.sum("n").cast("double").alias("n"))
     scores = rows.select("score").distinct()
-    ranks = running_totals(scores, "score", {"rank": F.lit(1)}, blocks=BLOCKS)
+    ranks = running_totals(scores, "score", {"rank": "1L"}, blocks=BLOCKS)
     return settle(rows.join(ranks, "score").select("time", "event", "n", (F.col("rank") - 1).cast("long").alias("rank")))
 
 
-def concordance(df: DataFrame, score: Column | str = "score", weight: str | None = None) -> DataFrame:
+def concordance(df: DataFrame, score: str = "score", weight: str | None = None) -> DataFrame:
     """One row: concordant share C (tied scores count half), its standard error, and the
-    number of comparable pairs. Needs columns time and event."""
+    number of comparable pairs. Needs columns time and event; ``score`` is SQL."""
     n = F.col(weight) if weight else F.lit(1)
-    value = F.col(score) if isinstance(score, str) else score
+    value = F.expr(score)
     # Equal predictors can differ in the last bits after a sum in another order.
     base = df.select("time", F.col("event").cast("int").alias("event"), F.round(value, 10).alias("score"), n.alias("n"))
     rows = _ranked(base.filter("time IS NOT NULL AND event IS NOT NULL AND score IS NOT NULL"))

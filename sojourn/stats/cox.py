@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sojourn.functions.numbers import digamma, ln_gamma, trigamma
+from sojourn.functions.numbers import chi2_sf, digamma_large, ln_gamma_large, trigamma_large
 from sojourn.operators.running import running_totals
 from sojourn.operators.work import settle
 from sojourn.stats.km import Z95
@@ -65,88 +65,76 @@ def design(df: DataFrame, terms, keep=("time", "event")) -> tuple[DataFrame, lis
     return usable.select(*keep, *[e.alias(f"x{i}") for i, e in enumerate(exprs)]), names, owners
 
 
-def _efron(s0: Column, e0: Column, d: Column, fold_limit: int = FOLD_LIMIT) -> Column:
-    """Sums over l = 0..d-1 with f = l/d and a = s0 - f*e0: of ln a, 1/a, f/a, 1/a², f/a², f²/a²."""
-    names = ("ln_a", "i1", "if1", "i2", "if2", "iff2")
+def _with_tie_sums(at_risk: DataFrame, fold_limit: int) -> DataFrame:
+    """Add sums over l = 0..d-1 with f = l/d and a = s0 - f*e0: of ln a (``ln_a``), 1/a
+    (``i1``), f/a (``if1``), 1/a^2 (``i2``), f/a^2 (``if2``) and f^2/a^2 (``iff2``).
 
-    def pack(values) -> Column:
-        return F.struct(*[v.cast("double").alias(n) for n, v in zip(names, values)])
-
-    def add(acc: Column, l: Column) -> Column:
-        f = l / d
-        a = s0 - f * e0
-        steps = (F.ln(a), 1 / a, f / a, 1 / (a * a), f / (a * a), f * f / (a * a))
-        return pack([acc[n] + v for n, v in zip(names, steps)])
-
-    folded = F.aggregate(F.sequence(F.lit(0), F.least(d, F.lit(fold_limit + 1)).cast("int") - 1), pack([F.lit(0.0)] * 6), add)
-    q = e0 / d
-    z = s0 / q
-    h1 = digamma(z + 1) - digamma(z - d + 1)
-    h2 = trigamma(z - d + 1) - trigamma(z + 1)
-    closed = pack([
-        d * F.ln(q) + ln_gamma(z + 1) - ln_gamma(z - d + 1),
-        h1 / q,
-        (z * h1 - d) / (d * q),
-        h2 / (q * q),
-        (z * h2 - h1) / (d * q * q),
-        (z * z * h2 - 2 * z * h1 + d) / (d * d * q * q),
-    ])
-    return F.when(d <= fold_limit, folded).otherwise(closed)
+    Writing a = q (z - l) with q = e0/d and z = s0/q, all are differences of log Gamma
+    and its derivatives. Those cover the first m terms; the last few, where z - l can be
+    small, are added up one by one. Up to ``fold_limit`` tied events m is 0.
+    """
+    staged = at_risk.selectExpr(
+        "*", "e0 / d AS q", "s0 * d / e0 AS z", f"CASE WHEN d > {fold_limit} THEN d - 10 ELSE 0D END AS m"
+    ).selectExpr(
+        "*",
+        f"CASE WHEN m > 0 THEN {ln_gamma_large('z + 1')} - {ln_gamma_large('z - m + 1')} ELSE 0D END AS h0",
+        f"CASE WHEN m > 0 THEN {digamma_large('z + 1')} - {digamma_large('z - m + 1')} ELSE 0D END AS h1",
+        f"CASE WHEN m > 0 THEN {trigamma_large('z - m + 1')} - {trigamma_large('z + 1')} ELSE 0D END AS h2",
+    )
+    start = (
+        "named_struct('ln_a', m * ln(q) + h0, 'i1', h1 / q, 'if1', (z*h1 - m) / (d*q), 'i2', h2 / (q*q),"
+        " 'if2', (z*h2 - h1) / (d*q*q), 'iff2', (z*z*h2 - 2*z*h1 + m) / (d*d*q*q))"
+    )
+    a = "(s0 - l / d * e0)"
+    add = (
+        f"named_struct('ln_a', k.ln_a + ln{a}, 'i1', k.i1 + 1 / {a}, 'if1', k.if1 + l / d / {a}, 'i2', k.i2 + 1 / ({a}*{a}),"
+        f" 'if2', k.if2 + l / d / ({a}*{a}), 'iff2', k.iff2 + l / d * l / d / ({a}*{a}))"
+    )
+    fold = f"aggregate(sequence(cast(m AS long), cast(d AS long) - 1), {start}, (k, l) -> {add})"
+    return staged.withColumn("k", F.expr(fold))
 
 
 def _triangle(p: int):
     return [(i, j) for i in range(p) for j in range(i, p)]
 
 
-def per_time(counts: DataFrame, weight_exponent: Column, centred: list[Column], by=(), blocks: int | None = None,
+def per_time(counts: DataFrame, eta: str, centred: list[str], by=(), blocks: int | None = None,
              fold_limit: int = FOLD_LIMIT) -> DataFrame:
-    """Per event time: log-likelihood ``l``, gradient ``u{i}``, information ``v{i}_{j}``.
+    """Per event time: events ``d``, log-likelihood ``l``, gradient ``u{i}`` and
+    information ``v{i}_{j}``.
 
     ``counts`` has columns (by…, time, event, n) plus covariates; ``centred`` are the
-    covariates and ``weight_exponent`` the linear predictor as columns over it.
+    covariates and ``eta`` the linear predictor, as SQL over those columns.
     """
     by = list(by)
     p = len(centred)
     tri = _triangle(p)
-    n = F.col("n").cast("double")
-    base = counts.select(
-        *by, "time", "event", n.alias("n"), weight_exponent.alias("eta"), *[c.alias(f"z{i}") for i, c in enumerate(centred)]
-    ).withColumn("w", F.col("n") * F.exp("eta"))
-    died = F.col("event") == 1
-    w, events_n = F.col("w"), F.when(died, F.col("n")).otherwise(0.0)
-    wd = F.when(died, w).otherwise(0.0)
-    aggs = [
-        F.sum(events_n).alias("d"), F.sum(events_n * F.col("eta")).alias("eta_d"),
-        F.sum(w).alias("r0"), F.sum(wd).alias("e0"),
-    ]
+    base = counts.selectExpr(
+        *by, "time", "CASE WHEN event = 1 THEN cast(n AS double) ELSE 0D END AS nd", f"{eta} AS eta",
+        f"n * exp({eta}) AS w", f"CASE WHEN event = 1 THEN n * exp({eta}) ELSE 0D END AS wd",
+        *[f"{c} AS z{i}" for i, c in enumerate(centred)],
+    )
+    aggs = {"d": "nd", "eta_d": "nd * eta", "r0": "w", "e0": "wd"}
     for i in range(p):
-        z = F.col(f"z{i}")
-        aggs += [F.sum(events_n * z).alias(f"x{i}"), F.sum(w * z).alias(f"r1_{i}"), F.sum(wd * z).alias(f"e1_{i}")]
+        aggs.update({f"x{i}": f"nd * z{i}", f"r1_{i}": f"w * z{i}", f"e1_{i}": f"wd * z{i}"})
     for i, j in tri:
-        zz = F.col(f"z{i}") * F.col(f"z{j}")
-        aggs += [F.sum(w * zz).alias(f"r2_{i}_{j}"), F.sum(wd * zz).alias(f"e2_{i}_{j}")]
-    sums = base.groupBy(*by, "time").agg(*aggs)
-    totals = {"s0": F.col("r0")}
-    totals.update({f"s1_{i}": F.col(f"r1_{i}") for i in range(p)})
-    totals.update({f"s2_{i}_{j}": F.col(f"r2_{i}_{j}") for i, j in tri})
+        aggs.update({f"r2_{i}_{j}": f"w * z{i} * z{j}", f"e2_{i}_{j}": f"wd * z{i} * z{j}"})
+    sums = base.groupBy(*by, "time").agg(*[F.expr(f"sum({e}) AS {name}") for name, e in aggs.items()])
+    totals = {"s0": "r0", **{f"s1_{i}": f"r1_{i}" for i in range(p)}, **{f"s2_{i}_{j}": f"r2_{i}_{j}" for i, j in tri}}
     at_risk = running_totals(sums, "time", totals, by=by, descending=True, blocks=blocks).filter("d > 0")
-    at_risk = at_risk.withColumn("k", _efron(F.col("s0"), F.col("e0"), F.col("d"), fold_limit))
-    k = {n_: F.col(f"k.{n_}") for n_ in ("ln_a", "i1", "if1", "i2", "if2", "iff2")}
-    out = [F.col("d"), (F.col("eta_d") - k["ln_a"]).alias("l")]
-    for i in range(p):
-        out.append((F.col(f"x{i}") - F.col(f"s1_{i}") * k["i1"] + F.col(f"e1_{i}") * k["if1"]).alias(f"u{i}"))
-    for i, j in tri:
-        si, sj, ei, ej = F.col(f"s1_{i}"), F.col(f"s1_{j}"), F.col(f"e1_{i}"), F.col(f"e1_{j}")
-        second = F.col(f"s2_{i}_{j}") * k["i1"] - F.col(f"e2_{i}_{j}") * k["if1"]
-        means = si * sj * k["i2"] - (si * ej + ei * sj) * k["if2"] + ei * ej * k["iff2"]
-        out.append((second - means).alias(f"v{i}_{j}"))
-    return at_risk.select(*by, "time", *out)
+    out = ["d", "eta_d - k.ln_a AS l"]
+    out += [f"x{i} - s1_{i} * k.i1 + e1_{i} * k.if1 AS u{i}" for i in range(p)]
+    out += [
+        f"s2_{i}_{j} * k.i1 - e2_{i}_{j} * k.if1 - s1_{i} * s1_{j} * k.i2"
+        f" + (s1_{i} * e1_{j} + e1_{i} * s1_{j}) * k.if2 - e1_{i} * e1_{j} * k.iff2 AS v{i}_{j}"
+        for i, j in tri
+    ]
+    return _with_tie_sums(at_risk, fold_limit).selectExpr(*by, "time", *out)
 
 
-def _total(p: int, weight: str | None = None, tag: str = "") -> list[Column]:
-    w = F.col(weight) if weight else F.lit(1.0)
-    out = [F.sum(w * F.col(f"u{i}")).alias(f"{tag}u{i}") for i in range(p)]
-    return out + [F.sum(w * F.col(f"v{i}_{j}")).alias(f"{tag}v{i}_{j}") for i, j in _triangle(p)]
+def _total(p: int, weight: str = "1D", tag: str = "") -> list[Column]:
+    names = [f"u{i}" for i in range(p)] + [f"v{i}_{j}" for i, j in _triangle(p)]
+    return [F.expr(f"sum({weight} * {n}) AS {tag}{n}") for n in names]
 
 
 def _vector(row, p: int, tag: str = "") -> np.ndarray:
@@ -160,6 +148,18 @@ def _matrix(row, p: int, tag: str = "") -> np.ndarray:
     return out
 
 
+def _number(x: float) -> str:
+    return f"({float(x)!r}D)" if math.isfinite(x) else f"double('{float(x)!r}')"
+
+
+def _centred(centre) -> list[str]:
+    return [f"(x{i} - {_number(c)})" for i, c in enumerate(centre)]
+
+
+def _predictor(beta, centred) -> str:
+    return "(" + " + ".join(f"{_number(b)} * {c}" for b, c in zip(beta, centred)) + ")"
+
+
 def _step(information: np.ndarray, gradient: np.ndarray) -> np.ndarray:
     try:
         return np.linalg.solve(information, gradient)
@@ -254,12 +254,12 @@ class CoxFit:
         """With the number of persons, not of events, in the penalty."""
         return -2 * self.loglik + math.log(self.n) * len(self.beta)
 
-    def predictor(self) -> Column:
-        """Linear predictor over the x columns, centred."""
-        eta = F.lit(0.0)
-        for i, b in enumerate(self.beta):
-            eta = eta + float(b) * (F.col(f"x{i}") - float(self.centre[i]))
-        return eta
+    def centred(self) -> list[str]:
+        return _centred(self.centre)
+
+    def predictor(self) -> str:
+        """Linear predictor over the x columns, centred, as SQL."""
+        return _predictor(self.beta, self.centred())
 
     def tidy(self) -> DataFrame:
         """Hazard ratio with confidence limits per coefficient; standard error and
@@ -270,8 +270,6 @@ class CoxFit:
 
     def glance(self) -> DataFrame:
         """Sizes, log-likelihoods, the three model tests, AIC and BIC."""
-        from sojourn.functions.numbers import chi2_sf
-
         k = len(self.beta)
         row = (self.n, self.events, self.loglik_null, self.loglik, self.lr, k, self.wald, k, self.score, k, self.aic, self.bic)
         df = self.spark.createDataFrame(
@@ -296,13 +294,10 @@ def cox_fit(df: DataFrame, terms, blocks: int | None = None) -> CoxFit:
     if not head["n"] or not head["d"]:
         raise ValueError("no events among complete cases")
     centre = np.array([head[x] for x in xs])
-    centred = [F.col(x) - float(c) for x, c in zip(xs, centre)]
+    centred = _centred(centre)
     newton = _Newton(p)
     while not newton.done:
-        eta = F.lit(0.0)
-        for b, c in zip(newton.trial, centred):
-            eta = eta + float(b) * c
-        row = per_time(counts, eta, centred, blocks=blocks).agg(F.sum("l").alias("l"), *_total(p)).first()
+        row = per_time(counts, _predictor(newton.trial, centred), centred, blocks=blocks).agg(F.sum("l").alias("l"), *_total(p)).first()
         newton.update(row["l"], _vector(row, p), _matrix(row, p))
     return CoxFit(
         df.sparkSession, list(terms), names, owners, centre, newton.beta, _invert(newton.information), newton.information,
@@ -317,7 +312,7 @@ def null_tests(df: DataFrame, terms, blocks: int | None = None) -> DataFrame:
     if len(names) != 1:
         raise ValueError("one coefficient expected")
     counts = table.groupBy("time", "event", "x0").agg(F.count("*").alias("n"))
-    total = per_time(counts, F.lit(0.0), [F.col("x0")], blocks=blocks).agg(F.sum("l").alias("loglik_null"), *_total(1))
+    total = per_time(counts, "0D", ["x0"], blocks=blocks).agg(F.sum("l").alias("loglik_null"), *_total(1))
     return total.select(
         F.lit(names[0]).alias("term"), "loglik_null",
         F.when(F.col("v0_0") > 0, F.col("u0") * F.col("u0") / F.col("v0_0")).alias("score_chisq"),
@@ -349,16 +344,15 @@ def cox_sweep(df: DataFrame, terms, blocks: int | None = None) -> DataFrame:
         (F.sum(n * F.col("x")) / F.sum(n)).alias("m")).collect()}
     fits = {v: _Newton(1) for v in names if v in heads and heads[v]["d"]}
 
-    def by_var(values: dict) -> Column:
-        pairs = [F.lit(x) for v, b in values.items() for x in (v, float(b))]
-        return F.element_at(F.create_map(*pairs), F.col("var"))
+    def by_var(values: dict) -> str:
+        return "(CASE var " + " ".join(f"WHEN '{v}' THEN {_number(b)}" for v, b in values.items()) + " END)"
 
     while any(not f.done for f in fits.values()):
         moving = {v: f for v, f in fits.items() if not f.done}
         live = counts.filter(F.col("var").isin(*moving))
-        live = live.withColumn("z", F.col("x") - by_var({v: heads[v]["m"] for v in moving}))
-        eta = F.col("z") * by_var({v: f.trial[0] for v, f in moving.items()})
-        rows = per_time(live, eta, [F.col("z")], by=["var"], blocks=blocks).groupBy("var").agg(
+        z = f"(x - {by_var({v: heads[v]['m'] for v in moving})})"
+        eta = f"{z} * {by_var({v: f.trial[0] for v, f in moving.items()})}"
+        rows = per_time(live, eta, [z], by=["var"], blocks=blocks).groupBy("var").agg(
             F.sum("l").alias("l"), *_total(1)).collect()
         for row in rows:
             moving[row["var"]].update(row["l"], _vector(row, 1), _matrix(row, 1))

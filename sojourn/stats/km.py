@@ -30,21 +30,19 @@ def kaplan_meier(df: DataFrame, strata=(), z: float = Z95, blocks: int | None =
     incidence, and cumulative hazard both as -log S and as the Nelson-Aalen sum."""
     strata = list(strata)
     at_risk = running_totals(
-        event_counts(df, strata), "time", {"n_risk": F.col("n_leave")}, by=strata, descending=True, blocks=blocks
+        event_counts(df, strata), "time", {"n_risk": "n_leave"}, by=strata, descending=True, blocks=blocks
     )
-    d, n = F.col("n_event"), F.col("n_risk")
-    survivors = d < n
     run = running_totals(at_risk, "time", {
-        "__log_s": F.when(survivors, F.log1p(-d / n)).otherwise(0.0),
-        "__ended": F.when(survivors, 0).otherwise(1),
-        "__var": F.when(survivors, d / (n * (n - d))).otherwise(0.0),
-        "hazard_na": d / n,
+        "__log_s": "CASE WHEN n_event < n_risk THEN log1p(-n_event / n_risk) ELSE 0D END",
+        "__ended": "CASE WHEN n_event < n_risk THEN 0 ELSE 1 END",
+        "__var": "CASE WHEN n_event < n_risk THEN n_event / (cast(n_risk AS double) * (n_risk - n_event)) ELSE 0D END",
+        "hazard_na": "n_event / n_risk",
     }, by=strata, blocks=blocks)
     log_s, spread = F.col("__log_s"), z * F.sqrt("__var")
     alive = F.col("__ended") == 0
     surv = F.when(alive, F.exp(log_s)).otherwise(0.0)
     return run.select(
-        *strata, "time", "n_risk", "n_event", (F.col("n_leave") - d).alias("n_censor"),
+        *strata, "time", "n_risk", "n_event", (F.col("n_leave") - F.col("n_event")).alias("n_censor"),
         surv.alias("surv"),
         F.when(alive, F.exp(log_s) * F.sqrt("__var")).alias("std_err"),
         F.when(alive, F.exp(log_s - spread)).alias("lower"),

@@ -22,7 +22,7 @@ def _per_time(df: DataFrame, group: str, levels, blocks: int | None) -> DataFram
         aggs += [F.count_if(here).alias(f"c{i}"), F.count_if(here & (F.col("event") == 1)).alias(f"d{i}")]
     per_time = running_totals(
         known.groupBy("time").agg(*aggs), "time",
-        {f"n{i}": F.col(f"c{i}") for i in range(len(levels))}, descending=True, blocks=blocks,
+        {f"n{i}": f"c{i}" for i in range(len(levels))}, descending=True, blocks=blocks,
     )
     return per_time.withColumns({
         "d": sum((F.col(f"d{i}") for i in range(len(levels))), F.lit(0)),

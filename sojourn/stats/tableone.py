@@ -105,7 +105,7 @@ def kruskal(df: DataFrame, names, group: str, groups) -> DataFrame:
     by_value = long.groupBy("variable", "value").agg(
         *[F.count_if(F.col("__g") == g).alias(f"n{i}") for i, g in enumerate(groups)]
     ).withColumn("n", _sum_of([F.col(f"n{i}") for i in ks]))
-    ranked = running_totals(by_value, "value", {"upto": F.col("n")}, by=["variable"], blocks=BLOCKS)
+    ranked = running_totals(by_value, "value", {"upto": "n"}, by=["variable"], blocks=BLOCKS)
     n = F.col("n").cast("double")
     mid = F.col("upto") - (n - 1) / 2
     sums = ranked.groupBy("variable").agg(
@@ -199,18 +199,15 @@ def fisher(df: DataFrame, names, group: str, groups) -> DataFrame:
     reach = 45 * sd + 64
     lo = F.greatest(F.lit(0.0), F.col("r") + F.col("c0") - F.col("n"), F.floor(mean - reach).cast("double"))
     hi = F.least(F.col("r"), F.col("c0"), F.ceil(mean + reach).cast("double"))
-    lg = lambda c: ln_gamma(c + 1.0)
-    fixed = lg(F.col("r")) + lg(F.col("n") - F.col("r")) + lg(F.col("c0")) + lg(F.col("c1")) - lg(F.col("n"))
-    table = table.withColumns({"lo": lo.cast("long"), "hi": hi.cast("long"), "fixed": fixed})
+    fixed = " + ".join(ln_gamma(f"{c} + 1D") for c in ("r", "n - r", "c0", "c1")) + f" - {ln_gamma('n + 1D')}"
+    table = table.withColumns({"lo": lo.cast("long"), "hi": hi.cast("long"), "fixed": F.expr(fixed)})
 
-    def log_p(x: Column) -> Column:
-        return F.col("fixed") - lg(x) - lg(F.col("r") - x) - lg(F.col("c0") - x) - lg(F.col("n") - F.col("r") - F.col("c0") + x)
+    def log_p(x: str) -> str:
+        return "(fixed - " + " - ".join(ln_gamma(f"{c} + 1D") for c in (x, f"r - {x}", f"c0 - {x}", f"n - r - c0 + {x}")) + ")"
 
-    table = table.withColumn("seen", log_p(F.col("x")))
-    p = F.aggregate(
-        F.sequence("lo", "hi"), F.lit(0.0),
-        lambda acc, x: acc + F.when(log_p(x.cast("double")) <= F.col("seen") + F.log1p(F.lit(1e-7)), F.exp(log_p(x.cast("double")))).otherwise(0.0),
-    )
+    table = table.withColumn("seen", F.expr(log_p("x")))
+    each = f"transform(sequence(lo, hi), i -> {log_p('cast(i AS double)')})"
+    p = F.expr(f"aggregate({each}, 0D, (acc, v) -> acc + CASE WHEN v <= seen + 1e-7D THEN exp(v) ELSE 0D END)")
     return table.select(
         "variable", F.lit("fisher").alias("test"), F.lit(None).cast("double").alias("statistic"),
         F.lit(None).cast("int").alias("df1"), F.least(F.lit(1.0), p).alias("p"),

@@ -17,21 +17,19 @@ def _transform(counts: DataFrame, blocks: int | None) -> DataFrame:
     by_time = counts.groupBy("time").agg(
         F.sum("n").alias("leave"), F.sum(F.when(F.col("event") == 1, F.col("n")).otherwise(0)).alias("d")
     )
-    risk = running_totals(by_time, "time", {"n_risk": F.col("leave")}, descending=True, blocks=blocks)
-    d, n = F.col("d"), F.col("n_risk")
-    own = F.when(d < n, F.log1p(-d / n)).otherwise(0.0)
+    risk = running_totals(by_time, "time", {"n_risk": "leave"}, descending=True, blocks=blocks)
+    own = "CASE WHEN d < n_risk THEN log1p(-d / n_risk) ELSE 0D END"
     run = running_totals(risk, "time", {"log_s": own}, blocks=blocks)
     # The last time can end the curve; just before it every factor is positive.
-    return run.select("time", (1.0 - F.exp(F.col("log_s") - own)).alias("g"))
+    return run.select("time", F.expr(f"1D - exp(log_s - {own})").alias("g"))
 
 
 def ph_test(fit: CoxFit, blocks: int | None = None) -> DataFrame:
     """Chi-square, degrees of freedom and p per term, and GLOBAL."""
     p = len(fit.beta)
-    centred = [F.col(f"x{i}") - float(c) for i, c in enumerate(fit.centre)]
-    at = per_time(fit.counts, fit.predictor(), centred, blocks=blocks)
-    at = at.join(_transform(fit.counts, blocks), "time").withColumn("g2", F.col("g") * F.col("g"))
-    row = at.agg(*_total(p), *_total(p, "g", "g_"), *_total(p, "g2", "gg_")).first()
+    at = per_time(fit.counts, fit.predictor(), fit.centred(), blocks=blocks)
+    at = at.join(_transform(fit.counts, blocks), "time")
+    row = at.agg(*_total(p), *_total(p, "g", "g_"), *_total(p, "g * g", "gg_")).first()
     u, b, c = _vector(row, p, "g_"), _matrix(row, p, "g_"), _matrix(row, p, "gg_")
     u = u - b @ _invert(_matrix(row, p)) @ _vector(row, p)
     schur = c - b @ _invert(_matrix(row, p)) @ b
