@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sojourn.config import GROUPS, SEX_LABELS, StudyConfig
@@ -40,6 +40,12 @@ def scaled(persons: DataFrame) -> DataFrame:
     )
 
 
+def long_stay(cfg: StudyConfig) -> Column:
+    """Long or short stay, NULL when the length is unknown."""
+    days = cfg.long_stay_days
+    return if_else(F.col("los") >= days, F.lit(f">={days}d"), F.lit(f"<{days}d"))
+
+
 def los_bins(persons: DataFrame, cfg: StudyConfig) -> DataFrame:
     """Length of stay as quartile (right-closed), as long/short, and as top quartile.
 
@@ -47,13 +53,13 @@ def los_bins(persons: DataFrame, cfg: StudyConfig) -> DataFrame:
     """
     counts = collapse(persons.select(F.col("los").alias("value")), [])
     probs = {"q0": 0.0, "q1": 0.25, "q2": 0.5, "q3": 0.75, "q4": 1.0}
-    breaks = exact_quantiles(counts, [], probs).select(F.array(*probs)).scalar()
+    breaks = exact_quantiles(counts, [], probs, blocks=None).select(F.array(*probs)).scalar()
     los = F.col("los")
     out = persons.withColumn("__breaks", breaks)
     at = [F.element_at("__breaks", i + 1) for i in range(5)]
     return out.withColumns({
         "los_q": cut(los, at, ["Q1", "Q2", "Q3", "Q4"]),
-        "los5": if_else(los >= cfg.long_stay_days, F.lit(f">={cfg.long_stay_days}d"), F.lit(f"<{cfg.long_stay_days}d")),
+        "los5": long_stay(cfg),
         "los_q4": if_else(los >= at[3], F.lit("Q4 (High)"), F.lit("Q1-3 (Low)")),
     }).drop("__breaks")
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sojourn.operators.running import BLOCKS, running_totals
 
@@ -21,16 +22,22 @@ def collapse(df: DataFrame, by, value: str = "value") -> DataFrame:
     )
 
 
-def exact_quantiles(counts: DataFrame, by, probs: dict[str, float], value: str = "value") -> DataFrame:
+def exact_quantiles(
+    counts: DataFrame, by, probs: dict[str, float], value: str = "value", blocks: int | None = BLOCKS
+) -> DataFrame:
     """One row per group with a column for each named probability.
 
     For a handful of groups (variables, strata). With many small groups
-    ``F.percentile`` in an ordinary aggregate is the better choice.
+    ``F.percentile`` in an ordinary aggregate is the better choice. Pass
+    ``blocks=None`` when the number of distinct values is bounded, as for days.
     """
     by = list(by)
-    ranked = running_totals(counts, value, {"upto": "n"}, by=by, blocks=BLOCKS)
-    sizes = counts.groupBy(*by).agg(F.sum("n").alias("size"))
-    ranked = ranked.join(F.broadcast(sizes), by) if by else ranked.withColumn("size", sizes.scalar())
+    ranked = running_totals(counts, value, {"upto": "n"}, by=by, blocks=blocks)
+    if not blocks:
+        ranked = ranked.withColumn("size", F.sum("n").over(Window.partitionBy(*by)))
+    else:
+        sizes = counts.groupBy(*by).agg(F.sum("n").alias("size"))
+        ranked = ranked.join(F.broadcast(sizes), by) if by else ranked.withColumn("size", sizes.scalar())
     aggs, outs = [], []
     for name, p in probs.items():
         h = (F.col("size") - 1) * F.lit(float(p))
@@ -43,7 +50,7 @@ def exact_quantiles(counts: DataFrame, by, probs: dict[str, float], value: str =
     return ranked.groupBy(*by).agg(*aggs).select(*by, *outs)
 
 
-def quantile(df: DataFrame, column: str, p: float) -> DataFrame:
+def quantile(df: DataFrame, column: str, p: float, blocks: int | None = BLOCKS) -> DataFrame:
     """One-row, one-column table with a quantile; use ``.scalar()`` to refer to it."""
     counts = collapse(df.select(F.col(column).alias("value")), [])
-    return exact_quantiles(counts, [], {"q": p})
+    return exact_quantiles(counts, [], {"q": p}, blocks=blocks)

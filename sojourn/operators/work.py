@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,9 +23,12 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Materialise a table reliably, so that later passes read it instead of
-    recomputing it and survive the loss of executors."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """Write a table to the shared folder and read it back, so that later passes scan
+    it instead of recomputing it and survive the loss of executors.
+
+    For person-sized and smaller tables that several results or iterations use. The
+    files stay until the folder's owner removes them, like Spark's own checkpoints.
+    """
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/sojourn-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sojourn import cohort, features, lookback, outcome, tte
 from sojourn.config import COMORBIDITIES
+from sojourn.operators.work import settle
 from sojourn.plans import study
 from sojourn.queries.reference_sql import CLAIMS, COHORT, END, HX, KEYS, PHENOTYPE, START, r
 from sojourn.queries.registry import query, rounded
@@ -254,7 +255,7 @@ SELECT subject_id, {r('age10', 'age10')}, {r('outpt5', 'outpt5')},
 FROM tbl, q""")
 def covariates(spark, sf_dir):
     """Scaled and binned covariates."""
-    people = features.scaled(_measured(spark, sf_dir, lookback.lookback_counts(CONFIG)))
+    people = settle(features.scaled(_measured(spark, sf_dir, lookback.lookback_counts(CONFIG))))
     return rounded(features.los_bins(people, CONFIG).select("subject_id", "age10", "outpt5", "los_q", "los5", "los_q4"))
 
 
@@ -279,7 +280,7 @@ def horizon(spark, sf_dir):
 SELECT count(*) AS n, CAST(sum(event) AS BIGINT) AS events, {r('quantile_cont("time"::DOUBLE, 0.5)', 'median_days')},
        {r('quantile_cont("time"::DOUBLE, 0.25)', 'iqr_l')}, {r('quantile_cont("time"::DOUBLE, 0.75)', 'iqr_u')} FROM surv""")
 def followup_summary(spark, sf_dir):
-    return rounded(tte.followup_summary(horizon_table(spark, sf_dir)))
+    return rounded(tte.followup_summary(settle(horizon_table(spark, sf_dir).select("time", "event"))))
 
 
 _survival_columns = ["subject_id", "start", "end", "time", "event", "cutoff", "age_index", "age10", "sex_f", "los", "outpt5", "index_dx_group_f", *HX]

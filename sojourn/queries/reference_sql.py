@@ -155,3 +155,76 @@ def f_sf(f: str, df1: str, df2: str) -> str:
 
 def r(expr: str, name: str, digits: int = 6) -> str:
     return f"round(({expr})::DOUBLE, {digits}) + 0.0::DOUBLE AS {name}"
+
+
+# --- Cox models in SQL --------------------------------------------------------
+
+
+def _low(name: str, i: int, j: int) -> str:
+    return f"{name}{min(i, j)}_{max(i, j)}"
+
+
+def ldl(p: int, m: str, tag: str) -> list[str]:
+    """Column list factoring the symmetric matrix with entries ``m{i}_{j}`` (i <= j)."""
+    out = []
+    for j in range(p):
+        out.append(" - ".join([_low(m, j, j), *[f"{tag}l{j}_{k} * {tag}l{j}_{k} * {tag}d{k}" for k in range(j)]]) + f" AS {tag}d{j}")
+        for i in range(j + 1, p):
+            top = " - ".join([_low(m, i, j), *[f"{tag}l{i}_{k} * {tag}l{j}_{k} * {tag}d{k}" for k in range(j)]])
+            out.append(f"({top}) / {tag}d{j} AS {tag}l{i}_{j}")
+    return out
+
+
+def solve(p: int, tag: str, rhs: list[str], name: str) -> list[str]:
+    """Column list solving the factored system for one right-hand side."""
+    out = [f"{' - '.join([rhs[i], *[f'{tag}l{i}_{k} * {name}y{k}' for k in range(i)]])} AS {name}y{i}" for i in range(p)]
+    out += [
+        f"{' - '.join([f'{name}y{i} / {tag}d{i}', *[f'{tag}l{k}_{i} * {name}{k}' for k in range(i + 1, p)]])} AS {name}{i}"
+        for i in reversed(range(p))
+    ]
+    return out
+
+
+def cox_steps(columns: list[str], source: str = "surv", steps: int = 8) -> str:
+    """CTEs ending in ``fit0`` (at zero) and ``fit`` (at the estimate): log-likelihood,
+    gradient ``u``, information ``v``, inverse ``w`` and coefficients ``b``."""
+    p = len(columns)
+    ks, tri = range(p), [(i, j) for i in range(p) for j in range(i, p)]
+    xs = ", ".join(f"x{k}" for k in ks)
+    eta = "(" + " + ".join(f"b{k} * (x{k} - m{k})" for k in ks) + ")"
+    risk, dead = f"n * exp({eta})", f'(CASE WHEN g."time" = pf.t AND g.event = 1 THEN n * exp({eta}) ELSE 0 END)'
+    a0 = f"sum({risk}) - f * sum({dead})"
+    a1 = [f"sum({risk} * (x{k} - m{k})) - f * sum({dead} * (x{k} - m{k})) AS a1_{k}" for k in ks]
+    a2 = [f"sum({risk} * (x{i} - m{i}) * (x{j} - m{j})) - f * sum({dead} * (x{i} - m{i}) * (x{j} - m{j})) AS a2_{i}_{j}" for i, j in tri]
+    bs = ", ".join(f"b{k}" for k in ks)
+    pieces = (
+        f"SELECT i, {bs}, pf.t, f, d, any_value(eta_x) AS ex, {', '.join(f'any_value(sx{k}) AS sx{k}' for k in ks)}, {a0} AS a0, {', '.join(a1 + a2)}"
+        f' FROM {{it}}, (SELECT pf.*, ' + " + ".join("0" for _ in ks) + f' AS eta_x FROM pf) pf JOIN g ON g."time" >= pf.t GROUP BY i, {bs}, pf.t, f, d'
+    )
+    us = [f"sum(sx{k} / d - a1_{k} / a0) AS u{k}" for k in ks]
+    vs = [f"sum(a2_{i}_{j} / a0 - a1_{i} * a1_{j} / (a0 * a0)) AS v{i}_{j}" for i, j in tri]
+    ll = "sum((" + " + ".join(f"b{k} * sx{k}" for k in ks) + ") / d - ln(a0)) AS ll"
+    totals = f"SELECT i, {bs}, {ll}, {', '.join(us + vs)} FROM ({pieces}) GROUP BY i, {bs}"
+    newton = f"SELECT *, {', '.join(ldl(p, 'v', 'c'))}, {', '.join(solve(p, 'c', [f'u{k}' for k in ks], 'h'))} FROM ({totals})"
+    inverse = [s for k in ks for s in solve(p, "c", ["1" if a == k else "0" for a in ks], f"w{k}_")]
+    select_x = ", ".join(f"({c})::DOUBLE AS x{k}" for k, c in enumerate(columns))
+    known = " AND ".join(f"({c}) IS NOT NULL" for c in columns)
+    return f""", s AS (SELECT "time", event, {select_x} FROM {source} WHERE "time" IS NOT NULL AND {known}),
+mu AS (SELECT {', '.join(f'avg(x{k}) AS m{k}' for k in ks)} FROM s),
+g AS (SELECT "time", event, {xs}, {', '.join(f'm{k}' for k in ks)}, count(*)::DOUBLE AS n FROM s, mu GROUP BY ALL),
+ft AS (SELECT "time" AS t, CAST(sum(n) AS INT) AS d, {', '.join(f'sum(n * (x{k} - m{k})) AS sx{k}' for k in ks)} FROM g WHERE event = 1 GROUP BY 1),
+pf AS (SELECT ft.*, unnest(range(d))::DOUBLE / d AS f FROM ft),
+it(i, {bs}) AS (SELECT 0, {', '.join('0::DOUBLE' for _ in ks)} UNION ALL
+SELECT i + 1, {', '.join(f'b{k} + h{k}' for k in ks)} FROM ({newton.format(it='it')}) WHERE i < {steps}),
+ends AS (SELECT * FROM it WHERE i IN (0, {steps})),
+fits AS (SELECT *, {', '.join(inverse)} FROM ({newton.format(it='ends')})),
+fit0 AS (SELECT * FROM fits WHERE i = 0), fit AS (SELECT * FROM fits WHERE i = {steps}),
+pieces AS ({pieces.format(it='(SELECT * FROM ends WHERE i = ' + str(steps) + ')')})"""
+
+
+def hazard_columns(b: str, se: str) -> str:
+    z = "1.959963984540054"
+    return (
+        f"{r(f'exp({b})', 'estimate')}, {r(se, 'std_error')}, {r(f'{b} / {se}', 'statistic')}, {r(chi2_sf(f'({b} / {se}) ** 2', '1'), 'p_value')},"
+        f" {r(f'exp({b} - {z} * {se})', 'conf_low')}, {r(f'exp({b} + {z} * {se})', 'conf_high')}"
+    )

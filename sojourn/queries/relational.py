@@ -209,7 +209,7 @@ def conditional_functions(spark, sf_dir):
 
 @query(prelude=CLAIMS, sql=f"""
 SELECT {KEYS}, round_even(k5 / 8, 2) AS eighths, {r('k5 / 10', 'per_ten')}, {r('ln(k5)', 'log_value')},
-       {r("round((k3 / 7.0::DOUBLE) * pow(10::DOUBLE, 2 - floor(log10(k3 / 7.0::DOUBLE)))) / pow(10::DOUBLE, 2 - floor(log10(k3 / 7.0::DOUBLE)))", 'three_digits')},
+       {r("round(((k3 + 1) / 7.0::DOUBLE) * pow(10::DOUBLE, 2 - floor(log10((k3 + 1) / 7.0::DOUBLE)))) / pow(10::DOUBLE, 2 - floor(log10((k3 + 1) / 7.0::DOUBLE)))", 'three_digits')},
        printf('%.1f%%', k5 / 2) AS pct_text, dx1 || '/' || coalesce(dx2, '-') AS codes
 FROM claims""")
 def number_functions(spark, sf_dir):
@@ -219,7 +219,7 @@ def number_functions(spark, sf_dir):
         numbers.round_even(F.col("k5") / 8, 2).alias("eighths"),
         (F.col("k5") / 10).alias("per_ten"),
         F.ln("k5").alias("log_value"),
-        numbers.signif(F.col("k3") / F.lit(7.0), 3).alias("three_digits"),
+        numbers.signif((F.col("k3") + 1) / F.lit(7.0), 3).alias("three_digits"),
         F.format_string("%.1f%%", F.col("k5") / 2).alias("pct_text"),
         F.concat("dx1", F.lit("/"), F.coalesce("dx2", F.lit("-"))).alias("codes"),
     ))

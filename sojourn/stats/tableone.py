@@ -278,13 +278,16 @@ def display(df: DataFrame, continuous_vars, categorical_vars, nonnormal, exact,
             digits: int = 2, pct_digits: int = 1, p_digits: int = 3, overall: bool = False) -> DataFrame:
     """The printed table: one row per variable or level, a text column per group, then
     p, test and standardised difference. ``overall`` adds an all-persons column."""
-    f = f"%.{digits}f"
-    normal_text = F.format_string(f"{f} ({f})", "mean", "sd")
-    median_text = F.format_string(f"{f} [{f}, {f}]", "median", "q1", "q3")
+    def number(c: str, places: int) -> Column:
+        return F.when(F.col(c).isNull(), "NA").otherwise(F.format_string(f"%.{places}f", F.col(c)))
+
+    mean, sd, median, q1, q3 = (number(c, digits) for c in ("mean", "sd", "median", "q1", "q3"))
+    normal_text = F.concat(mean, F.lit(" ("), sd, F.lit(")"))
+    median_text = F.concat(median, F.lit(" ["), q1, F.lit(", "), q3, F.lit("]"))
     nonnormal = list(nonnormal)
     text = F.when(F.col("variable").isin(nonnormal), median_text).otherwise(normal_text) if nonnormal else normal_text
     text = F.when(F.col("n") == 0, F.lit("NA")).otherwise(text)
-    level_text = F.format_string(f"%d (%.{pct_digits}f)", "n", "pct")
+    level_text = F.concat(F.col("n").cast("string"), F.lit(" ("), number("pct", pct_digits), F.lit(")"))
 
     def block(part_group, part_groups):
         sizes = _grouped(df, part_group).groupBy(F.col("__g").alias("grp")).agg(F.count("*").alias("n"))
@@ -307,12 +310,11 @@ def display(df: DataFrame, continuous_vars, categorical_vars, nonnormal, exact,
     if not group:
         return wide
     stats = comparison(df, continuous_vars, categorical_vars, nonnormal, exact, group, groups)
-    pt = f"%.{p_digits}f"
+    least = "<0." + "0" * (p_digits - 1) + "1"
     stats = stats.select(
         "variable",
-        F.when(F.col("p") < 10.0 ** -p_digits, "<0." + "0" * (p_digits - 1) + "1").otherwise(F.format_string(pt, "p")).alias("p"),
+        *[F.when(F.col(c) < 10.0 ** -p_digits, least).otherwise(number(c, p_digits)).alias(c) for c in ("p", "smd")],
         F.when(F.col("test") == "kruskal", "nonnorm").when(F.col("test") == "fisher", "exact").otherwise("").alias("test"),
-        F.when(F.col("smd") < 10.0 ** -p_digits, "<0." + "0" * (p_digits - 1) + "1").otherwise(F.format_string(pt, "smd")).alias("smd"),
     )
     first = wide.groupBy("variable").agg(F.min("level").alias("level"))
     return wide.join(F.broadcast(first.join(F.broadcast(stats), "variable")), ["variable", "level"], "left")

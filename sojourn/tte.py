@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sojourn.config import StudyConfig
 from sojourn.functions.dates import days_between, years_after
 from sojourn.functions.logic import row_max, row_min
-from sojourn.operators.quantiles import collapse, exact_quantiles
+from sojourn.operators.quantiles import exact_quantiles
 
 
 def time_to_event(persons: DataFrame, cfg: StudyConfig) -> DataFrame:
@@ -34,7 +34,8 @@ def apply_horizon(tte: DataFrame, cfg: StudyConfig) -> DataFrame:
 
 def followup_summary(tte: DataFrame) -> DataFrame:
     """Persons, events, and median and quartiles of follow-up time."""
-    base = tte.agg(F.count("*").alias("n"), F.sum("event").alias("events"))
-    counts = collapse(tte.select(F.col("time").alias("value")), [])
-    spread = exact_quantiles(counts, [], {"iqr_l": 0.25, "median_days": 0.5, "iqr_u": 0.75})
-    return base.select("*", *[spread.select(c).scalar().alias(c) for c in ("median_days", "iqr_l", "iqr_u")])
+    by_time = tte.groupBy(F.col("time").alias("value")).agg(F.count("*").alias("n"), F.sum("event").alias("events"))
+    spread = exact_quantiles(by_time, [], {"iqr_l": 0.25, "median_days": 0.5, "iqr_u": 0.75}, blocks=None)
+    return by_time.agg(F.sum("n").alias("n"), F.sum("events").alias("events")).select(
+        "*", *[spread.select(c).scalar().alias(c) for c in ("median_days", "iqr_l", "iqr_u")]
+    )
