@@ -10,7 +10,7 @@ the sketch misses joins correctly, just unsalted.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SLOTS = 1024
@@ -36,24 +36,19 @@ def keyed_join(
     lookup: DataFrame,
     key: str,
     salt_by,
-    condition: Column | None = None,
     how: str = "inner",
     hot: DataFrame | None = None,
 ) -> DataFrame:
     """Join events to a table that has one row per key, splitting heavy keys.
 
-    ``salt_by`` names columns that tell a key's events apart; the salt is a hash of
-    them, so a recomputed task assigns the same salts. ``condition`` is applied
-    inside the join. ``how`` is inner or left.
+    ``salt_by`` names columns that tell a key's events apart. The salt is a hash of
+    them and the number of the input partition, which also spreads exact copies; a
+    recomputed task assigns the same salts. Filter events before the join: a filter
+    above it does not move below the salt. ``how`` is inner or left.
     """
     hot = F.broadcast(hot_keys(events, key) if hot is None else hot)
-    salt = F.pmod(F.xxhash64(*salt_by), F.col("salts"))
+    salt = F.pmod(F.xxhash64(*salt_by, F.spark_partition_id()), F.col("salts"))
     left = events.join(hot, key, "left").withColumn("__salt", F.coalesce(salt, F.lit(0)).cast("int")).drop("salts")
     spread = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts"), F.lit(1)) - 1))
     right = lookup.join(hot, key, "left").withColumn("__salt", spread).drop("salts")
-    joined = left.join(right, [key, "__salt"], how)
-    if condition is not None:
-        if how != "inner":
-            raise ValueError("a condition is only supported for inner joins")
-        joined = joined.filter(condition)
-    return joined.drop("__salt")
+    return left.join(right, [key, "__salt"], how).drop("__salt")

@@ -161,7 +161,8 @@ GROUP BY 1, 2, 3 HAVING coalesce(bool_or(dx1 = index_code OR dx2 = index_code),
 def same_dx_stays(spark, sf_dir):
     """Later stays with the index diagnosis on any claim, for every indexed person."""
     events, index = _index(spark, sf_dir)
-    return outcome.same_dx_stays(cohort.link(events, index, CONFIG), CONFIG)
+    stays = cohort.within_period(events, CONFIG).filter(cohort.inpatient(CONFIG))
+    return outcome.same_dx_stays(cohort.link(stays, index, CONFIG), CONFIG)
 
 
 @query(prelude=COHORT, sql="SELECT subject_id, last_readmit_dt, last_readmit_discharge FROM people WHERE last_readmit_dt IS NOT NULL")
@@ -218,7 +219,7 @@ FROM linked WHERE start_dt < first_admit AND start_dt >= first_admit - 180 AND s
 def lookback_claims(spark, sf_dir):
     """Look-back claims by distance to the index, for every indexed person."""
     events, index = _index(spark, sf_dir)
-    rows = lookback.lookback(cohort.link(events, index, CONFIG), CONFIG)
+    rows = lookback.lookback(cohort.link(cohort.within_period(events, CONFIG), index, CONFIG), CONFIG)
     return rows.groupBy(F.date_diff("first_admit", "start_dt").alias("days_before"), "form_cd").agg(
         F.count("*").alias("n"), F.count_distinct("subject_id").alias("n_persons")
     )

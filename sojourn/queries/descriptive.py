@@ -200,9 +200,9 @@ UNION ALL SELECT variable, level, 'readmit', printf('%d (%.1f)', n1, n1 * 100.0:
 wide AS (SELECT variable, level, max(cell) FILTER (g = 'nonreadmit') AS nonreadmit, max(cell) FILTER (g = 'readmit') AS readmit,
          level = min(level) OVER (PARTITION BY variable) AS is_first FROM shown GROUP BY 1, 2)
 SELECT w.variable, w.level, nonreadmit, readmit, {_position.replace('variable ', 'w.variable ', 1)},
-       CASE WHEN is_first THEN {_text('p')} END AS p,
+       CASE WHEN is_first AND w.variable <> 'n' THEN {_text('p')} END AS p,
        CASE WHEN is_first THEN CASE test WHEN 'kruskal' THEN 'nonnorm' WHEN 'fisher' THEN 'exact' WHEN 'anova' THEN '' WHEN 'chisq' THEN '' END END AS test,
-       CASE WHEN is_first THEN {_text('smd')} END AS smd
+       CASE WHEN is_first AND w.variable <> 'n' THEN {_text('smd')} END AS smd
 FROM wide w LEFT JOIN tests t ON t.variable = w.variable LEFT JOIN smds ON smds.variable = w.variable""")
 def table1_display(spark, sf_dir):
     """The printed comparison table."""

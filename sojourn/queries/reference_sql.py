@@ -222,9 +222,10 @@ fit0 AS (SELECT * FROM fits WHERE i = 0), fit AS (SELECT * FROM fits WHERE i = {
 pieces AS ({pieces.format(it='(SELECT * FROM ends WHERE i = ' + str(steps) + ')')})"""
 
 
-def hazard_columns(b: str, se: str) -> str:
+def hazard_columns(b: str, se: str, digits: int = 6) -> str:
     z = "1.959963984540054"
-    return (
-        f"{r(f'exp({b})', 'estimate')}, {r(se, 'std_error')}, {r(f'{b} / {se}', 'statistic')}, {r(chi2_sf(f'({b} / {se}) ** 2', '1'), 'p_value')},"
-        f" {r(f'exp({b} - {z} * {se})', 'conf_low')}, {r(f'exp({b} + {z} * {se})', 'conf_high')}"
-    )
+    parts = {
+        "estimate": f"exp({b})", "std_error": se, "statistic": f"{b} / {se}", "p_value": chi2_sf(f"({b} / {se}) ** 2", "1"),
+        "conf_low": f"exp({b} - {z} * {se})", "conf_high": f"exp({b} + {z} * {se})",
+    }
+    return ", ".join(r(e, name, digits) for name, e in parts.items())

@@ -145,23 +145,28 @@ SELECT i + 1, var, b + u / v, ll, u, v FROM (
           sum(CASE WHEN g."time" = t AND event = 1 THEN n * x * exp(b * x) ELSE 0 END) AS d1,
           sum(CASE WHEN g."time" = t AND event = 1 THEN n * x * x * exp(b * x) ELSE 0 END) AS d2
         FROM it JOIN pf ON pf.var = it.var JOIN g ON g.var = pf.var AND g."time" >= pf.t GROUP BY ALL)
-  GROUP BY i, var, b) WHERE i < 9),
-uni AS (SELECT z.var, z.b, 1 / sqrt(z.v) AS se, 2 * (z.ll - a.ll) AS lr, a.u * a.u / a.v AS score FROM it z JOIN it a ON a.var = z.var AND a.i = 1 WHERE z.i = 9)"""
+  GROUP BY i, var, b) WHERE i < 21),
+steps AS (SELECT i - 1 AS i, var, lag(b) OVER (PARTITION BY var ORDER BY i) AS b, ll, u, v, lag(ll) OVER (PARTITION BY var ORDER BY i) AS before FROM it),
+stops AS (SELECT var, min(i) AS at FROM steps WHERE i >= 1 AND abs(1 - before / ll) <= 1e-9 GROUP BY 1),
+uni AS (SELECT z.var, z.b, 1 / sqrt(z.v) AS se, 2 * (z.ll - a.ll) AS lr, a.u * a.u / a.v AS score,
+        NOT (abs(z.u / z.v) > 1e-9 AND abs(z.u / z.v) > sqrt(1e-9) * abs(z.b)) AS finite
+        FROM stops JOIN steps z ON z.var = stops.var AND z.i = stops.at JOIN steps a ON a.var = z.var AND a.i = 0)"""
 
 
-_uni_columns = f"var, {hazard_columns('b', 'se')}, {r('lr', 'lr_chisq')}, {r('score', 'score_chisq')}, true AS finite"
+# Under separation the information is close to zero and known to fewer digits.
+_uni_columns = f"var, {hazard_columns('b', 'se', 3)}, {r('lr', 'lr_chisq', 3)}, {r('score', 'score_chisq', 3)}, finite"
 
 
 @query(prelude=COHORT, sql=f"{_sweep(COMORBIDITIES)} SELECT {_uni_columns} FROM uni")
 def cox_univariate_comorbidities(spark, sf_dir):
     """One model per comorbidity, all fitted together."""
-    return rounded(cox.cox_sweep(model_table(spark, sf_dir), HX))
+    return rounded(cox.cox_sweep(model_table(spark, sf_dir), HX), 3)
 
 
 @query(prelude=COHORT, sql=f"{_sweep(['age10', 'sex_f', 'los', *COMORBIDITIES])} SELECT {_uni_columns} FROM uni")
 def cox_univariate_all(spark, sf_dir):
     """Age, sex and length of stay as well."""
-    return rounded(cox.cox_sweep(model_table(spark, sf_dir), ["age10", SEX, "los", *HX]))
+    return rounded(cox.cox_sweep(model_table(spark, sf_dir), ["age10", SEX, "los", *HX]), 3)
 
 
 @query(prelude=COHORT, sql=f"""{_sweep(['age10', 'sex_f', 'los', *COMORBIDITIES])}, q AS (SELECT var, exp(b) AS hr, exp(b - 1.959963984540054 * se) AS lo,
@@ -180,7 +185,7 @@ def cox_univariate_report(spark, sf_dir):
 
 
 
-@query(prelude=COHORT, sql=f"""{_sweep(['los'])} SELECT 'los' AS term, {r('ll', 'loglik_null')}, {r('u * u / v', 'score_chisq')} FROM it WHERE i = 1""")
+@query(prelude=COHORT, sql=f"""{_sweep(['los'])} SELECT var AS term, {r('ll', 'loglik_null')}, {r('u * u / v', 'score_chisq')} FROM steps WHERE i = 0""")
 def cox_score_test(spark, sf_dir):
     """Score test at zero for length of stay, as one lazy plan."""
     return rounded(cox.null_tests(followup(spark, sf_dir), ["los"]))
@@ -209,12 +214,16 @@ cc AS (SELECT sum(k) / count(*) AS c, count(*) AS pairs FROM cp),
 conc AS (SELECT any_value(cc.c) AS concordance, sqrt(sum((cr.c - cc.c * cr.m) ** 2)) / any_value(pairs) AS std_error, any_value(pairs) AS pairs FROM cr, cc)"""
 
 
-@query(prelude=COHORT, sql=f"""{_main}{_pairs.format(eta=' + '.join(f'b{k} * x{k}' for k in range(4)), sources='fit')}
-SELECT (SELECT count(*) FROM s) AS n, (SELECT CAST(sum(event) AS BIGINT) FROM s) AS events, {r('(SELECT ll FROM fit0)', 'loglik_null')}, {r('ll', 'loglik_final')},
-       {r('2 * (ll - (SELECT ll FROM fit0))', 'lr_chisq')}, 4 AS lr_df, {r(_quad('b', 'v'), 'wald_chisq')}, 4 AS wald_df, {r(_score, 'score_chisq')}, 4 AS score_df,
-       {r('-2 * ll + 8', 'aic')}, {r('-2 * ll + ln((SELECT count(*) FROM s)) * 4', 'bic')},
-       {r(chi2_sf('2 * (ll - (SELECT ll FROM fit0))', '4'), 'lr_p')}, {r(chi2_sf(_quad('b', 'v'), '4'), 'wald_p')}, {r(chi2_sf(_score, '4'), 'score_p')},
-       {r('(SELECT concordance FROM conc)', 'concordance')}, {r('(SELECT std_error FROM conc)', 'concordance_se')} FROM fit""")
+_perf = f"""{_main}{_pairs.format(eta=' + '.join(f'b{k} * x{k}' for k in range(4)), sources='fit')},
+perf AS (SELECT (SELECT count(*) FROM s) AS n, (SELECT CAST(sum(event) AS BIGINT) FROM s) AS events, (SELECT ll FROM fit0) AS ll0, ll AS ll1,
+         2 * (ll - (SELECT ll FROM fit0)) AS lr, {_quad('b', 'v')} AS wald, {_score} AS score, (SELECT concordance FROM conc) AS c, (SELECT std_error FROM conc) AS c_se FROM fit)"""
+
+
+@query(prelude=COHORT, sql=f"""{_perf}
+SELECT n, events, {r('ll0', 'loglik_null')}, {r('ll1', 'loglik_final')}, {r('lr', 'lr_chisq')}, 4 AS lr_df, {r('wald', 'wald_chisq')}, 4 AS wald_df,
+       {r('score', 'score_chisq')}, 4 AS score_df, {r('-2 * ll1 + 8', 'aic')}, {r('-2 * ll1 + ln(n) * 4', 'bic')},
+       {r(chi2_sf('lr', '4'), 'lr_p')}, {r(chi2_sf('wald', '4'), 'wald_p')}, {r(chi2_sf('score', '4'), 'score_p')},
+       {r('c', 'concordance')}, {r('c_se', 'concordance_se')} FROM perf""")
 def cox_main_performance(spark, sf_dir):
     """Sizes, likelihoods, the three tests, AIC, BIC and concordance of the main model."""
     fit = cox.cox_fit(model_table(spark, sf_dir), MAIN)
@@ -275,9 +284,7 @@ def forest_rows(spark, sf_dir):
     return rounded(forest.forest(cox.cox_fit(people, MAIN), people))
 
 
-@query(prelude=COHORT, sql=f"""{_main}{_pairs.format(eta=' + '.join(f'b{k} * x{k}' for k in range(4)), sources='fit')}
-SELECT (SELECT CAST(sum(event) AS BIGINT) FROM s) AS events, {r(chi2_sf('2 * (ll - (SELECT ll FROM fit0))', '4'), 'global_p')}, {r('-2 * ll + 8', 'aic')},
-       {r('(SELECT concordance FROM conc)', 'concordance')} FROM fit""")
+@query(prelude=COHORT, sql=f"{_perf} SELECT events, {r(chi2_sf('lr', '4'), 'global_p')}, {r('-2 * ll1 + 8', 'aic')}, {r('c', 'concordance')} FROM perf")
 def forest_footer(spark, sf_dir):
     fit = cox.cox_fit(model_table(spark, sf_dir), MAIN)
     return rounded(forest.forest_footer(fit, concordance.model_concordance(fit)))
