@@ -59,15 +59,20 @@ def discharge(cfg: StudyConfig) -> Column:
 
 # --- claim-level steps --------------------------------------------------------
 
-def build_events(claims: DataFrame, persons: DataFrame) -> DataFrame:
+def build_events(claims: DataFrame, persons: DataFrame, cfg: StudyConfig, hot: DataFrame | None = None) -> DataFrame:
     """Claims with their person's birth, death and sex; claims of unknown persons drop."""
-    return claims.join(persons, "subject_id")
+    return keyed_join(claims, persons, "subject_id", salt_by=cfg.order, hot=hot)
 
 
 def qualifying_ids(events: DataFrame, cfg: StudyConfig) -> DataFrame:
     return ids(events.filter(qualifies(cfg)))
 
 
+def claims_of(events: DataFrame, id_set: DataFrame, cfg: StudyConfig, hot: DataFrame | None = None) -> DataFrame:
+    """All given claims of the listed persons."""
+    return keyed_join(events, id_set, "subject_id", salt_by=cfg.order, how="left_semi", hot=hot)
+
+
 def within_period(events: DataFrame, cfg: StudyConfig) -> DataFrame:
     return events.filter(in_period(cfg))
 

@@ -44,8 +44,10 @@ def keyed_join(
     ``salt_by`` names columns that tell a key's events apart. The salt is a hash of
     them and the number of the input partition, which also spreads exact copies; a
     recomputed task assigns the same salts. Filter events before the join: a filter
-    above it does not move below the salt. ``how`` is inner or left.
+    above it does not move below the salt. ``how`` is inner, left, left_semi or left_anti.
     """
+    if how not in ("inner", "left", "left_semi", "left_anti"):
+        raise ValueError(f"unsupported join: {how}")
     hot = F.broadcast(hot_keys(events, key) if hot is None else hot)
     salt = F.pmod(F.xxhash64(*salt_by, F.spark_partition_id()), F.col("salts"))
     left = events.join(hot, key, "left").withColumn("__salt", F.coalesce(salt, F.lit(0)).cast("int")).drop("salts")

@@ -20,10 +20,13 @@ def all_measures(cfg: StudyConfig) -> list[cohort.Measure]:
     ]
 
 
-def flagged_persons(claims: DataFrame, persons: DataFrame, cfg: StudyConfig, measures=None) -> DataFrame:
-    """Every indexed person with the measures asked for and all exclusion flags."""
+def flagged_persons(claims: DataFrame, persons: DataFrame, cfg: StudyConfig, measures=None, hot=None) -> DataFrame:
+    """Every indexed person with the measures asked for and all exclusion flags.
+
+    ``hot`` may hold the claims' heavy persons if they are already known.
+    """
     index = cohort.index_event(claims, persons, cfg)
-    linked = cohort.link(claims, index, cfg)
+    linked = cohort.link(claims, index, cfg, hot=hot)
     return cohort.flag_persons(index, cohort.summarise(linked, measures or all_measures(cfg)))
 
 

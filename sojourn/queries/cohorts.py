@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sojourn import cohort, features, lookback, outcome, tte
 from sojourn.config import COMORBIDITIES
+from sojourn.operators.skew import hot_keys, keyed_join
 from sojourn.operators.work import settle
 from sojourn.plans import study
 from sojourn.queries.reference_sql import CLAIMS, COHORT, END, HX, KEYS, PHENOTYPE, START, r
@@ -48,7 +49,7 @@ WHERE start_dt BETWEEN {START} AND {END} AND subject_id IN (SELECT subject_id FR
 def claims_in_study_window(spark, sf_dir):
     """All study-period claims of qualifying persons, counted by year and form."""
     events = claims(spark, sf_dir)
-    kept = cohort.within_period(events, CONFIG).join(cohort.qualifying_ids(events, CONFIG), "subject_id", "left_semi")
+    kept = cohort.claims_of(cohort.within_period(events, CONFIG), cohort.qualifying_ids(events, CONFIG), CONFIG)
     return kept.groupBy(F.year("start_dt").alias("yr"), "form_cd").agg(
         F.count("*").alias("n"), F.count_distinct("subject_id").alias("n_persons")
     )
@@ -131,8 +132,10 @@ SELECT c.subject_id, c.start_dt, c.form_cd, c.dx1, i.age_index, {KEYS} FROM clai
 WHERE c.start_dt BETWEEN {START} AND {END}""")
 def cohort_claims(spark, sf_dir):
     """Every study-period claim of the included persons, with age at index."""
-    kept = _measured(spark, sf_dir)
-    return cohort.cohort_claims(claims(spark, sf_dir), kept, CONFIG).select(
+    events = claims(spark, sf_dir)
+    hot = hot_keys(events, "subject_id")
+    flagged = study.flagged_persons(events, persons(spark, sf_dir), CONFIG, cohort.exclusion_measures(CONFIG), hot)
+    return cohort.cohort_claims(events, cohort.included(flagged), CONFIG, hot).select(
         "subject_id", "start_dt", "form_cd", "dx1", "age_index", *CONFIG.order
     )
 
@@ -147,10 +150,13 @@ SELECT CASE WHEN p.readmit_flag = 1 THEN 'readmit' ELSE 'nonreadmit' END AS grp,
 FROM claims c JOIN people p ON p.subject_id = c.subject_id WHERE c.start_dt BETWEEN {START} AND {END} GROUP BY 1""")
 def group_split(spark, sf_dir):
     """The claims of each outcome group, counted."""
-    people = _labelled(spark, sf_dir)
+    events = claims(spark, sf_dir)
+    hot = hot_keys(events, "subject_id")
+    wanted = [outcome.same_dx_count(CONFIG), *cohort.exclusion_measures(CONFIG)]
+    people = outcome.with_label(cohort.included(study.flagged_persons(events, persons(spark, sf_dir), CONFIG, wanted, hot)))
     again, other = outcome.split_groups(people)
     tagged = again.withColumn("grp", F.lit("readmit")).unionByName(other.withColumn("grp", F.lit("nonreadmit")))
-    rows = cohort.keyed_join(cohort.within_period(claims(spark, sf_dir), CONFIG), tagged, "subject_id", salt_by=CONFIG.order)
+    rows = keyed_join(cohort.within_period(events, CONFIG), tagged, "subject_id", salt_by=CONFIG.order, hot=hot)
     return rows.groupBy("grp").agg(F.count("*").alias("n_claims"), F.count_distinct("subject_id").alias("n_persons"))
 
 

@@ -240,7 +240,7 @@ def levels_present(spark, sf_dir):
 @query(prelude=CLAIMS, sql="SELECT sex, form_cd, count(*) AS n, count(death_yyyymm) AS n_died FROM claims JOIN person USING (subject_id) GROUP BY 1, 2")
 def claims_with_persons(spark, sf_dir):
     """Claims merged with their person's attributes."""
-    events = cohort.build_events(claims(spark, sf_dir), persons(spark, sf_dir))
+    events = cohort.build_events(claims(spark, sf_dir), persons(spark, sf_dir), CONFIG)
     return events.groupBy("sex", "form_cd").agg(F.count("*").alias("n"), F.count("death_yyyymm").alias("n_died"))
 
 
@@ -275,8 +275,8 @@ def nullable_key_join(spark, sf_dir):
     unknown discharge matches an unknown discharge."""
     stays = cohort.with_discharge(claims(spark, sf_dir), CONFIG).filter(cohort.inpatient(CONFIG))
     on = ["subject_id", "start_dt", "discharge_dt"]
-    out = sets.null_safe_join(stays.select(*on).distinct(), stays.select(*on, "dx1"), on, nullable=["discharge_dt"])
-    return out.groupBy(*on).agg(F.count("*").alias("n"), F.min("dx1").alias("dx1"))
+    by_stay = stays.groupBy(*on).agg(F.count("*").alias("n"), F.min("dx1").alias("dx1"))
+    return sets.null_safe_join(stays.select(*on).distinct(), by_stay, on, nullable=["discharge_dt"])
 
 
 _grp = lambda c: f"(CASE WHEN regexp_matches({c}, '^I(2[0-9]|3[0-9]|4[0-9]|5[0-1])') THEN 'heart' WHEN regexp_matches({c}, '^I6[0-9]') THEN 'cerebro' END)"

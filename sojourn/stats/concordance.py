@@ -18,6 +18,8 @@ from sojourn.operators.running import BLOCKS, running_totals
 from sojourn.operators.work import settle
 
 TIE = -1
+# Salts of the topmost bit's cells; halved at each bit below, as the cells split in two.
+TOP_SALTS = 256
 
 
 def _ranked(df: DataFrame) -> DataFrame:
@@ -38,14 +40,11 @@ def concordance(df: DataFrame, score: str = "score", weight: str | None = None)
     top = rows.agg(F.max("rank")).first()[0]
     bits = max(int(top or 0).bit_length(), 1)
     level = F.explode(F.sequence(F.lit(TIE), F.lit(bits - 1))).alias("level")
-    spread = rows.select("time", "event", "rank", "n", level).select(
-        "time", "event", "rank", "n", "level",
-        F.shiftrightunsigned("rank", 0).alias("__r"),
+    spread = rows.select("time", "event", "rank", "n", level).selectExpr(
+        "*",
+        f"CASE WHEN level = {TIE} THEN rank ELSE shiftright(rank, level + 1) END AS prefix",
+        f"CASE WHEN level = {TIE} THEN 0 ELSE cast(shiftright(rank, greatest(level, 0)) & 1 AS int) END AS bit",
     )
-    spread = spread.withColumns({
-        "prefix": F.when(F.col("level") == TIE, F.col("__r")).otherwise(F.expr("shiftright(__r, level + 1)")),
-        "bit": F.when(F.col("level") == TIE, F.lit(0)).otherwise(F.expr("shiftright(__r, greatest(level, 0)) & 1").cast("int")),
-    }).drop("__r")
 
     def total(bit: int, event: int | None = None) -> Column:
         hit = F.col("bit") == bit
@@ -70,7 +69,12 @@ def concordance(df: DataFrame, score: str = "score", weight: str | None = None)
         (over("a0", after) + F.col("z0")).alias("later0"), (over("a1", after) + F.col("z1")).alias("later1"),
         over("e0", before).alias("earlier0"), over("e1", before).alias("earlier1"),
     )
-    joined = spread.join(cells, ["level", "prefix", "time"])
+    # Near the top a few cells meet most rows (many persons share the last time), so
+    # those cells are repeated and the rows spread over the copies.
+    salts = F.expr(f"CASE WHEN level = {TIE} THEN 1 ELSE greatest(1, shiftright({TOP_SALTS}, {bits - 1} - level)) END")
+    spread = spread.withColumn("salt", F.pmod(F.col("rank"), salts).cast("int"))
+    cells = cells.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    joined = spread.join(cells, ["level", "prefix", "time", "salt"])
     one = F.col("bit") == 1
     tie = F.col("level") == TIE
     died = F.col("event") == 1

@@ -118,7 +118,7 @@ def test_exclusions_agree_and_attrition(spark):
 def test_unknown_person_drops(spark):
     table = events(spark, [claim("a", "2008-01-01"), claim("q", "2008-01-01")])
     assert by_id(cohort.index_event(table, people(spark, a={}), CFG), "index_code") == {"a": "I20"}
-    assert cohort.build_events(table, people(spark, a={})).count() == 1
+    assert cohort.build_events(table, people(spark, a={}), CFG).count() == 1
 
 
 def test_same_code_rules(spark):

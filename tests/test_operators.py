@@ -21,12 +21,12 @@ def test_hot_keys_bounded(lopsided):
     assert hot[0]["salts"] == -(-64 // 3)
 
 
-@pytest.mark.parametrize("how", ["inner", "left"])
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
 def test_keyed_join_equals_plain_join(spark, lopsided, how):
     lookup = lopsided.select("key").distinct().filter("key <> 'k7'").withColumn("v", F.length("key"))
     got = skew.keyed_join(lopsided, lookup, "key", ["id"], how=how)
     want = lopsided.join(lookup, "key", how)
-    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    assert got.columns == want.columns and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
 
 
 def test_keyed_join_spreads_the_hot_key(lopsided):
