@@ -2,8 +2,8 @@
 
 Shuffles of the event table are the cost that matters here, so there are two:
 
-* ``index_event`` reads only qualifying-form claims and reduces them before the
-  shuffle, first to person-days and then to persons;
+* ``index_event`` reads only qualifying claims and reduces them to one per person
+  before the shuffle (``index_stay`` does the same for dates of inpatient days);
 * ``link`` joins claims to their person's index once, and ``summarise`` computes
   every per-person measure asked for from that one pass.
 """
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from sojourn.config import StudyConfig
 from sojourn.functions.dates import month_start, whole_number, ym
 from sojourn.functions.logic import any_true, code_match, in_list, matches
+from sojourn.operators.columns import select_any
 from sojourn.operators.select import order_key
 from sojourn.operators.sets import ids
 from sojourn.operators.skew import keyed_join
@@ -86,35 +87,36 @@ def with_discharge(events: DataFrame, cfg: StudyConfig) -> DataFrame:
 def index_event(events: DataFrame, persons: DataFrame, cfg: StudyConfig, payload=CLAIM_COLUMNS) -> DataFrame:
     """First qualifying claim per person in the study period.
 
-    Gives ``first_admit``, ``index_code``, ``index_discharge`` (earliest discharge of
-    any inpatient claim on that day), the index claim's own ``payload`` and
-    ``discharge_dt``, and the person's attributes.
-
-    Claims are reduced to person-days first: a person has at most one row per day of
-    the study, so the second step never meets a large group.
+    Gives ``first_admit``, ``index_code``, the index claim's own ``payload`` and
+    ``discharge_dt``, and the person's attributes and age. Each task keeps one claim per
+    person, so a heavy person costs one row per task.
     """
     payload = [c for c in payload if c in events.columns]
-    stays = events.filter(inpatient(cfg) & in_period(cfg))
-    pick = F.struct(
-        order_key(events, cfg.order).alias("o"), F.struct(*payload, discharge(cfg).alias("discharge_dt")).alias("p")
-    )
-    days = stays.groupBy("subject_id", "start_dt").agg(
-        F.min(F.when(qualifies(cfg), pick)).alias("claim"),
-        F.min(discharge(cfg)).alias("index_discharge"),
-    )
-    first = days.filter(F.col("claim").isNotNull()).groupBy("subject_id").agg(
-        F.min(F.struct("start_dt", F.col("claim.p").alias("p"), "index_discharge")).alias("d")
+    claim = F.struct(
+        "start_dt", order_key(events, cfg.order).alias("o"), F.struct(*payload, discharge(cfg).alias("discharge_dt")).alias("p")
     )
+    first = events.filter(qualifies(cfg) & in_period(cfg)).groupBy("subject_id").agg(F.min(claim).alias("c"))
     index = first.select(
         "subject_id",
-        F.col("d.start_dt").alias("first_admit"),
-        F.col("d.p.dx1").alias("index_code"),
-        F.col("d.index_discharge").alias("index_discharge"),
-        *[F.col(f"d.p.{c}").alias(c) for c in [*payload, "discharge_dt"]],
+        F.col("c.start_dt").alias("first_admit"),
+        F.col("c.p.dx1").alias("index_code"),
+        *[F.col(f"c.p.{c}").alias(c) for c in [*payload, "discharge_dt"]],
     )
     return with_age(index.join(persons, "subject_id"))
 
 
+def index_stay(events: DataFrame, index: DataFrame, cfg: StudyConfig) -> DataFrame:
+    """Add ``index_discharge``: the earliest discharge of any inpatient claim on the index day.
+
+    Claims shrink to person-days of dates before the shuffle, and a heavy person is
+    spread over days.
+    """
+    days = events.filter(inpatient(cfg) & in_period(cfg)).groupBy("subject_id", F.col("start_dt").alias("first_admit")).agg(
+        F.min(discharge(cfg)).alias("index_discharge")
+    )
+    return index.join(days, ["subject_id", "first_admit"])
+
+
 def with_age(index: DataFrame) -> DataFrame:
     """Age in calendar years at the index event; NULL if the birth year is not a number."""
     return index.withColumn("age_index", F.year("first_admit") - whole_number("birth_yyyy"))
@@ -130,22 +132,24 @@ INDEX_KEYS = ("first_admit", "index_code", "index_discharge", "death_month")
 
 
 def link(events: DataFrame, index: DataFrame, cfg: StudyConfig, hot: DataFrame | None = None) -> DataFrame:
-    """Claims of indexed persons with the person's index date, code and discharge.
+    """Claims of indexed persons with the person's index date, code and, if known, discharge.
 
     All index-relative conditions (before, on, after, look-back) are filters on this
     table. Heavy persons are split over salts; see ``operators.skew``.
     """
-    slim = index.withColumn("death_month", ym("death_yyyymm")).select("subject_id", *INDEX_KEYS)
+    slim = select_any(index.withColumn("death_month", ym("death_yyyymm")), ["subject_id", *INDEX_KEYS])
     return keyed_join(events, slim, "subject_id", salt_by=cfg.order, hot=hot)
 
 
 @dataclass(frozen=True)
 class Measure:
     """A per-person result in two steps: aggregates over the claims of a person-day,
-    and aggregates over the days of a person."""
+    and aggregates over the days of a person. ``needs_stay`` marks those that refer to
+    the index discharge."""
 
     day: dict = field(default_factory=dict)
     person: dict = field(default_factory=dict)
+    needs_stay: bool = False
 
 
 def summarise(linked: DataFrame, measures: list[Measure]) -> DataFrame:
@@ -156,7 +160,8 @@ def summarise(linked: DataFrame, measures: list[Measure]) -> DataFrame:
     """
     day_aggs = {n: c for m in measures for n, c in m.day.items()}
     person_aggs = {n: c for m in measures for n, c in m.person.items()}
-    days = linked.groupBy("subject_id", "first_admit", "index_discharge", "start_dt").agg(
+    keys = [c for c in ("subject_id", "first_admit", "index_discharge", "start_dt") if c in linked.columns]
+    days = linked.groupBy(*keys).agg(
         *[c.alias(n) for n, c in day_aggs.items()]
     )
     return days.groupBy("subject_id").agg(*[c.alias(n) for n, c in person_aggs.items()])

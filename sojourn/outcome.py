@@ -35,7 +35,7 @@ def first_event(cfg: StudyConfig, after: str = "admission") -> Measure:
         "discharge": ("index_discharge", "first_after_discharge"),
     }[after]
     hit = F.col("d_same") & (F.col("start_dt") > F.col(origin))
-    return Measure(_same_day(cfg), {name: F.min(F.when(hit, F.col("start_dt")))})
+    return Measure(_same_day(cfg), {name: F.min(F.when(hit, F.col("start_dt")))}, needs_stay=after == "discharge")
 
 
 def last_event(cfg: StudyConfig) -> Measure:

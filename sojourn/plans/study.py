@@ -25,9 +25,12 @@ def flagged_persons(claims: DataFrame, persons: DataFrame, cfg: StudyConfig, mea
 
     ``hot`` may hold the claims' heavy persons if they are already known.
     """
+    measures = measures or all_measures(cfg)
     index = cohort.index_event(claims, persons, cfg)
+    if any(m.needs_stay for m in measures):
+        index = cohort.index_stay(claims, index, cfg)
     linked = cohort.link(claims, index, cfg, hot=hot)
-    return cohort.flag_persons(index, cohort.summarise(linked, measures or all_measures(cfg)))
+    return cohort.flag_persons(index, cohort.summarise(linked, measures))
 
 
 def person_table(claims: DataFrame, persons: DataFrame, cfg: StudyConfig) -> DataFrame:

@@ -63,7 +63,7 @@ def index_event(spark, sf_dir):
 @query(prelude=COHORT, sql="SELECT subject_id, first_admit, index_discharge, index_code FROM idx")
 def index_stay(spark, sf_dir):
     """Index stay: earliest discharge among the inpatient claims of the index day."""
-    return _index(spark, sf_dir)[1].select("subject_id", "first_admit", "index_discharge", "index_code")
+    return cohort.index_stay(*_index(spark, sf_dir), CONFIG).select("subject_id", "first_admit", "index_discharge", "index_code")
 
 
 @query(prelude=COHORT, sql="SELECT subject_id, first_admit, form_cd, dx1, dx2, path_type, result_type, los, discharge_dt FROM idx")

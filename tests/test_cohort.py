@@ -54,7 +54,8 @@ def test_index_event(spark):
 
 def test_index_discharge_is_earliest_of_the_day(spark):
     rows = [claim("a", "2008-01-01", los=9), claim("a", "2008-01-01", dx1="J40", los=2), claim("a", "2008-01-01", los=None)]
-    got = by_id(run(spark, rows), "index_discharge", "los", "discharge_dt")
+    table = events(spark, rows)
+    got = by_id(cohort.index_stay(table, cohort.index_event(table, people(spark, a={}), CFG), CFG), "index_discharge", "los", "discharge_dt")
     assert got["a"] == (day("2008-01-03"), 9, day("2008-01-10"))
 
 
