@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from sojourn.functions.numbers import chi2_sf, f_sf, ln_gamma
 from sojourn.operators.quantiles import exact_quantiles
 from sojourn.operators.running import BLOCKS, running_totals
+from sojourn.operators.work import settle
 from sojourn.stats.profile import long_values
 
 OVERALL = "Overall"
@@ -67,17 +68,17 @@ def _moments_wide(df: DataFrame, names, group: str, groups) -> DataFrame:
     return long.groupBy("variable").agg(*aggs)
 
 
-def smd_continuous(df: DataFrame, names, group: str, groups) -> DataFrame:
+def smd_continuous(df: DataFrame, names, group: str, groups, wide: DataFrame | None = None) -> DataFrame:
     """|difference in means| over the root of the averaged variances."""
-    wide = _moments_wide(df, names, group, groups)
+    wide = _moments_wide(df, names, group, groups) if wide is None else wide
     pooled = (F.col("v0") + F.col("v1")) / 2
     smd = F.when(pooled > 0, F.abs(F.col("m0") - F.col("m1")) / F.sqrt(pooled))
     return wide.select("variable", smd.alias("smd"))
 
 
-def anova(df: DataFrame, names, group: str, groups) -> DataFrame:
+def anova(df: DataFrame, names, group: str, groups, wide: DataFrame | None = None) -> DataFrame:
     """Equal-variance one-way analysis of variance."""
-    wide = _moments_wide(df, names, group, groups)
+    wide = _moments_wide(df, names, group, groups) if wide is None else wide.filter(F.col("variable").isin(*names))
     ks = range(len(groups))
     n = _sum_of([F.col(f"n{i}") for i in ks])
     grand = _sum_of([F.coalesce(F.col(f"n{i}") * F.col(f"m{i}"), F.lit(0.0)) for i in ks]) / F.nullif(n, F.lit(0))
@@ -137,6 +138,11 @@ def level_counts(df: DataFrame, names, group: str | None, groups) -> DataFrame:
     )
 
 
+def _cells(df: DataFrame, names, group: str | None, groups, cells: DataFrame | None) -> DataFrame:
+    """Level counts, or those of ``names`` among counts already made."""
+    return level_counts(df, names, group, groups) if cells is None else cells.filter(F.col("variable").isin(*names))
+
+
 def _with_totals(levels: DataFrame, k: int) -> DataFrame:
     """Attach each variable's group totals; one row per variable, so broadcast."""
     totals = levels.groupBy("variable").agg(
@@ -145,9 +151,9 @@ def _with_totals(levels: DataFrame, k: int) -> DataFrame:
     return levels.join(F.broadcast(totals), "variable")
 
 
-def categorical(df: DataFrame, names, group: str | None = None, groups=(OVERALL,)) -> DataFrame:
+def categorical(df: DataFrame, names, group: str | None = None, groups=(OVERALL,), cells: DataFrame | None = None) -> DataFrame:
     """Count and column percentage per variable, level and group."""
-    levels = _with_totals(level_counts(df, names, group, groups), len(groups))
+    levels = _with_totals(_cells(df, names, group, groups, cells), len(groups))
     each = F.array(*[
         F.struct(
             F.lit(g).alias("grp"), F.col(f"n{i}").alias("n"),
@@ -158,10 +164,10 @@ def categorical(df: DataFrame, names, group: str | None = None, groups=(OVERALL,
     return levels.select("variable", "level", F.inline(each))
 
 
-def chi_square(df: DataFrame, names, group: str, groups) -> DataFrame:
+def chi_square(df: DataFrame, names, group: str, groups, cells: DataFrame | None = None) -> DataFrame:
     """Pearson chi-square, with Yates' correction for 2 x 2 tables only."""
     ks = range(len(groups))
-    cells = _with_totals(level_counts(df, names, group, groups), len(groups))
+    cells = _with_totals(_cells(df, names, group, groups, cells), len(groups))
     row = _sum_of([F.col(f"n{i}") for i in ks])
     grand = _sum_of([F.col(f"t{i}") for i in ks])
     two_by_two = F.col("n_levels") == 2 if len(groups) == 2 else F.lit(False)
@@ -179,14 +185,14 @@ def chi_square(df: DataFrame, names, group: str, groups) -> DataFrame:
     return out.withColumn("p", chi2_sf("statistic", "df1"))
 
 
-def fisher(df: DataFrame, names, group: str, groups) -> DataFrame:
+def fisher(df: DataFrame, names, group: str, groups, cells: DataFrame | None = None) -> DataFrame:
     """Two-sided Fisher exact test for the variables whose table is 2 x 2.
 
     Sums the hypergeometric probabilities not above the observed one. The sum runs over
     the support, or over the part of it within 45 standard deviations (plus 64) of the
     mean when the support is longer: what lies beyond is far below double precision.
     """
-    cells = level_counts(df, names, group, groups)
+    cells = _cells(df, names, group, groups, cells)
     table = cells.groupBy("variable").agg(
         F.count("*").alias("n_levels"),
         F.sum("n0").cast("double").alias("c0"), F.sum("n1").cast("double").alias("c1"),
@@ -214,14 +220,14 @@ def fisher(df: DataFrame, names, group: str, groups) -> DataFrame:
     )
 
 
-def smd_categorical(df: DataFrame, names, group: str, groups) -> DataFrame:
+def smd_categorical(df: DataFrame, names, group: str, groups, cells: DataFrame | None = None) -> DataFrame:
     """Multi-level standardised difference (Mahalanobis distance of the two level
     distributions under their averaged multinomial covariance).
 
     The covariance is diagonal plus rank two, so its inverse needs only six sums over
     the levels (one level dropped) and a 2 x 2 determinant.
     """
-    cells = _with_totals(level_counts(df, names, group, groups), 2)
+    cells = _with_totals(_cells(df, names, group, groups, cells), 2)
     p1 = F.col("n0") / F.nullif(F.col("t0"), F.lit(0.0))
     p2 = F.col("n1") / F.nullif(F.col("t1"), F.lit(0.0))
     cells = cells.select("variable", "level", "n_levels", p1.alias("p1"), p2.alias("p2"))
@@ -242,25 +248,32 @@ def smd_categorical(df: DataFrame, names, group: str, groups) -> DataFrame:
 
 # --- assembled ----------------------------------------------------------------
 
-def comparison(df: DataFrame, continuous_vars, categorical_vars, nonnormal, exact, group: str, groups) -> DataFrame:
+def comparison(df: DataFrame, continuous_vars, categorical_vars, nonnormal, exact, group: str, groups,
+               cells: DataFrame | None = None) -> DataFrame:
     """Test, p and standardised difference for every variable.
 
+    Level counts and moments are written out first, as several tests share them: the
+    persons are read three times however many variables and tests there are.
+
     Normal variables use analysis of variance, nonnormal ones Kruskal-Wallis; exact ones
     Fisher's test where the table is 2 x 2 and chi-square otherwise.
     """
     normal = [v for v in continuous_vars if v not in nonnormal]
     ranked = [v for v in continuous_vars if v in nonnormal]
+    if cells is None and categorical_vars:
+        cells = settle(level_counts(df, categorical_vars, group, groups))
+    wide = settle(_moments_wide(df, continuous_vars, group, groups)) if continuous_vars else None
     tests = []
     keep = ["variable", "test", "statistic", "df1", "p"]
     if normal:
-        tests.append(anova(df, normal, group, groups).select(keep))
+        tests.append(anova(df, normal, group, groups, wide).select(keep))
     if ranked:
         tests.append(kruskal(df, ranked, group, groups).select(keep))
     if categorical_vars:
-        chi = chi_square(df, categorical_vars, group, groups).select(keep)
+        chi = chi_square(df, categorical_vars, group, groups, cells).select(keep)
         exact_here = [v for v in categorical_vars if v in exact]
         if exact_here and len(groups) == 2:
-            by_exact = fisher(df, exact_here, group, groups).select(keep)
+            by_exact = fisher(df, exact_here, group, groups, cells).select(keep)
             chi = chi.join(F.broadcast(by_exact), "variable", "left_anti").unionByName(by_exact)
         tests.append(chi)
     out = reduce(lambda a, b: a.unionByName(b), tests)
@@ -268,9 +281,9 @@ def comparison(df: DataFrame, continuous_vars, categorical_vars, nonnormal, exac
         return out.withColumn("smd", F.lit(None).cast("double"))
     smds = []
     if continuous_vars:
-        smds.append(smd_continuous(df, list(continuous_vars), group, groups))
+        smds.append(smd_continuous(df, list(continuous_vars), group, groups, wide))
     if categorical_vars:
-        smds.append(smd_categorical(df, list(categorical_vars), group, groups))
+        smds.append(smd_categorical(df, list(categorical_vars), group, groups, cells))
     return out.join(F.broadcast(reduce(lambda a, b: a.unionByName(b), smds)), "variable", "left")
 
 
@@ -289,13 +302,17 @@ def display(df: DataFrame, continuous_vars, categorical_vars, nonnormal, exact,
     text = F.when(F.col("n") == 0, F.lit("NA")).otherwise(text)
     level_text = F.concat(F.col("n").cast("string"), F.lit(" ("), number("pct", pct_digits), F.lit(")"))
 
+    counted = settle(level_counts(df, categorical_vars, group, groups)) if group and categorical_vars else None
+
     def block(part_group, part_groups):
         sizes = _grouped(df, part_group).groupBy(F.col("__g").alias("grp")).agg(F.count("*").alias("n"))
         rows = [sizes.select(F.lit("n").alias("variable"), F.lit("").alias("level"), "grp", F.col("n").cast("string").alias("cell"))]
         if continuous_vars:
             rows.append(continuous(df, list(continuous_vars), part_group).select("variable", F.lit("").alias("level"), "grp", text.alias("cell")))
         if categorical_vars:
-            rows.append(categorical(df, list(categorical_vars), part_group, part_groups).select("variable", "level", "grp", level_text.alias("cell")))
+            rows.append(categorical(
+                df, list(categorical_vars), part_group, part_groups, counted if part_group else None
+            ).select("variable", "level", "grp", level_text.alias("cell")))
         return reduce(lambda a, b: a.unionByName(b), rows)
 
     shown = list(groups) if group else [OVERALL]
@@ -309,7 +326,7 @@ def display(df: DataFrame, continuous_vars, categorical_vars, nonnormal, exact,
     wide = wide.withColumn("position", place)
     if not group:
         return wide
-    stats = comparison(df, continuous_vars, categorical_vars, nonnormal, exact, group, groups)
+    stats = comparison(df, continuous_vars, categorical_vars, nonnormal, exact, group, groups, counted)
     least = "<0." + "0" * (p_digits - 1) + "1"
     stats = stats.select(
         "variable",

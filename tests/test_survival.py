@@ -197,3 +197,55 @@ def test_cox_many_covariates_and_blocks(spark):
     assert np.allclose(shuffled.beta, got.beta, atol=1e-9)
     rows = forest.forest(got, df).orderBy("position").collect()
     assert [r["variable"] for r in rows] == ["p", "q", "r"] and rows[0]["n"] == n
+
+
+def test_factor_with_three_levels(spark):
+    rng = np.random.default_rng(9)
+    n = 200
+    g, z = rng.integers(0, 3, n), rng.integers(0, 4, n)
+    t = np.ceil(rng.exponential(15 * np.exp(-0.5 * (g == 1) - 0.9 * (g == 2)))).astype(int)
+    e = (rng.random(n) < 0.8).astype(int)
+    rows = [(int(a), int(b), "abc"[c], float(d)) for a, b, c, d in zip(t, e, g, z)] + [(5, 1, "q", 1.0), (5, 1, None, 1.0), (None, 1, "a", 1.0)]
+    df = spark.createDataFrame(rows, "time int, event int, g string, z double")
+    got = cox.cox_fit(df, [cox.Factor("g", ("a", "b", "c")), "z"])
+    want, info, _ = numpy_cox(t, e, np.column_stack([g == 1, g == 2, z]).astype(float))
+    assert got.names == ["gb", "gc", "z"] and got.n == n
+    assert np.allclose(got.beta, want, atol=1e-6) and np.allclose(got.information, info, rtol=1e-5)
+    tests = {r["term"]: r for r in ph_test(got).collect()}
+    assert tests["g"]["df"] == 2 and tests["z"]["df"] == 1 and tests["GLOBAL"]["df"] == 3
+    shown = [(r["term"], r["reference"]) for r in forest.forest(got, df).orderBy("position").collect()]
+    assert shown == [("ga", True), ("gb", False), ("gc", False), ("z", False)]
+
+
+def test_fractional_times_in_blocks(trial):
+    fine = trial.withColumn("time", F.col("time") / 7 + F.col("x") / 1000)
+    plain = {(r["time"]): r for r in km.kaplan_meier(fine).collect()}
+    for r in km.kaplan_meier(fine, blocks=5).collect():
+        assert r["surv"] == pytest.approx(plain[r["time"]]["surv"], rel=1e-12) and r["n_risk"] == plain[r["time"]]["n_risk"]
+    a = logrank.logrank_test(fine, "arm", ["treated", "placebo"]).first()["chisq"]
+    assert logrank.logrank_test(fine, "arm", ["treated", "placebo"], blocks=5).first()["chisq"] == pytest.approx(a, rel=1e-12)
+
+
+def test_score_residual_identities(trial, fit):
+    """The gradient vanishes at the estimate, and the null test equals the fit's score test."""
+    at = cox.per_time(fit.counts, fit.predictor(), fit.centred()).agg(F.sum("u0")).first()[0]
+    assert abs(at) < 1e-6
+    row = cox.null_tests(trial, ["x"]).first()
+    assert row["score_chisq"] == pytest.approx(fit.score, rel=1e-9) and row["loglik_null"] == pytest.approx(fit.loglik_null, rel=1e-9)
+
+
+def test_published_model_summary():
+    """Published coefficients, errors and likelihoods give the published limits, p and criteria."""
+    published = {  # estimate (rounded), standard error, statistic, p, low, high
+        "age10": (0.92, 0.12208779186962102, -0.6609956941632052, 0.509, 0.73, 1.17),
+        "sex_fF": (2.2, 0.6646044839059315, 1.1846200431704874, 0.236, 0.6, 8.08),
+        "los": (1.16, 0.04248381046998508, 3.5944638339767074, 3.25e-4, 1.07, 1.27),
+        "hx_htnYes": (15.5, 1.0754226811683147, 2.5483330646593574, 0.0108, 1.88, 127.53),
+    }
+    for hr, se, z, p, low, high in published.values():
+        got = cox._hazard_row(z * se, se)
+        assert round(got[0], 2) == hr and got[3] == pytest.approx(p, rel=5e-3)
+        assert round(got[4], 2) == low and round(got[5], 2) == high
+    fit = cox.CoxFit(None, [], [], [], np.zeros(4), np.zeros(4), np.eye(4), np.eye(4), -50.203, -39.529, 21.836, 55, 13, 5, True, None)
+    assert fit.lr == pytest.approx(21.349, abs=2e-3)
+    assert fit.aic == pytest.approx(87.058, abs=1e-3) and fit.bic == pytest.approx(95.087, abs=1e-3)
