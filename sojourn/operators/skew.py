@@ -1,11 +1,13 @@
 """Joins from a large event table to a one-row-per-key table when one key may own
 a large share of the events.
 
-Heavy keys are found with one sketch over the key column. It holds a fixed number
-of counters, so what is broadcast is bounded by ``SLOTS`` rows whatever the table
-size. Events of a heavy key are spread over as many salts as its share needs, and
-only that key's row on the other side is repeated. All other keys use salt 0. A key
-the sketch misses joins correctly, just unsalted.
+Heavy keys are found by sketching the key column. A sketch holds a fixed number of
+counters and is merged in two steps, and at most ``SLOTS`` keys are reported, so what
+is broadcast is bounded whatever the table size. Events of a heavy key are spread over
+one salt per ``ROWS_PER_SALT`` events, and only that key's row on the other side is
+repeated. All other keys use salt 0. A key that is missed, or whose count is
+overestimated, still joins correctly; below the reported keys adaptive execution can
+split partitions, as every join here is followed by another shuffle or the sink.
 """
 
 from __future__ import annotations
@@ -15,20 +17,19 @@ from pyspark.sql import functions as F
 
 SLOTS = 1024
 COUNTERS = 16 * SLOTS
-
-
-def hot_keys(events: DataFrame, key: str, slots: int = SLOTS) -> DataFrame:
-    """Keys holding more than ``1/slots`` of the rows, with their salt count.
-
-    At most ``slots`` keys can hold that share, so the result is that small.
-    """
-    counts = events.agg(
-        F.expr(f"approx_top_k({key}, {slots}, {COUNTERS})").alias("top"),
-        F.count(key).alias("total"),
-    )
-    each = counts.select("total", F.explode("top").alias("t"))
-    salts = F.ceil(F.col("t.count") * F.lit(float(slots)) / F.col("total")).cast("int")
-    return each.select(F.col("t.item").alias(key), salts.alias("salts")).filter("salts > 1")
+ROWS_PER_SALT = 500_000
+SKETCH_GROUPS = 256
+
+
+def hot_keys(events: DataFrame, key: str, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
+    """The heaviest keys with more than ``rows_per_salt`` rows, and their salt counts."""
+    groups = events.select(key, F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS)).alias("g"))
+    sketches = groups.groupBy("g").agg(F.expr(f"approx_top_k_accumulate({key}, {COUNTERS}) AS s"))
+    # Grouped by a constant: merging no sketches at all then gives no row.
+    merged = sketches.groupBy(F.lit(0).alias("one")).agg(F.expr(f"approx_top_k_combine(s, {COUNTERS}) AS s"))
+    top = merged.select(F.explode(F.expr(f"approx_top_k_estimate(s, {SLOTS})")).alias("t"))
+    salts = F.ceil(F.col("t.count") / F.lit(rows_per_salt)).cast("int")
+    return top.select(F.col("t.item").alias(key), salts.alias("salts")).filter("salts > 1")
 
 
 def keyed_join(

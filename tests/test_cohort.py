@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sojourn import cohort, features, lookback, outcome, tte
 from sojourn.config import StudyConfig
 from sojourn.operators import sets
+from sojourn.operators.skew import hot_keys
 from sojourn.plans import study
 
 CFG = StudyConfig(order=("seq",))
@@ -232,14 +233,19 @@ def test_one_person_owns_a_third_of_all_claims(spark):
     others = [claim(f"p{i}", start + timedelta(days=1400 + i % 90)) for i in range(4000)]
     table = events(spark, heavy + others).repartition(6)
     persons = table.select("subject_id").distinct().select("subject_id", F.lit("1950").alias("birth_yyyy"), F.lit(None).cast("string").alias("death_yyyymm"), F.lit(1).alias("sex"))
-    got = study.person_table(table, persons, CFG)
+    hot = hot_keys(table, "subject_id", rows_per_salt=100)
+    assert [r["subject_id"] for r in hot.collect()] == ["big"]
+    flagged = study.flagged_persons(table, persons, CFG, hot=hot)
+    plain = study.flagged_persons(table, persons, CFG)
+    assert flagged.exceptAll(plain).isEmpty() and plain.exceptAll(flagged).isEmpty()
+    got = outcome.with_label(flagged)
     big = got.filter("subject_id = 'big'").first()
     seen = [h for h in heavy if day("2011-06-01") - timedelta(days=180) <= h[1] < day("2011-06-01")]
     assert big["prior_other_n"] == (len(seen) or None) and big["readmit_flag"] == 1 and big["n_claims"] == 2002
     assert got.count() == 4001
     index = cohort.index_event(table, persons, CFG)
     plain = sets.keep(table, index.select("subject_id")).count()
-    assert cohort.link(table, index, CFG).count() == plain == 6002
+    assert cohort.link(table, index, CFG, hot).count() == plain == 6002
 
 
 def test_result_does_not_depend_on_row_order(spark):

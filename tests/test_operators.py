@@ -16,27 +16,29 @@ def lopsided(spark):
 
 
 def test_hot_keys_bounded(lopsided):
-    hot = skew.hot_keys(lopsided, "key", slots=64).collect()
-    assert [r["key"] for r in hot] == ["big"]
-    assert hot[0]["salts"] == -(-64 // 3)
+    hot = skew.hot_keys(lopsided, "key", rows_per_salt=50).collect()
+    assert [(r["key"], r["salts"]) for r in hot] == [("big", 20)]
+    assert skew.hot_keys(lopsided, "key").isEmpty()
+    assert skew.hot_keys(lopsided.filter("key = 'none'"), "key", rows_per_salt=50).isEmpty()
+    assert skew.hot_keys(lopsided.select(F.lit(None).cast("string").alias("key")), "key", rows_per_salt=50).count() <= 1
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
 def test_keyed_join_equals_plain_join(spark, lopsided, how):
     lookup = lopsided.select("key").distinct().filter("key <> 'k7'").withColumn("v", F.length("key"))
-    got = skew.keyed_join(lopsided, lookup, "key", ["id"], how=how)
+    got = skew.keyed_join(lopsided, lookup, "key", ["id"], how=how, hot=skew.hot_keys(lopsided, "key", rows_per_salt=40))
     want = lopsided.join(lookup, "key", how)
     assert got.columns == want.columns and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
 
 
 def test_keyed_join_spreads_the_hot_key(lopsided):
     lookup = lopsided.select("key").distinct()
-    hot = skew.hot_keys(lopsided, "key", slots=64)
+    hot = skew.hot_keys(lopsided, "key", rows_per_salt=50)
     salted = lopsided.join(hot, "key").select(
         F.pmod(F.xxhash64("id", F.spark_partition_id()), F.col("salts")).alias("s")
     ).groupBy("s").count().collect()
     assert len(salted) > 15 and max(r["count"] for r in salted) < 200
-    assert skew.keyed_join(lopsided, lookup, "key", ["id"]).count() == 3000
+    assert skew.keyed_join(lopsided, lookup, "key", ["id"], hot=hot).count() == 3000
 
 
 def test_first_per_key(spark):
