@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import functions as F
-
 from sojourn import features
 from sojourn.config import CATEGORICAL, CONTINUOUS, EXACT, GROUPS, NONNORMAL
 from sojourn.operators.work import settle

@@ -2,7 +2,6 @@
 
 from datetime import date, timedelta
 
-import pytest
 from pyspark.sql import functions as F
 
 from sojourn import cohort, features, lookback, outcome, tte
