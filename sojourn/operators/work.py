@@ -2,33 +2,52 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_written: list[str] = []
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names for checkpoints.
+    """The folder the cluster names for checkpoints, or else one inside the warehouse.
 
-    Only a local master may fall back to a temporary folder: on a cluster the
-    executors could not read it.
+    Never a folder of the driver's machine alone: executors could not read it.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if spark.sparkContext.master.startswith("local"):
-        return tempfile.mkdtemp(prefix="sojourn-")
-    raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
+    if not folder:
+        chosen = spark.sparkContext._jsc.sc().getCheckpointDir()
+        folder = chosen.get() if chosen.isDefined() else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
+    return folder.rstrip("/")
+
+
+def scratch_path(spark: SparkSession) -> str:
+    """A new path in the shared folder; ``release`` removes what was written there."""
+    path = f"{shared_folder(spark)}/sojourn-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
 
 
 def settle(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it back, so that later passes scan
     it instead of recomputing it and survive the loss of executors.
-
-    For person-sized and smaller tables that several results or iterations use. The
-    files stay until the folder's owner removes them, like Spark's own checkpoints.
     """
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/sojourn-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def mark() -> int:
+    """A position among the scratch paths, for ``release``."""
+    return len(_written)
+
+
+def release(spark: SparkSession, since: int = 0, until: int | None = None) -> None:
+    """Delete scratch written between two marks. Call it once nothing reads it any more:
+    a table that is still to be computed from a settled one needs the files."""
+    paths = _written[since:until]
+    _written[since:until] = [""] * len(paths)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in filter(None, paths):
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(conf).delete(target, True)
