@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sojourn.llm import quality_rules
+from sojourn.llm import quality_rules, simhash
 from sojourn.llm.registry import QUERIES, SQL, query, table
 from sojourn.operators.work import settle
 
@@ -19,3 +19,10 @@ def op3_quality_rules(spark, sf_dir):
     return quality_rules.judge(counts, rules).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.col("rule"),
     )
+
+
+@query()
+def op10_simhash_near_dedup(spark, sf_dir):
+    """Fingerprint and component of every document."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, max_bits=3)
+    return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
