@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sojourn.llm import quality_rules, simhash
+from sojourn.llm import decontaminate, quality_rules, simhash
 from sojourn.llm.registry import QUERIES, SQL, query, table
 from sojourn.operators.work import settle
 
@@ -26,3 +26,31 @@ def op10_simhash_near_dedup(spark, sf_dir):
     """Fingerprint and component of every document."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, max_bits=3)
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+ASCII_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query(rf"""
+WITH bench AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({ASCII_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), sized AS (SELECT item, w, least(len(w), 13) AS k FROM bench WHERE len(w) > 0),
+windows AS (
+  SELECT DISTINCT item, k, array_to_string(w[i:i + k - 1], ' ') AS win
+  FROM (SELECT item, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM sized)
+), docs AS (
+  SELECT doc_id, coalesce(regexp_extract_all({ASCII_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents
+), places AS (
+  SELECT doc_id, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM docs, (SELECT DISTINCT k FROM windows) WHERE len(w) >= k
+), spots AS (SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS win FROM places),
+found AS (SELECT DISTINCT s.doc_id, s.i, s.k, b.item FROM spots s JOIN windows b ON s.win = b.win AND s.k = b.k),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + k - 1)) AS p FROM found) GROUP BY doc_id),
+items AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS names FROM found GROUP BY doc_id)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
+FROM docs d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+""")
+def op2_decontaminate(spark, sf_dir):
+    """Benchmark windows found in every document, and the verdict."""
+    found = decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
