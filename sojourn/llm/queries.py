@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sojourn.llm import decontaminate, quality_rules, simhash
+from sojourn.llm import decontaminate, mixing, quality_rules, simhash, token_store
 from sojourn.llm.registry import QUERIES, SQL, query, table
 from sojourn.operators.work import settle
 
@@ -54,3 +54,22 @@ def op2_decontaminate(spark, sf_dir):
     """Benchmark windows found in every document, and the verdict."""
     found = decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+@query()
+def op1_mix_sources(spark, sf_dir):
+    """Words taken of every document."""
+    return mixing.taken(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query()
+def op6_token_store(spark, sf_dir):
+    """Encode and write all documents, then read each back through the index."""
+    store = token_store.write_store(table(spark, sf_dir, "documents"), tokenizer_path())
+    return token_store.read_store(store).select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
