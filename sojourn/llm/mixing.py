@@ -5,12 +5,12 @@ certain, where ``rate`` is target over source size, and once more with probabili
 ``rate - floor(rate)``. The cube method draws that extra copy so that the words and the
 documents taken stay at their expected totals: probabilities of three documents at a time
 move along the null space of the two balancing equations until one of them is 0 or 1.
-Such a flight ends with at most two open documents.
+A flight ends with at most two open documents.
 
 Flights run on bounded blocks: a source's documents are dealt by hash, every block flies
 on its own, and the open rest of all blocks is dealt again, until a source has one block.
-Only there a landing problem remains, of at most two documents, and it is landed by giving
-up the document total first and then drawing the last one. Blocks settle long documents
+Only there a landing problem remains, of at most ten documents, and the rounding nearest to
+their expected words is taken. Blocks settle long documents
 first, against all shorter ones, so what stays open is short. All draws are seeded by source, level and block: reruns
 agree.
 
@@ -43,6 +43,8 @@ CAP = 2.0
 BLOCK_ROWS = 16_384
 #: So many of a block's longest documents are settled against all others, the rest by threes.
 LARGE = 1024
+#: Landing tries every rounding of at most so many open documents.
+LANDING = 10
 EPS = 1e-9
 
 
@@ -59,12 +61,12 @@ def _null_vector(active, words, docs):
     return None
 
 
-def _word_vector(active, words, docs):
-    """The same with only the word total kept, for landing."""
-    if len(active) != 2:
-        return None
-    i, j = active
-    return (words[j], -words[i]) if words[i] or words[j] else (docs[j], -docs[i])
+def _land(words, docs, p) -> np.ndarray:
+    """The rounding of a few open documents that comes nearest to their expected words,
+    then nearest to their expected number."""
+    choices = (np.arange(1 << len(p))[:, None] >> np.arange(len(p))) & 1
+    off = [np.abs(choices @ v - p @ v) for v in (docs.astype(float), words.astype(float))]
+    return choices[np.lexsort(off)[0]].astype(float)
 
 
 def _move(p, active, u, draw) -> None:
@@ -80,7 +82,7 @@ def _move(p, active, u, draw) -> None:
         p[i] += step * d
 
 
-def _settle_large(x: np.ndarray, c: np.ndarray, p: np.ndarray, count: int, draws) -> None:
+def _settle_large(x: np.ndarray, c: np.ndarray, p: np.ndarray, count: int, draws, keep: int) -> None:
     """Settle the first ``count`` documents, longest first, against all shorter open ones.
 
     Three at a time a long document hardly moves: the two others hit a bound first, and it
@@ -90,7 +92,7 @@ def _settle_large(x: np.ndarray, c: np.ndarray, p: np.ndarray, count: int, draws
     for i in range(min(len(p), count)):
         while 0 < p[i] < 1:
             rest = i + 1 + np.flatnonzero((p[i + 1 :] > 0) & (p[i + 1 :] < 1))
-            if len(rest) < 3:
+            if len(rest) < keep:
                 return
             w, d = x[rest], c[rest]
             dd, dw, ww = d @ d, d @ w, w @ w
@@ -112,7 +114,7 @@ def fly(words: np.ndarray, docs: np.ndarray, p: np.ndarray, seed, land: bool) ->
     """Probabilities after the flight, and after landing all 0 or 1; longest documents first."""
     draws = iter(np.random.default_rng(seed).random(4 * len(p) + 8).tolist())
     p = p.astype(float)
-    _settle_large(words.astype(float), docs.astype(float), p, LARGE, draws)
+    _settle_large(words.astype(float), docs.astype(float), p, LARGE, draws, LANDING if land else 3)
     x, c, out = words.astype(float).tolist(), docs.astype(float).tolist(), p.tolist()
 
     def settled(i):
@@ -121,21 +123,22 @@ def fly(words: np.ndarray, docs: np.ndarray, p: np.ndarray, seed, land: bool) ->
             return True
         return False
 
-    waiting = iter([i for i in range(len(out)) if not settled(i)])
-    active: list[int] = []
-    for direction in (_null_vector, _word_vector) if land else (_null_vector,):
+    left = [i for i in range(len(out)) if not settled(i)]
+    if not land or len(left) > LANDING:
+        waiting, active = iter(left), []
         while True:
             while len(active) < 3 and (i := next(waiting, None)) is not None:
                 active.append(i)
-            u = direction(active, x, c)
+            u = _null_vector(active, x, c)
             if u is None:
                 break
             _move(out, active, u, next(draws))
             active = [i for i in active if not settled(i)]
-    if land:
-        for i in active:
-            out[i] = float(next(draws) < out[i])
-    return np.array(out, float)
+        left = active
+    out = np.array(out, float)
+    if land and left:
+        out[left] = _land(words[left], docs[left], out[left])
+    return out
 
 
 def source_targets(units: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
