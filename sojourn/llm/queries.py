@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sojourn.llm import decontaminate, mixing, quality_rules, simhash, token_store
+from sojourn.llm import decontaminate, mixing, quality_classifier, quality_rules, secret_ledger, simhash, token_store
 from sojourn.llm.registry import QUERIES, SQL, query, table
 from sojourn.operators.work import settle
 
@@ -73,3 +73,46 @@ def op6_token_store(spark, sf_dir):
     """Encode and write all documents, then read each back through the index."""
     store = token_store.write_store(table(spark, sf_dir, "documents"), tokenizer_path())
     return token_store.read_store(store).select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
+def _spans_sql(kind: int, name: str, pattern: str, group: int, least: int) -> str:
+    return f"""
+  SELECT doc_id, {kind} AS kind, '{name}' AS name, i,
+         length(array_to_string(b[1:i], '')) + coalesce(length(array_to_string(m[1:i - 1], '')), 0) AS s, length(m[i]) AS n, length(g[i]) AS gn, {least} AS least
+  FROM (SELECT doc_id, m, g, b, unnest(generate_series(1, len(m))) AS i FROM (
+    SELECT doc_id, regexp_extract_all(text, '{pattern}') AS m, regexp_extract_all(text, '{pattern}', {group}) AS g, string_split_regex(text, '{pattern}') AS b FROM docs))"""
+
+
+ASSIGN_SQL = (
+    r"([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])"
+    r"""["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+)
+
+
+@query(rf"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+spans AS (
+{_spans_sql(1, "assign", ASSIGN_SQL, 2, 6)} UNION ALL {_spans_sql(2, "access", "AKIA[A-Z0-9]+", 0, 20)} UNION ALL {_spans_sql(3, "hex", "[0-9a-f]+", 0, 24)}
+), kept AS (SELECT doc_id, kind, name, s, name || ':' || CAST(CAST(s AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(s + n AS BIGINT) AS VARCHAR) AS span FROM spans WHERE gn >= least),
+per AS (
+  SELECT doc_id, count(*) FILTER (kind = 1) AS n_assign, count(*) FILTER (kind = 2) AS n_access, count(*) FILTER (kind = 3) AS n_hex,
+         string_agg(span, ',' ORDER BY s, kind) AS spans FROM kept GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN per USING (doc_id)
+""")
+def op9_secret_ledger(spark, sf_dir):
+    """Secrets of every document, scanned once per distinct text."""
+    found = secret_ledger.scan(table(spark, sf_dir, "documents"))
+    count = lambda name: F.size(F.filter("spans", lambda s: s["name"] == name)).cast("long").alias(f"n_{name}")
+    line = secret_ledger.joined(F.col("spans"))
+    return found.select(F.col("id").alias("doc_id"), *[count(r.name) for r in secret_ledger.BASE_RULES], F.sha2(line.cast("binary"), 256).alias("base_sha256"), line.alias("spans"))
+
+
+@query()
+def op5_quality_classifier(spark, sf_dir):
+    """Quality score of every document."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"))
+    return quality_classifier.score(docs, model).withColumnRenamed("id", "doc_id")
