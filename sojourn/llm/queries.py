@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sojourn.llm import decontaminate, mixing, quality_classifier, quality_rules, secret_ledger, simhash, token_store
+from sojourn.llm import decontaminate, mixing, quality_classifier, quality_rules, repeated_windows, secret_ledger, simhash, token_store
 from sojourn.llm.registry import QUERIES, SQL, query, table
 from sojourn.operators.work import settle
 
@@ -116,3 +116,10 @@ def op5_quality_classifier(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"))
     return quality_classifier.score(docs, model).withColumnRenamed("id", "doc_id")
+
+
+@query()
+def op4_repeated_windows(spark, sf_dir):
+    """Bytes of every document that repeat a smaller document."""
+    found = repeated_windows.repeated_spans(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
