@@ -4,7 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sojourn.llm import decontaminate, mixing, quality_classifier, quality_rules, repeated_windows, secret_ledger, simhash, token_store
+from sojourn.llm import (
+    decontaminate,
+    line_dedup,
+    mixing,
+    preferences,
+    quality_classifier,
+    quality_rules,
+    repeated_windows,
+    secret_ledger,
+    simhash,
+    token_store,
+)
 from sojourn.llm.registry import QUERIES, SQL, query, table
 from sojourn.operators.work import settle
 
@@ -123,3 +134,34 @@ def op4_repeated_windows(spark, sf_dir):
     """Bytes of every document that repeat a smaller document."""
     found = repeated_windows.repeated_spans(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query("""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS role, text FROM (
+    SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY role NULLS LAST, text NULLS LAST) AS r FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL) WHERE r = 1
+), last AS (SELECT conv_id, max(turn) AS last FROM turns WHERE role = 'assistant' GROUP BY conv_id),
+chosen AS (SELECT turns.*, last FROM turns JOIN last USING (conv_id) WHERE turn <= last),
+echo AS (SELECT conv_id, arg_max(coalesce(text, ''), turn) AS echo FROM chosen WHERE turn < last GROUP BY conv_id),
+sides AS (SELECT c.*, CASE WHEN turn = last THEN coalesce(echo, '') ELSE text END AS other FROM chosen c LEFT JOIN echo USING (conv_id)),
+cut AS (SELECT conv_id, min(turn) AS cut FROM sides WHERE text IS DISTINCT FROM other GROUP BY conv_id),
+parts AS (
+  SELECT conv_id, 'prompt' AS part, turn, role, text FROM sides LEFT JOIN cut USING (conv_id) WHERE cut IS NULL OR turn < cut
+  UNION ALL SELECT conv_id, 'chosen', turn, role, text FROM sides JOIN cut USING (conv_id) WHERE turn >= cut
+  UNION ALL SELECT conv_id, 'rejected', turn, role, other FROM sides JOIN cut USING (conv_id) WHERE turn >= cut
+)
+SELECT conv_id, part, turn, role, '<|' || role || '|>' || chr(10) || replace(coalesce(text, ''), '<|', '< |') || '<|end|>' || chr(10) AS rendered,
+       part <> 'prompt' AND role = 'assistant' AS train
+FROM parts
+""")
+def op7_preference_pairs(spark, sf_dir):
+    """Prompt and masked completions of every conversation with an answer, against its echo."""
+    pairs = preferences.format_pairs(*preferences.echo_pairs(table(spark, sf_dir, "conversations")))
+    return pairs.withColumnRenamed("pair", "conv_id")
+
+
+@query()
+def op8_line_dedup(spark, sf_dir):
+    """Lines of every document that an earlier line repeats, within one edit."""
+    found = line_dedup.report(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_lines", "n_removed", F.array_join("removed", ",").alias("removed_lines"))
