@@ -53,11 +53,10 @@ def _prefix_sums(line: str):
 
 def _hash(value, *salt):
     for s in salt:
-        value = kernels.scramble(np.atleast_1d(value) + np.uint64(2 * s + 1))
+        value = kernels.scramble(value + np.uint64(2 * s + 1))
     return value
 
 
-@np.errstate(over="ignore")
 def half_keys(line: str) -> list[tuple[int, int, int]]:
     """(key, length to match, half that may differ) of a line's halves."""
     sums, down = _prefix_sums(line)
@@ -66,13 +65,12 @@ def half_keys(line: str) -> list[tuple[int, int, int]]:
         middle = length // 2
         # The end of the line has length - middle characters; it is hashed as if it began there.
         end = n - (length - middle)
-        tail, head = (sums[n] - sums[end]) * down[end], sums[middle]
+        tail, head = (sums[n:] - sums[end]) * down[end], sums[middle : middle + 1]
         out.append((int(_hash(head, length, 1)[0]), length, 1))
         out.append((int(_hash(tail, length, 0)[0]), length, 0))
     return out
 
 
-@np.errstate(over="ignore")
 def variants(line: str, halves) -> list[tuple[int, int]]:
     """(key, role) of a line's deletions in the given (length, half) parts.
 
@@ -84,11 +82,11 @@ def variants(line: str, halves) -> list[tuple[int, int]]:
     for length, half in halves:
         low, high = (0, length // 2) if half == 0 else (length // 2, length)
         at = np.arange(low, min(high + 1, n))
-        gone = sums[at] + (sums[n] - sums[at + 1]) * down[1]
+        gone = sums[at] + (sums[n:] - sums[at + 1]) * down[1:2]
         if length == n:
             keys = kernels.scramble(kernels.scramble(gone + np.uint64(n)) + at.astype(np.uint64) * np.uint64(2))
             out += [(k, 0) for k in keys.tolist()]
-            out.append((int(_hash(sums[n], n, 7)[0]), 1))
+            out.append((int(_hash(sums[n:], n, 7)[0]), 1))
         else:
             out += [(k, 2) for k in _hash(gone, n - 1, 7).tolist()]
     return sorted(set(out))
