@@ -48,10 +48,11 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 DEPTH, GRAM = 50, 16
 BATCH_BYTES = 4 << 20
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
+CHUNK_BYTES = 1 << 20
 HOT_DOCS = 10_000
 KEY_BITS = 48
-SORT_ROWS = 1 << 22
+SORT_ROWS = 1 << 19
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -103,31 +104,40 @@ def radix_groups(at: np.ndarray, starts: np.ndarray, depth: int = DEPTH):
     return index, np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
 
 
+def _stretches(data: np.ndarray, offsets: np.ndarray, lo: int, hi: int):
+    """Start, document, number of windows and anchor key of the stretches of documents lo to hi."""
+    base = int(offsets[lo])
+    at = digits(data[base : offsets[hi]])
+    n = int(offsets[hi]) - base
+    grams = kernels.scramble(kernels.scramble(at[: n + DEPTH]) + at[GRAM // 2 : n + DEPTH + GRAM // 2])
+    del at
+    low = np.uint64((1 << 28) - 1)
+    if n > int(low):
+        raise ValueError("a document is limited to 256 MB")
+    # Equal hashes: the leftmost gram is the anchor, as position fills the low bits.
+    best = grams & ~low
+    best |= np.arange(len(grams), dtype=np.uint64)
+    width, span = 1, DEPTH - GRAM + 1
+    while 2 * width <= span:
+        best = np.minimum(best[:-width], best[width:])
+        width *= 2
+    best = np.minimum(best[: len(best) - (span - width)], best[span - width :])[:n]
+    sizes = np.diff(offsets[lo : hi + 1])
+    windows = _spread(offsets[lo:hi] - base, np.maximum(sizes - DEPTH + 1, 0))
+    doc = np.repeat(np.arange(lo, hi), np.maximum(sizes - DEPTH + 1, 0))
+    anchor = (best[windows] & low).astype(np.int64)
+    del best
+    fresh = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])]) if len(windows) else np.zeros(0, np.int64)
+    return windows[fresh] + base, doc[fresh], np.diff(np.r_[fresh, len(windows)]), grams[anchor[fresh]] >> np.uint64(64 - KEY_BITS)
+
+
 class Stretches:
     """The stretches of windows with one anchor, of all documents of a batch."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         self.data = data
-        at = digits(data)
-        n = len(data)
-        grams = kernels.scramble(kernels.scramble(at[: n + DEPTH]) + at[GRAM // 2 : n + DEPTH + GRAM // 2])
-        low = np.uint64((1 << 28) - 1)
-        if n > int(low):
-            raise ValueError("a batch is limited to 256 MB")
-        # Equal hashes: the leftmost gram is the anchor, as position fills the low bits.
-        best = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)
-        width, span = 1, DEPTH - GRAM + 1
-        while 2 * width <= span:
-            best = np.minimum(best[:-width], best[width:])
-            width *= 2
-        best = np.minimum(best[: len(best) - (span - width)], best[span - width :])[:n]
-        doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-        windows = np.flatnonzero(np.arange(n) + DEPTH <= offsets[doc + 1]) if n else np.zeros(0, np.int64)
-        anchor, doc = (best[windows] & low).astype(np.int64), doc[windows]
-        fresh = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])]) if len(windows) else np.zeros(0, np.int64)
-        self.start, self.doc = windows[fresh], doc[fresh]
-        self.count = np.diff(np.r_[fresh, len(windows)])
-        self.key = grams[anchor[fresh]] >> np.uint64(64 - KEY_BITS)
+        parts = [_stretches(data, offsets, lo, hi) for lo, hi in kernels.row_chunks(offsets, CHUNK_BYTES)]
+        self.start, self.doc, self.count, self.key = (np.concatenate(c) for c in zip(*parts)) if parts else (np.zeros(0, t) for t in (int, int, int, np.uint64))
 
     def classes(self, chosen: np.ndarray) -> np.ndarray:
         """A 64-bit hash of the bytes of each chosen stretch."""
@@ -144,6 +154,11 @@ def _unpack(row):
     return ids, offsets, np.frombuffer(raw, np.uint8)
 
 
+def _rows(batch):
+    """Rows of an Arrow batch as dicts, one at a time."""
+    return (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows))
+
+
 PACKED = "batch long, n_docs long, n_bytes long, ids binary, sizes binary, texts binary"
 
 
@@ -196,7 +211,7 @@ def _cut(keys: np.ndarray, buckets: int):
 def _send_anchors(buckets: int):
     def scan(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 keys, counts = _anchor_counts(Stretches(*_unpack(row)[:0:-1]))
                 out = [
                     {"bucket": b, "batch": row["batch"], "n": hi - lo, "keys": _squeeze(np.diff(keys[lo:hi], prepend=np.uint64(0))), "counts": _squeeze(counts[lo:hi].astype(np.uint16))}
@@ -284,7 +299,7 @@ def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 def _send_stretches(buckets: int):
     def scan(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 ids, offsets, data = _unpack(row)
                 found = Stretches(data, offsets)
                 flagged = Flagged(found, ids, row["anchors"])
@@ -368,7 +383,7 @@ def removed_bytes(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
 
 def _digest(batches):
     for batch in batches:
-        for row in batch.to_pylist():
+        for row in _rows(batch):
             ids, offsets, data, gone = removed_bytes(row)
             first, last, owner = kernels.runs(gone, offsets)
             cut = np.searchsorted(owner, np.arange(len(ids) + 1))
