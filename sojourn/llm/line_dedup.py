@@ -30,7 +30,7 @@ import sys
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sojourn.llm import kernels
@@ -57,18 +57,15 @@ def _hash(value, *salt):
     return value
 
 
-def half_keys(line: str) -> list[tuple[int, int, int]]:
-    """(key, length to match, half that may differ) of a line's halves."""
-    sums, down = _prefix_sums(line)
-    n, out = len(sums) - 1, []
+def half_keys(line: Column) -> Column:
+    """Array of (key, length to match, half that may differ) of a line's halves."""
+    n, out = F.length(line), []
     for length in (n, n - 1):
-        middle = length // 2
-        # The end of the line has length - middle characters; it is hashed as if it began there.
-        end = n - (length - middle)
-        tail, head = (sums[n:] - sums[end]) * down[end], sums[middle : middle + 1]
-        out.append((int(_hash(head, length, 1)[0]), length, 1))
-        out.append((int(_hash(tail, length, 0)[0]), length, 0))
-    return out
+        middle = F.floor(length / 2).cast("int")
+        head, tail = F.substring(line, F.lit(1), middle), F.substring(line, n - length + middle + 1, length - middle)
+        for half, same in ((1, head), (0, tail)):
+            out.append(F.struct(F.xxhash64(F.lit(half), length, same).alias("key"), length.alias("length"), F.lit(half).alias("half")))
+    return F.array(*out)
 
 
 def variants(line: str, halves) -> list[tuple[int, int]]:
@@ -107,13 +104,6 @@ def _place(*more):
     return F.min(F.struct(F.col("id").isNull().alias("late"), "id", "no", *more)).alias("first")
 
 
-def _emit_halves(batches):
-    for batch in batches:
-        out = [(k, a, b, length, half) for a, b, line in zip(*[batch.column(c).to_pylist() for c in ("h1", "h2", "line")]) for k, length, half in half_keys(line)]
-        table = [np.array([r[0] for r in out], np.uint64).view(np.int64), *[np.array([r[i] for r in out], np.int64) for i in (1, 2, 3, 4)]]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in table], ["key", "h1", "h2", "length", "half"])
-
-
 def _emit_variants(id_type):
     def scan(batches):
         for batch in batches:
@@ -135,7 +125,7 @@ def near_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kind = lines.schema["id"].dataType.simpleString()
     distinct = lines.select("*", *_hashes()).groupBy(*LINE).agg(_place("line")).select(*LINE, "first.*")
 
-    halves = distinct.select(*LINE, "line").mapInArrow(_emit_halves, "key long, h1 long, h2 long, length long, half long")
+    halves = distinct.select(*LINE, F.explode(half_keys(F.col("line"))).alias("k")).select(*LINE, "k.*")
     shared = halves.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     possible = halves.join(shared, "key", "left_semi").groupBy(*LINE).agg(F.collect_set(F.struct("length", "half")).alias("halves"))
     candidates = settle(distinct.join(possible, LINE))
