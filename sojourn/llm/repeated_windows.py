@@ -34,6 +34,7 @@ from __future__ import annotations
 
 import hashlib
 import sys
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -81,6 +82,16 @@ def digits(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def span_hashes(at: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span; spans are shorter than 2 * DEPTH."""
+    out = size.astype(np.uint64)
+    for offset in range(0, int(size.max()) if len(size) else 0, 8):
+        left = np.clip(size - offset, 0, 8)
+        digit = at[np.where(left > 0, start + offset, 0)] >> (8 * np.minimum(8 - left, 7)).astype(np.uint64)
+        out = kernels.scramble(out + np.where(left > 0, digit + np.uint64(1), np.uint64(0)))
+    return out
+
+
 def radix_groups(at: np.ndarray, starts: np.ndarray, depth: int = DEPTH):
     """Groups of starts whose ``depth`` bytes are equal, by most-significant-digit passes.
 
@@ -139,10 +150,13 @@ class Stretches:
         parts = [_stretches(data, offsets, lo, hi) for lo, hi in kernels.row_chunks(offsets, CHUNK_BYTES)]
         self.start, self.doc, self.count, self.key = (np.concatenate(c) for c in zip(*parts)) if parts else (np.zeros(0, t) for t in (int, int, int, np.uint64))
 
+    @cached_property
+    def digits(self) -> np.ndarray:
+        return digits(self.data)
+
     def classes(self, chosen: np.ndarray) -> np.ndarray:
         """A 64-bit hash of the bytes of each chosen stretch."""
-        starts = self.start[chosen]
-        return kernels.run_hashes(self.data, starts, starts + self.count[chosen] + DEPTH - 1)
+        return span_hashes(self.digits, self.start[chosen], self.count[chosen] + DEPTH - 1)
 
 
 def _unpack(row):
@@ -261,9 +275,10 @@ class Flagged:
             at += len(buckets[b])
         mark = flags[np.searchsorted(keys, found.key)] if len(keys) else np.zeros(0, np.uint8)
         chosen = np.flatnonzero(mark > 0)
-        order = np.lexsort((ids[found.doc[chosen]], found.count[chosen], found.classes(chosen), found.key[chosen]))
-        chosen = chosen[order]
-        key, kind, count, owner = found.key[chosen], found.classes(chosen), found.count[chosen], ids[found.doc[chosen]]
+        kind = found.classes(chosen)
+        order = np.lexsort((ids[found.doc[chosen]], found.count[chosen], kind, found.key[chosen]))
+        chosen, kind = chosen[order], kind[order]
+        key, count, owner = found.key[chosen], found.count[chosen], ids[found.doc[chosen]]
         fresh = np.r_[True, (key[1:] != key[:-1]) | (kind[1:] != kind[:-1]) | (count[1:] != count[:-1])] if len(chosen) else np.zeros(0, bool)
         first = np.flatnonzero(fresh)
         self.chosen, self.same = chosen, np.cumsum(fresh) - 1
@@ -282,7 +297,7 @@ def _records(found: Stretches, flagged: Flagged):
     per = found.count[flagged.first[hot]]
     shift = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per) if len(hot) else np.zeros(0, np.int64)
     starts = np.repeat(found.start[flagged.first[hot]], per) + shift
-    keys = kernels.run_hashes(found.data, starts, starts + DEPTH) >> np.uint64(64 - KEY_BITS)
+    keys = span_hashes(found.digits, starts, np.full(len(starts), DEPTH)) >> np.uint64(64 - KEY_BITS)
     start = np.r_[found.start[flagged.first[cold]], starts]
     count = np.r_[found.count[flagged.first[cold]], np.ones(len(starts), np.int64)]
     key, record = np.r_[flagged.key[cold], keys], np.r_[cold, np.repeat(hot, per)]
@@ -316,7 +331,8 @@ def _send_stretches(buckets: int):
 def repeated_bits(data: np.ndarray, start: np.ndarray, count: np.ndarray, owner: np.ndarray, sort_rows: int = SORT_ROWS) -> np.ndarray:
     """For each piece a bit per window: whether a piece of a smaller owner has that window."""
     full = (np.uint64(1) << count.astype(np.uint64)) - np.uint64(1)
-    kind = kernels.run_hashes(data, start, start + count + DEPTH - 1)
+    at = digits(data)
+    kind = span_hashes(at, start, count + DEPTH - 1)
     order = np.lexsort((owner, count, kind))
     fresh = np.r_[True, (kind[order][1:] != kind[order][:-1]) | (count[order][1:] != count[order][:-1])]
     lead = order[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]
@@ -324,7 +340,6 @@ def repeated_bits(data: np.ndarray, start: np.ndarray, count: np.ndarray, owner:
     bits[order] = np.where(owner[order] > owner[lead], full[order], 0)
     # Only the first of equal pieces is sorted by windows; the others of its owner follow it.
     firsts = order[fresh]
-    at = digits(data)
     windows, piece = _spread(start[firsts], count[firsts]), np.repeat(firsts, count[firsts])
     least = owner[piece]
     rounds = -(-len(windows) // sort_rows)
