@@ -23,7 +23,9 @@ from __future__ import annotations
 import re
 import sys
 import uuid
+from array import array
 from dataclasses import dataclass
+from types import ModuleType
 from zlib import crc32
 
 import numpy as np
@@ -38,46 +40,130 @@ from sojourn.operators.work import scratch_path, settle
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 16 << 20
 BUCKET_KEYS = 4096
 CACHE_PIECES = 400_000
 END_ID = 0
 
-#: A blank between two characters that are certainly no white space. Byte-level
-#: pre-tokenisation always starts a new token there, so the parts encode independently.
+#: Byte-level pre-tokenisation always starts a new token at a blank between two characters
+#: that are certainly no white space, and keeps a line feed between two such characters for
+#: itself, so the parts encode independently.
+SAFE = re.compile(r"[\w!-~]")
 SAFE_BLANK = re.compile(r" (?<=[\w!-~] )(?=[\w!-~])")
+SAFE_LINE = re.compile(r"(?<=[\w!-~])\n(?=[\w!-~])")
+#: Letters, then ASCII punctuation: two pre-tokens.
+SHAPE = re.compile(r"([^\W\d_]*)([!-/:-@\[-`{-~]*)")
+#: Letters of the Latin blocks, whose kind no version of Unicode has changed.
+LAST_LATIN = "\u024f"
+
+
+#: What stands for a blank in a byte-level vocabulary.
+BLANK = chr(256 + 0x20)
+
+
+def _byte_letters() -> dict[int, str]:
+    """Byte -> the printable character that stands for it in a byte-level vocabulary."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
 class Encoder:
-    """Encodes whole texts; pieces between safe blanks are remembered."""
+    """Encodes whole texts with a tokenizer file.
+
+    For a byte-level tokenizer the pieces between safe blanks are encoded once and
+    remembered, frequent ones longest; a piece of letters is one pre-token and goes to the
+    model directly. Any other tokenizer gets whole texts.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.end = np.array([END_ID], self.kind).tobytes()
-        encoder = self
-
-        class Pieces(dict):
-            def __missing__(self, piece):
-                ids = encoder.encode_piece(" " + piece)
-                if len(self) >= CACHE_PIECES:
-                    self.clear()
-                if len(piece) <= 64:
-                    self[piece] = ids
-                return ids
-
-        self.pieces = Pieces()
-
-    def encode_piece(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+        self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        self.width = array(self.code).itemsize
+        self.end = array(self.code, [END_ID]).tobytes()
+        self.model = self.tokenizer.model
+        before = self.tokenizer.pre_tokenizer
+        self.by_piece = self.tokenizer.normalizer is None and type(before).__name__ == "ByteLevel" and before.use_regex and not before.add_prefix_space
+        self.recent: dict[str, bytes] = {}
+        self.earlier: dict[str, bytes] = {}
+        self.table = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
+        self.marks: dict[str, bytes] = {}
+        self.line = self._whole("\n") if self.by_piece else b""
+
+    def _whole(self, text: str) -> bytes:
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _token(self, text: str) -> bytes:
+        """Ids of one pre-token: a blank or nothing, then characters that are no white space."""
+        if text.isascii():
+            letters = BLANK + text[1:] if text[0] == " " else text
+        else:
+            letters = text.encode().decode("latin-1").translate(self.table)
+        return array(self.code, [t.id for t in self.model.tokenize(letters)]).tobytes()
+
+    def _marks(self, text: str) -> bytes:
+        if text not in self.marks:
+            if len(self.marks) >= 10_000:
+                self.marks.clear()
+            self.marks[text] = self._token(text)
+        return self.marks[text]
+
+    def _part(self, lead: str, body: str) -> bytes:
+        shape = SHAPE.fullmatch(body)
+        if shape is None or max(body) > LAST_LATIN:
+            return self._whole(lead + body)
+        if shape[1] and shape[2]:
+            return self._token(lead + shape[1]) + self._marks(shape[2])
+        return self._token(lead + body)
+
+    def _piece(self, piece: str) -> bytes | None:
+        """Ids of a blank and ``piece``, now among the recent ones; None unless it begins and ends safely."""
+        ids = self.earlier.get(piece)
+        if ids is None:
+            if piece.isascii() and piece.isalpha():
+                ids = self._token(" " + piece)
+            elif not piece or not SAFE.match(piece[0]) or not SAFE.match(piece[-1]):
+                return None
+            elif "\n" in piece:
+                first, *rest = SAFE_LINE.split(piece)
+                ids = self._part(" ", first) + b"".join([self.line + self._part("", r) for r in rest])
+            else:
+                ids = self._part(" ", piece)
+        if len(piece) <= 64:
+            if len(self.recent) >= CACHE_PIECES:
+                self.earlier, self.recent = self.recent, {}
+            self.recent[piece] = ids
+        return ids
+
+    def _blanks(self, text: str) -> bytes:
+        """Ids of a text, split at safe blanks only."""
+        first, *rest = SAFE_BLANK.split(text)
+        return b"".join([self._whole(first), *[self._whole(" " + r) for r in rest]])
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return self.end
-        first, *rest = SAFE_BLANK.split(text)
-        return b"".join([self.encode_piece(first), *map(self.pieces.__getitem__, rest), self.end])
+        if not self.by_piece:
+            return self._whole(text) + self.end
+        first, *rest = text.split(" ")
+        ids = list(map(self.recent.get, rest))
+        if None in ids:
+            for i, known in enumerate(ids):
+                if known is None and (piece := self._piece(rest[i])) is not None:
+                    ids[i] = piece
+        if None in ids or not first or not SAFE.match(first[-1]):
+            return self._blanks(text) + self.end
+        return b"".join([self._whole(first), *ids, self.end])
+
+
+def encoder(path: str) -> Encoder:
+    """The process's encoder for a file; workers keep it, and what it remembers, between tasks."""
+    held = sys.modules.setdefault("sojourn_encoders", ModuleType("sojourn_encoders"))
+    if path not in held.__dict__:
+        held.__dict__[path] = Encoder(path)
+    return held.__dict__[path]
 
 
 @dataclass(frozen=True)
@@ -107,11 +193,11 @@ def _open(uri: str):
 
 def _encode(tokenizer_path: str, cuts: np.ndarray):
     def scan(batches):
-        encoder = Encoder(tokenizer_path)
+        encode = encoder(tokenizer_path).encode
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                ids = pa.array([encoder.encode(t) for t in part.column("text").to_pylist()], pa.large_binary())
+                ids = pa.array([encode(t) for t in part.column("text").to_pylist()], pa.large_binary())
                 known = part.column("id")
                 shard = np.searchsorted(cuts, known.fill_null(0).to_numpy())
                 shard[known.is_null().to_numpy(zero_copy_only=False)] = len(cuts) + 1
@@ -260,7 +346,7 @@ def write_store(docs: DataFrame, tokenizer_path: str, path: str | None = None, i
     uri = _uri(spark, path)
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(folder)
-    width = Encoder(tokenizer_path).kind.itemsize
+    width = Encoder(tokenizer_path).width
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // shard_bytes))
