@@ -116,7 +116,10 @@ def radix_groups(at: np.ndarray, starts: np.ndarray, depth: int = DEPTH):
 
 
 def _stretches(data: np.ndarray, offsets: np.ndarray, lo: int, hi: int):
-    """Start, document, number of windows and anchor key of the stretches of documents lo to hi."""
+    """Start, document, number of windows and anchor key of the stretches of documents lo to hi.
+
+    Anchors have small hashes, so their keys are mixed once more to fill the buckets evenly.
+    """
     base = int(offsets[lo])
     at = digits(data[base : offsets[hi]])
     n = int(offsets[hi]) - base
@@ -139,7 +142,7 @@ def _stretches(data: np.ndarray, offsets: np.ndarray, lo: int, hi: int):
     anchor = (best[windows] & low).astype(np.int64)
     del best
     fresh = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])]) if len(windows) else np.zeros(0, np.int64)
-    return windows[fresh] + base, doc[fresh], np.diff(np.r_[fresh, len(windows)]), grams[anchor[fresh]] >> np.uint64(64 - KEY_BITS)
+    return windows[fresh] + base, doc[fresh], np.diff(np.r_[fresh, len(windows)]), kernels.scramble(grams[anchor[fresh]]) >> np.uint64(64 - KEY_BITS)
 
 
 class Stretches:
