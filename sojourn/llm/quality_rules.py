@@ -269,9 +269,11 @@ def judge(counts: DataFrame, rules: DecisionList, id_col: str = "doc_id") -> Dat
 
 
 def learn_from(docs: DataFrame, labels: DataFrame, settings: RuleSettings = RuleSettings(), id_col: str = "doc_id", text_col: str = "text") -> DecisionList:
-    """Learn from the labelled documents' whole texts."""
-    known = labels.where(F.col(id_col).isNotNull()).select(id_col).distinct()
-    counts = with_counts(docs.join(known, id_col, "left_semi"), id_col, text_col)
+    """Learn from the labelled documents' whole texts.
+
+    Counts are taken where the texts lie, and only they meet the labels.
+    """
+    counts = settle(with_counts(docs, id_col, text_col))
     return learn(settle(training_rows(counts, labels, id_col)), settings)
 
 
