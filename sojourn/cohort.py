@@ -223,8 +223,8 @@ def included(flagged: DataFrame, reasons=EXCLUSIONS) -> DataFrame:
     return out.drop(*reasons)
 
 
-def attrition(events: DataFrame, flagged: DataFrame, cfg: StudyConfig, reasons=EXCLUSIONS) -> DataFrame:
-    """Persons and claims left after each step, in order.
+def attrition(events: DataFrame, persons: DataFrame, flagged: DataFrame, cfg: StudyConfig, reasons=EXCLUSIONS) -> DataFrame:
+    """Persons and claims left after each step, in order; only persons in ``persons`` count.
 
     Claims are counted within the study period, except at ``qualified``, which counts
     everything a qualifying person has.
@@ -233,7 +233,7 @@ def attrition(events: DataFrame, flagged: DataFrame, cfg: StudyConfig, reasons=E
         F.bool_or(qualifies(cfg)).alias("ok"),
         F.count("*").alias("n_all"),
         F.count_if(in_period(cfg)).alias("n_in"),
-    ).filter("ok")
+    ).filter("ok").join(persons, "subject_id", "left_semi")
     before = per_person.agg(
         F.count("*").alias("p0"), F.sum("n_all").alias("c0"),
         F.count_if(F.col("n_in") > 0).alias("p1"), F.sum("n_in").alias("c1"),

@@ -37,7 +37,7 @@ def exact_quantiles(
         ranked = ranked.withColumn("size", F.sum("n").over(Window.partitionBy(*by)))
     else:
         sizes = counts.groupBy(*by).agg(F.sum("n").alias("size"))
-        ranked = ranked.join(F.broadcast(sizes), by) if by else ranked.withColumn("size", sizes.scalar())
+        ranked = ranked.join(sizes, by) if by else ranked.withColumn("size", sizes.scalar())
     aggs, outs = [], []
     for name, p in probs.items():
         h = (F.col("size") - 1) * F.lit(float(p))

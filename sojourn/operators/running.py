@@ -32,8 +32,8 @@ def running_totals(
     """Add inclusive running sums, one per entry of ``totals`` (name: SQL expression).
 
     ``df`` has one row per (by, order). ``blocks`` selects the block form, which is for
-    a handful of groups (variables, strata): its per-group bounds and block totals are
-    broadcast, at most ``blocks`` values per group.
+    a handful of groups (variables, strata): it joins per-group bounds and block totals,
+    at most ``blocks`` values per group, which Spark broadcasts if their size allows.
     """
     by = list(by)
     if not blocks:
@@ -45,7 +45,7 @@ def running_totals(
     df = df.withColumns({f"__v_{name}": F.expr(expr) for name, expr in totals.items()})
     cuts = [i / blocks for i in range(1, blocks)]
     bounds = df.groupBy(*groups).agg(F.percentile_approx(order, cuts, 10 * blocks).alias("__bounds"))
-    placed = df.join(F.broadcast(bounds), groups).withColumn(
+    placed = df.join(bounds, groups).withColumn(
         "__block", F.expr(f"size(filter(__bounds, b -> b < {order}))")
     ).drop("__bounds")
     per_block = placed.groupBy(*groups, "__block").agg(*[F.sum(f"__v_{n}").alias(f"__t_{n}") for n in totals])
@@ -54,6 +54,6 @@ def running_totals(
         *[F.coalesce(_over(f"__t_{n}", groups, "__block", descending, "1 PRECEDING"), F.lit(0)).alias(f"__s_{n}") for n in totals],
     )
     out = placed.withColumns({f"__w_{n}": _over(f"__v_{n}", [*groups, "__block"], order, descending) for n in totals})
-    out = out.join(F.broadcast(starts), [*groups, "__block"])
+    out = out.join(starts, [*groups, "__block"])
     keep = [c for c in df.columns if not c.startswith("__")]
     return out.select(*keep, *[F.expr(f"__s_{n} + __w_{n}").alias(n) for n in totals])

@@ -124,7 +124,7 @@ UNION ALL SELECT 6, 'invalid_age', count(*), CAST(sum(n) AS BIGINT) FROM f WHERE
 def attrition(spark, sf_dir):
     """Persons and claims left after every step of the selection."""
     flagged = _measured(spark, sf_dir, *cohort.exclusion_measures(CONFIG), keep=False)
-    return cohort.attrition(claims(spark, sf_dir), flagged, CONFIG)
+    return cohort.attrition(claims(spark, sf_dir), persons(spark, sf_dir), flagged, CONFIG)
 
 
 @query(prelude=COHORT, sql=f"""

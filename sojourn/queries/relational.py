@@ -99,10 +99,11 @@ SELECT 'dx1' AS variable, dx1 AS value, count(*) AS n FROM claims GROUP BY 2
 UNION ALL SELECT 'dx2', dx2, count(*) FROM claims GROUP BY 2
 UNION ALL SELECT 'form_cd', form_cd, count(*) FROM claims GROUP BY 2
 ), pl AS (
-SELECT *, row_number() OVER (PARTITION BY variable ORDER BY n DESC, value ASC NULLS LAST) AS place,
-       count(*) OVER (PARTITION BY variable) AS n_levels FROM lv)
-SELECT variable, CASE WHEN n_levels > 6 AND place >= 6 THEN '(Other)' ELSE coalesce(value, '(NULL)') END AS level,
-       CAST(sum(n) AS BIGINT) AS n FROM pl GROUP BY 1, 2"""
+SELECT *, row_number() OVER (PARTITION BY variable ORDER BY n DESC, value ASC) AS place,
+       count(*) OVER (PARTITION BY variable) AS n_levels FROM lv WHERE value IS NOT NULL)
+SELECT variable, CASE WHEN n_levels > 7 AND place > 6 THEN '(Other)' ELSE value END AS level,
+       CAST(sum(n) AS BIGINT) AS n FROM pl GROUP BY 1, 2
+UNION ALL SELECT variable, '(NULL)', n FROM lv WHERE value IS NULL"""
 
 
 @query(prelude=CLAIMS, sql=_levels)

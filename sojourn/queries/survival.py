@@ -205,7 +205,7 @@ def cox_main(spark, sf_dir):
 _quad = lambda a, m: " + ".join(f"{a}{i} * {a}{j} * {m}{min(i, j)}_{max(i, j)}" for i in range(4) for j in range(4))
 _score = "(SELECT " + " + ".join(f"u{i} * h{i}" for i in range(4)) + " FROM fit0)"
 
-_pairs = """, cs AS (SELECT s."time", s.event, round({eta}, 10) AS score FROM s, {sources}),
+_pairs = """, cs AS (SELECT s."time", s.event, CAST({eta} AS DOUBLE) AS score FROM s, {sources}),
 cp AS (SELECT a.rid AS ra, b.rid AS rb, CASE WHEN a.score > b.score THEN 1.0::DOUBLE WHEN a.score = b.score THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS k
   FROM (SELECT *, row_number() OVER () AS rid FROM cs) a JOIN (SELECT *, row_number() OVER () AS rid FROM cs) b
     ON a.event = 1 AND (b."time" > a."time" OR (b."time" = a."time" AND b.event = 0))),
@@ -228,7 +228,7 @@ def cox_main_performance(spark, sf_dir):
     """Sizes, likelihoods, the three tests, AIC, BIC and concordance of the main model."""
     fit = cox.cox_fit(model_table(spark, sf_dir), MAIN)
     shown = concordance.model_concordance(fit)
-    return rounded(fit.glance().withColumns({
+    return rounded(fit.glance().drop("converged").withColumns({
         "concordance": shown.select("concordance").scalar(), "concordance_se": shown.select("std_error").scalar(),
     }))
 

@@ -70,11 +70,17 @@ def read_files(spark: SparkSession, paths, schema: T.StructType, fmt: str = "csv
 
 
 def _read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    header = spark.read.csv(path, header=True).schema.fieldNames()
-    as_read = T.StructType([schema[n] if n in schema.fieldNames() else T.StructField(n, T.StringType()) for n in header])
-    return spark.read.schema(as_read).csv(path, header=True, mode="PERMISSIVE").select(
-        *[n for n in schema.fieldNames() if n in header]
-    )
+    """All files under ``path``, each by its own header; files with equal headers are read together."""
+    lines = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("at"))
+    first = lines.filter("file_block_start = 0").groupBy("file_path").agg(F.min_by("value", "at").alias("header"))
+    headers = first.groupBy("header").agg(F.sort_array(F.collect_list("file_path")).alias("files")).orderBy("header").collect()
+    frames = []
+    for row in headers:
+        header = spark.read.csv(row["files"][0], header=True).schema.fieldNames()
+        as_read = T.StructType([schema[n] if n in schema.fieldNames() else T.StructField(n, T.StringType()) for n in header])
+        rows = spark.read.schema(as_read).csv(row["files"], header=True, mode="PERMISSIVE")
+        frames.append(rows.select(*[n for n in schema.fieldNames() if n in header]))
+    return append(*frames) if frames else spark.createDataFrame([], schema)
 
 
 def renamed(df: DataFrame, names: dict[str, str]) -> DataFrame:

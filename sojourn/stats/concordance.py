@@ -34,8 +34,7 @@ def concordance(df: DataFrame, score: str = "score", weight: str | None = None)
     number of comparable pairs. Needs columns time and event; ``score`` is SQL."""
     n = F.col(weight) if weight else F.lit(1)
     value = F.expr(score)
-    # Equal predictors can differ in the last bits after a sum in another order.
-    base = df.select("time", F.col("event").cast("int").alias("event"), F.round(value, 10).alias("score"), n.alias("n"))
+    base = df.select("time", F.col("event").cast("int").alias("event"), value.cast("double").alias("score"), n.alias("n"))
     rows = _ranked(base.filter("time IS NOT NULL AND event IS NOT NULL AND score IS NOT NULL"))
     top = rows.agg(F.max("rank")).first()[0]
     bits = max(int(top or 0).bit_length(), 1)

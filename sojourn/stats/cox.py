@@ -188,7 +188,7 @@ class _Newton:
         if self.loglik0 is None:
             self.loglik0 = loglik
             self.score = float(gradient @ _step(information, gradient))
-        elif math.isfinite(loglik) and abs(1 - self.loglik / loglik) <= TOLERANCE:
+        elif math.isfinite(loglik) and abs(loglik - self.loglik) <= TOLERANCE * abs(loglik):
             self.converged = self.done = True
         elif not math.isfinite(loglik) or loglik < self.loglik:
             self.steps += 1
@@ -204,7 +204,10 @@ class _Newton:
 
     def finite(self) -> bool:
         """Whether the estimate settled, not just the log-likelihood. Under separation the
-        likelihood levels off while each step still moves the coefficient."""
+        likelihood levels off while each step still moves the coefficient. Without
+        information, as for a constant, there is no estimate."""
+        if not np.all(np.diag(self.information) > 0):
+            return False
         step = np.abs(_step(self.information, self.gradient))
         return self.converged and not bool(np.any((step > TOLERANCE) & (step > math.sqrt(TOLERANCE) * np.abs(self.beta))))
 
@@ -278,11 +281,11 @@ class CoxFit:
     def glance(self) -> DataFrame:
         """Sizes, log-likelihoods, the three model tests, AIC and BIC."""
         k = len(self.beta)
-        row = (self.n, self.events, self.loglik_null, self.loglik, self.lr, k, self.wald, k, self.score, k, self.aic, self.bic)
+        row = (self.n, self.events, self.loglik_null, self.loglik, self.lr, k, self.wald, k, self.score, k, self.aic, self.bic, self.converged)
         df = self.spark.createDataFrame(
             [row],
             "n long, events long, loglik_null double, loglik_final double, lr_chisq double, lr_df int,"
-            " wald_chisq double, wald_df int, score_chisq double, score_df int, aic double, bic double",
+            " wald_chisq double, wald_df int, score_chisq double, score_df int, aic double, bic double, converged boolean",
         )
         return df.withColumns({f"{t}_p": chi2_sf(f"{t}_chisq", f"{t}_df") for t in ("lr", "wald", "score")})
 
@@ -330,7 +333,8 @@ def cox_sweep(df: DataFrame, terms, blocks: int | None = None) -> DataFrame:
     """One single-covariate model per term, all fitted together.
 
     The table is unpivoted to (var, x) once; every Newton step is one job grouped by
-    (var, time) that advances all models still moving.
+    (var, time) that advances all models still moving. Every term has a row; one without
+    events or without variation has NULL estimates and ``finite`` false.
     """
     frames = []
     for term in terms:
@@ -364,8 +368,12 @@ def cox_sweep(df: DataFrame, terms, blocks: int | None = None) -> DataFrame:
         for row in rows:
             moving[row["var"]].update(row["l"], _vector(row, 1), _matrix(row, 1))
     out = []
-    for v, f in fits.items():
-        info = float(f.information[0, 0])
-        se = 1 / math.sqrt(info) if info > 0 else float("inf")
-        out.append((v, *_hazard_row(float(f.beta[0]), se), 2 * (f.loglik - f.loglik0), f.score, f.finite()))
+    for v in names:
+        f = fits.get(v)
+        info = float(f.information[0, 0]) if f else 0.0
+        if info > 0:
+            out.append((v, *_hazard_row(float(f.beta[0]), 1 / math.sqrt(info)), 2 * (f.loglik - f.loglik0), f.score, f.finite()))
+        else:
+            # No complete case, no event, or nothing that varies at an event: no estimate.
+            out.append((v, *[None] * (len(TIDY.split(",")) + 2), False))
     return df.sparkSession.createDataFrame(out, f"var string, {TIDY}, lr_chisq double, score_chisq double, finite boolean")

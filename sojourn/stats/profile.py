@@ -55,22 +55,24 @@ def numeric_summary(df: DataFrame, names) -> DataFrame:
 
 
 def level_summary(df: DataFrame, names, top: int = 6) -> DataFrame:
-    """Row counts of each column's most frequent levels, the rest under (Other).
+    """Row counts of each column's ``top`` most frequent levels, the rest under (Other).
 
-    With more than ``top`` levels, the last place is the remainder.
+    A single level beyond ``top`` is shown itself. NULLs are no level; they are counted
+    apart, under (NULL), if there are any.
     """
-    levels = long_values(df, names, kind="string").groupBy("variable", "value").agg(F.count("*").alias("n"))
-    places = Window.partitionBy("variable").orderBy(F.col("n").desc(), F.col("value").asc_nulls_last())
-    best = levels.withColumn("place", F.row_number().over(places)).filter(F.col("place") <= top)
+    counts = long_values(df, names, kind="string").groupBy("variable", "value").agg(F.count("*").alias("n"))
+    levels = counts.filter(F.col("value").isNotNull())
+    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), "value", "n"))), 1, top + 1)
+    # The first levels of each group of levels, then of those: no task orders all levels.
+    parts = levels.withColumn("part", F.pmod(F.hash("value"), F.lit(256))).groupBy("variable", "part").agg(best.alias("b"))
+    first = parts.groupBy("variable").agg(F.slice(F.array_sort(F.flatten(F.collect_list("b"))), 1, top + 1).alias("b"))
     sizes = levels.groupBy("variable").agg(F.count("*").alias("n_levels"), F.sum("n").alias("total"))
-    kept = best.join(F.broadcast(sizes), "variable").filter(
-        (F.col("n_levels") <= top) | (F.col("place") < top)
-    )
-    shown = kept.select("variable", F.coalesce("value", F.lit("(NULL)")).alias("level"), "n")
-    rest = kept.groupBy("variable").agg(
-        (F.max("total") - F.sum("n")).alias("n"), F.max("n_levels").alias("n_levels")
-    ).filter(F.col("n_levels") > top)
-    return shown.unionByName(rest.select("variable", F.lit("(Other)").alias("level"), "n"))
+    known = first.join(sizes, "variable").withColumn("b", F.when(F.col("n_levels") <= top + 1, F.col("b")).otherwise(F.slice("b", 1, top)))
+    shown = known.select("variable", F.explode("b").alias("x")).select("variable", F.col("x.value").alias("level"), F.col("x.n").alias("n"))
+    listed = F.aggregate("b", F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    rest = known.filter(F.col("n_levels") > top + 1).select("variable", F.lit("(Other)").alias("level"), (F.col("total") - listed).alias("n"))
+    missing = counts.filter(F.col("value").isNull()).select("variable", F.lit("(NULL)").alias("level"), "n")
+    return shown.unionByName(rest).unionByName(missing)
 
 
 def complete_cases(df: DataFrame, names) -> DataFrame:

@@ -109,7 +109,7 @@ def test_exclusions_agree_and_attrition(spark):
     by_flag = sorted(by_id(cohort.included(flagged), "first_admit"))
     reasons = {n: flagged.filter(n).select("subject_id") for n in cohort.EXCLUSIONS}
     assert by_flag == sorted(by_id(cohort.exclude(flagged.select("subject_id", "first_admit"), reasons), "first_admit")) == ["c"]
-    steps = [tuple(r)[1:] for r in cohort.attrition(table, flagged, CFG).orderBy("seq").collect()]
+    steps = [tuple(r)[1:] for r in cohort.attrition(events(spark, [*rows, claim("unknown", "2008-01-01")]), persons, flagged, CFG).orderBy("seq").collect()]
     assert steps == [("qualified", 5, 7), ("in_period", 4, 5), ("indexed", 4, 5), ("washout", 3, 4), ("death_in_stay", 3, 4),
                      ("unclear_discharge", 2, 3), ("invalid_age", 1, 2)]
     kept = cohort.cohort_claims(table, cohort.included(flagged), CFG)

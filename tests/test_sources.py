@@ -21,6 +21,16 @@ def test_claims_keep_their_text(spark, tmp_path):
     assert rows[2]["dx2"] is None and rows[2]["source_seq"] == 1 and rows[2]["los"] == 4
 
 
+def test_each_file_of_a_folder_has_its_own_header(spark, tmp_path):
+    folder = tmp_path / "people"
+    folder.mkdir()
+    write(folder, "a.csv", "RN_INDI,SEX\n1,2\n")
+    write(folder, "b.csv", "SEX,RN_INDI\n1,777\n")
+    write(folder, "c.csv", "RN_INDI,SEX\n3,1\n")
+    rows = tables.read_files(spark, str(folder), tables.ELIGIBILITY_SCHEMA).collect()
+    assert {(r["RN_INDI"], r["SEX"]) for r in rows} == {("1", 2), ("777", 1), ("3", 1)}
+
+
 def test_persons_first_row_wins(spark, tmp_path):
     birth = write(tmp_path, "birth.csv", "RN_INDI,BTH_YYYY,DTH_YYYYMM\n1,1950,\n2,19xxLE,201001\n3,1960,\n")
     one = write(tmp_path, "one.csv", "RN_INDI,SEX\n1,2\n2,1\n")

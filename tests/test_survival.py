@@ -108,14 +108,28 @@ def test_cox_factor_equals_numeric(trial, fit):
 def test_sweep_matches_single_fits(trial):
     wide = trial.withColumns({"y": (F.col("time") % 3).cast("double"), "none": F.lit(None).cast("double")})
     rows = {r["var"]: r for r in cox.cox_sweep(wide, ["x", "y", "none"]).collect()}
-    assert set(rows) == {"x", "y"}
-    for v in rows:
+    assert set(rows) == {"x", "y", "none"}
+    assert rows["none"]["estimate"] is None and not rows["none"]["finite"]
+    for v in ("x", "y"):
         single = cox.cox_fit(wide, [v]).tidy().first()
         assert rows[v]["estimate"] == pytest.approx(single["estimate"], rel=1e-7)
         assert rows[v]["std_error"] == pytest.approx(single["std_error"], rel=1e-7)
     assert rows["x"]["score_chisq"] == pytest.approx(17.24654, abs=1e-5)
 
 
+def test_no_information_is_no_estimate(spark):
+    df = spark.createDataFrame([(1, 0, 1.0, 5.0), (2, 0, 2.0, 5.0), (3, 1, 3.0, 5.0)], "time int, event int, x double, same double")
+    rows = {r["var"]: r for r in cox.cox_sweep(df, ["x", "same"]).collect()}
+    assert all(r["estimate"] is None and not r["finite"] for r in rows.values())
+    assert cox.cox_fit(df, ["x"]).loglik == 0
+
+
+def test_concordance_does_not_depend_on_scale(spark):
+    df = spark.createDataFrame([(t, 1, float(-t)) for t in range(1, 30)], "time int, event int, score double")
+    for scale in (1.0, 1e-12, 1e12):
+        assert concordance(df, f"score * {scale!r}D").first()["concordance"] == 1.0
+
+
 def test_separation_stops(spark):
     rows = [(t, int(t % 2 == 0), 0) for t in range(1, 30)] + [(40 + t, 0, 1) for t in range(5)] + [(5, 0, 1)]
     df = spark.createDataFrame(rows, "time int, event int, x int")

@@ -130,5 +130,13 @@ def test_profile(spark):
     assert rows["s"]["n_missing"] == 1 and rows["k"]["lowest"] == "1"
     many = spark.range(100).select(F.when(F.col("id") < 90, F.col("id") % 9).otherwise(99).cast("string").alias("s"))
     levels = profile.level_summary(many, ["s"], top=4).collect()
-    assert len(levels) == 4 and sum(r["n"] for r in levels) == 100
-    assert {r["level"]: r["n"] for r in levels}["(Other)"] == 70
+    assert len(levels) == 5 and sum(r["n"] for r in levels) == 100
+    assert {r["level"]: r["n"] for r in levels}["(Other)"] == 60
+
+
+@pytest.mark.parametrize("kinds, shown", [(6, 6), (7, 7), (8, 7)])
+def test_level_summary_shows_a_single_rest_itself(spark, kinds, shown):
+    rows = spark.range(70).select(F.when(F.col("id") % 10 > 0, F.col("id") % kinds).cast("string").alias("s"))
+    levels = {r["level"]: r["n"] for r in profile.level_summary(rows, ["s"]).collect()}
+    assert levels.pop("(NULL)") == 7 and len(levels) == shown and sum(levels.values()) == 63
+    assert ("(Other)" in levels) == (kinds == 8)
