@@ -89,6 +89,22 @@ def variants(line: str, halves) -> list[tuple[int, int]]:
     return sorted(set(out))
 
 
+def one_edit(a: str, b: str) -> bool:
+    """Whether two lines are equal or one edit apart, in time linear in their length."""
+    if abs(len(a) - len(b)) > 1:
+        return False
+    n = min(len(a), len(b))
+    apart = np.frombuffer(a[:n].encode("utf-32-le"), "<u4") != np.frombuffer(b[:n].encode("utf-32-le"), "<u4")
+    i = int(np.argmax(apart)) if apart.any() else n
+    return a[i + (len(a) >= len(b)) :] == b[i + (len(b) >= len(a)) :]
+
+
+def _verify(batches):
+    for batch in batches:
+        near = [one_edit(a, b) for a, b in zip(batch.column("line").to_pylist(), batch.column("other").to_pylist())]
+        yield batch.select(["h1", "h2", "late", "id", "no", "o1", "o2"]).filter(pa.array(near, pa.bool_()))
+
+
 def _lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
     """(id, no, line) of the lines that are long enough."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -120,7 +136,7 @@ def _emit_variants(id_type):
 
 
 def near_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """(h1, h2, first, o1, o2) of distinct lines with an earlier line one edit away, and that line."""
+    """(h1, h2, late, id, no, o1, o2): distinct lines with an earlier line one edit away, and that line."""
     lines = _lines(docs, id_col, text_col, min_chars)
     kind = lines.schema["id"].dataType.simpleString()
     distinct = lines.select("*", *_hashes()).groupBy(*LINE).agg(_place("line")).select(*LINE, "first.*")
@@ -136,9 +152,10 @@ def near_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     met = keys.join(groups, "key").withColumn("o", F.expr("CASE role WHEN 0 THEN e0 WHEN 1 THEN e2 ELSE e1 END")).where("o IS NOT NULL")
     before = met.where(F.col("o") < F.struct("late", "id", "no", "h1", "h2")).groupBy(*LINE).agg(F.min("o").alias("o")).select(*LINE, F.col("o.h1").alias("o1"), F.col("o.h2").alias("o2"))
 
-    mine = candidates.select(*LINE, F.struct("late", "id", "no").alias("first"), "line")
+    mine = candidates.select(*LINE, "late", "id", "no", "line")
     theirs = candidates.select(F.col("h1").alias("o1"), F.col("h2").alias("o2"), F.col("line").alias("other"))
-    return before.join(mine, LINE).join(theirs, ["o1", "o2"]).where(F.levenshtein("line", "other", 1).between(0, 1)).select(*LINE, "first", "o1", "o2")
+    pairs = before.join(mine, LINE).join(theirs, ["o1", "o2"])
+    return pairs.mapInArrow(_verify, f"h1 long, h2 long, late boolean, id {kind}, no int, o1 long, o2 long")
 
 
 def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
