@@ -101,10 +101,9 @@ def age_at_index(spark, sf_dir):
 
 @query(prelude=COHORT, sql="SELECT subject_id, first_admit, age_index FROM incl")
 def included_persons(spark, sf_dir):
-    """Index persons after all exclusions, as one anti join on the tagged id sets."""
+    """Index persons after all exclusions; the flags are on the persons, so no id set is joined."""
     flagged = _measured(spark, sf_dir, *cohort.exclusion_measures(CONFIG), keep=False)
-    reasons = {name: flagged.filter(name).select("subject_id") for name in cohort.EXCLUSIONS}
-    return cohort.exclude(flagged.select("subject_id", "first_admit", "age_index"), reasons)
+    return cohort.included(flagged).select("subject_id", "first_admit", "age_index")
 
 
 @query(prelude=COHORT, sql=f"""

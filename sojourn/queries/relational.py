@@ -66,14 +66,17 @@ def append_sources(spark, sf_dir):
     return both.groupBy("source_seq").agg(F.count("*").alias("n"), F.count("dx2").alias("n_dx2"))
 
 
-@query(prelude=CLAIMS, sql="""
-SELECT 1 AS position, 'subject_id' AS column_name, 'bigint' AS type, count(*) - count(subject_id) AS n_missing, CAST(min(subject_id) AS VARCHAR) AS lowest FROM claims
-UNION ALL SELECT 2, 'start_dt', 'date', count(*) - count(start_dt), CAST(min(start_dt) AS VARCHAR) FROM claims
-UNION ALL SELECT 3, 'form_cd', 'string', count(*) - count(form_cd), min(form_cd) FROM claims
-UNION ALL SELECT 4, 'dx2', 'string', count(*) - count(dx2), min(dx2) FROM claims
-UNION ALL SELECT 5, 'los', 'int', count(*) - count(los), CAST(min(los) AS VARCHAR) FROM claims""")
+CLAIM_TYPES = {
+    "subject_id": "bigint", "start_dt": "date", "form_cd": "string", "dx1": "string", "dx2": "string", "path_type": "int",
+    "result_type": "int", "los": "int", "k1": "bigint", "k2": "int", "k3": "bigint", "k4": "bigint", "k5": "double",
+}
+
+
+@query(prelude=CLAIMS, sql=" UNION ALL ".join(
+    f"SELECT {i} AS position, '{c}' AS column_name, '{kind}' AS type, count(*) - count({c}) AS n_missing, CAST(min({c}) AS VARCHAR) AS lowest FROM claims"
+    for i, (c, kind) in enumerate(CLAIM_TYPES.items(), 1)))
 def claims_glimpse(spark, sf_dir):
-    return profile.glimpse(claims(spark, sf_dir).select("subject_id", "start_dt", "form_cd", "dx2", "los"))
+    return profile.glimpse(claims(spark, sf_dir))
 
 
 @query(prelude=CLAIMS, sql="SELECT count(*) AS n_rows, count(DISTINCT subject_id) AS n_ids FROM claims")
@@ -81,17 +84,19 @@ def claims_counts(spark, sf_dir):
     return profile.counts(claims(spark, sf_dir), "subject_id")
 
 
+NUMERIC = [c for c, kind in CLAIM_TYPES.items() if kind not in ("string", "date")]
+
 _numeric = " UNION ALL ".join(
     f"""SELECT '{c}' AS variable, min({c})::DOUBLE AS min, {r(f'avg({c})', 'mean')}, max({c})::DOUBLE AS max,
        count(*) - count({c}) AS n_missing, {r(f'quantile_cont({c}::DOUBLE, 0.25)', 'q1')},
        {r(f'quantile_cont({c}::DOUBLE, 0.5)', 'median')}, {r(f'quantile_cont({c}::DOUBLE, 0.75)', 'q3')} FROM claims"""
-    for c in ("los", "path_type", "k5")
+    for c in NUMERIC
 )
 
 
 @query(prelude=CLAIMS, sql=_numeric)
 def claims_numeric_summary(spark, sf_dir):
-    return rounded(profile.numeric_summary(claims(spark, sf_dir), ["los", "path_type", "k5"]))
+    return rounded(profile.numeric_summary(claims(spark, sf_dir), NUMERIC))
 
 
 _levels = """, lv AS (
