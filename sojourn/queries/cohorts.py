@@ -153,8 +153,7 @@ def group_split(spark, sf_dir):
     hot = hot_keys(events, "subject_id")
     wanted = [outcome.same_dx_count(CONFIG), *cohort.exclusion_measures(CONFIG)]
     people = outcome.with_label(cohort.included(study.flagged_persons(events, persons(spark, sf_dir), CONFIG, wanted, hot)))
-    again, other = outcome.split_groups(people)
-    tagged = again.withColumn("grp", F.lit("readmit")).unionByName(other.withColumn("grp", F.lit("nonreadmit")))
+    tagged = people.select("subject_id", F.when(F.col("readmit_flag") == 1, "readmit").otherwise("nonreadmit").alias("grp"))
     rows = keyed_join(cohort.within_period(events, CONFIG), tagged, "subject_id", salt_by=CONFIG.order, hot=hot)
     return rows.groupBy("grp").agg(F.count("*").alias("n_claims"), F.count_distinct("subject_id").alias("n_persons"))
 
