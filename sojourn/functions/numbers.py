@@ -39,22 +39,6 @@ def ln_gamma_large(x: str) -> str:
     )
 
 
-def digamma_large(x: str) -> str:
-    """Asymptotic series for the derivative of log Gamma, for x of 10 or more."""
-    return (
-        f"(ln({x}) - 0.5D/({x}) - (1D/12 - (1D/120 - (1D/252 - (1D/240 - 1D/132/(({x})*({x})))"
-        f" /(({x})*({x}))) /(({x})*({x}))) /(({x})*({x}))) / (({x})*({x})))"
-    )
-
-
-def trigamma_large(x: str) -> str:
-    """Asymptotic series for the second derivative of log Gamma, for x of 10 or more."""
-    return (
-        f"(1D/({x}) + 0.5D/(({x})*({x})) + (1D/6 - (1D/30 - (1D/42 - (1D/30 - 5D/66/(({x})*({x})))"
-        f" /(({x})*({x}))) /(({x})*({x}))) /(({x})*({x}))) / (({x})*({x})*({x})))"
-    )
-
-
 def ln_gamma(x: str) -> str:
     """log Gamma for x > 0: the argument is raised by 10, then divided back out."""
     product = " * ".join(f"(({x}) + {j}D)" for j in range(10))

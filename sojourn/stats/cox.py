@@ -5,9 +5,9 @@ risk-set sums by time, a running sum from the last time backwards, and one row o
 log-likelihood, gradient and information back to the driver. The driver only solves
 a system as large as the number of coefficients.
 
-Efron's tie terms reduce, per time, to six scalar sums over the d tied events. They
-have closed forms in the (di/tri)gamma functions, so a time with a billion events
-costs no more than one with ten.
+Efron's tie terms reduce, per time, to six scalar sums over the d tied events. All but
+the last ten terms have a closed form, so a time with a billion events costs no more
+than one with ten.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sojourn.functions.numbers import chi2_sf, digamma_large, ln_gamma_large, trigamma_large
+from sojourn.functions.numbers import chi2_sf
 from sojourn.operators.running import running_totals
 from sojourn.operators.work import settle
 from sojourn.stats.km import Z95
@@ -27,7 +27,6 @@ from sojourn.stats.profile import complete_cases
 
 MAX_STEPS = 20
 TOLERANCE = 1e-9
-FOLD_LIMIT = 64
 
 
 @dataclass(frozen=True)
@@ -65,41 +64,78 @@ def design(df: DataFrame, terms, keep=("time", "event")) -> tuple[DataFrame, lis
     return usable.select(*keep, *[e.alias(f"x{i}") for i, e in enumerate(exprs)]), names, owners
 
 
-def _with_tie_sums(at_risk: DataFrame, fold_limit: int) -> DataFrame:
+def _ends(coefficients, term, first: int = 1) -> str:
+    """Euler-Maclaurin end corrections from the ``first`` on: their terms at y1 less those at z."""
+    def at(y: str) -> str:
+        return " + ".join(term(c, k, y) for k, c in enumerate(coefficients, 1) if k >= first)
+    return f"(({at('y1')}) - ({at('z')}))"
+
+
+def _power(y: str, k: int) -> str:
+    return "(" + " * ".join([y] * k) + ")"
+
+
+def _with_tie_sums(at_risk: DataFrame) -> DataFrame:
     """Add sums over l = 0..d-1 with f = l/d and a = s0 - f*e0: of ln a (``ln_a``), 1/a
     (``i1``), f/a (``if1``), 1/a^2 (``i2``), f/a^2 (``if2``) and f^2/a^2 (``iff2``).
 
-    Writing a = q (z - l) with q = e0/d and z = s0/q, all are differences of log Gamma
-    and its derivatives. Those cover the first m terms; the last few, where z - l can be
-    small, are added up one by one. Up to ``fold_limit`` tied events m is 0.
+    With z = d*s0/e0 and y = z - l, a is s0*y/z. The last ten terms, where y can be small,
+    are added up one by one; the m before them by Euler-Maclaurin's formula, whose
+    remainder is below double precision from y = 10 on. Its integrals are functions of
+    v = ln(z/y1) with y1 = z - m; they are summed as series of positive terms, so nothing
+    cancels however large z is against m.
     """
+    even = ("1D/6", "-1D/30", "1D/42", "-1D/30", "5D/66")
+    log_ends = _ends([f"{c}/{2 * k * (2 * k - 1)}" for k, c in enumerate(even, 1)],
+                     lambda c, k, y: f"({c}) / {_power(y, 2 * k - 1)}")
+    once = [f"{c}/{2 * k}" for k, c in enumerate(even, 1)]
+    inv_ends = _ends(once, lambda c, k, y: f"({c}) / {_power(y, 2 * k)}")
+    square_ends = _ends(even, lambda c, k, y: f"({c}) / {_power(y, 2 * k + 1)}")
+
+    def mixed(times: int, first: int = 1) -> str:
+        pairs = list(zip(even, once))
+        return _ends(pairs, lambda c, k, y: f"(({c[0]}) * z / {y} - {times} * ({c[1]})) / {_power(y, 2 * k)}", first)
+
     staged = at_risk.selectExpr(
-        "*", "e0 / d AS q", "s0 * d / e0 AS z", f"CASE WHEN d > {fold_limit} THEN d - 10 ELSE 0D END AS m"
-    ).selectExpr(
+        "*", "s0 * d / e0 AS z", "d * greatest(s0 - e0, 0D) / e0 AS past", "greatest(d - 10, 0D) AS m"
+    ).selectExpr("*", "d - m + past AS y1").selectExpr("*", "z / y1 AS w", "log1p(m / y1) AS v")
+    grow = "s.t * v / i"
+    series = staged.selectExpr(
+        "*",
+        "aggregate(sequence(2, cast(ceil(40 + 4 * v) AS int)), named_struct('t', v, 'up', 0D, 'down', 0D, 'odd', 0D),"
+        f" (s, i) -> named_struct('t', {grow}, 'up', s.up + {grow}, 'down', s.down + (i - 1) * {grow},"
+        f" 'odd', s.odd + CASE WHEN i % 2 = 1 THEN {grow} ELSE 0D END)) AS e",
+    )
+    # exp(v)-1-v, exp(-v)-1+v and sinh(v)-v are e.up, e.down/w and e.odd.
+    head = series.selectExpr(
         "*",
-        f"CASE WHEN m > 0 THEN {ln_gamma_large('z + 1')} - {ln_gamma_large('z - m + 1')} ELSE 0D END AS h0",
-        f"CASE WHEN m > 0 THEN {digamma_large('z + 1')} - {digamma_large('z - m + 1')} ELSE 0D END AS h1",
-        f"CASE WHEN m > 0 THEN {trigamma_large('z - m + 1')} - {trigamma_large('z + 1')} ELSE 0D END AS h2",
+        f"y1 * v - m + v / 2 - {log_ends} AS h0",
+        f"z * v + (1 - w) / 2 + z * {inv_ends} AS h1",
+        f"z * z * e.down / w - m * w / 2 + z * z * {inv_ends} AS g1",
+        f"m * w + (1 - w * w) / 2 + z * z * {square_ends} AS h2",
+        f"z * z * e.up - m * w * w / 2 + z * z * {mixed(1)} AS g2",
+        # The first correction of the last sum, written out: its two parts nearly cancel.
+        f"z * z * z * 2 * e.odd - m * m * w * w / 2 + m * w * w * w / 6 + z * z * z * {mixed(2, first=2)} AS f2",
     )
     start = (
-        "named_struct('ln_a', m * ln(q) + h0, 'i1', h1 / q, 'if1', (z*h1 - m) / (d*q), 'i2', h2 / (q*q),"
-        " 'if2', (z*h2 - h1) / (d*q*q), 'iff2', (z*z*h2 - 2*z*h1 + m) / (d*d*q*q))"
+        "named_struct('ln_a', m * ln(s0) + h0, 'i1', h1 / s0, 'if1', g1 / (d * s0), 'i2', h2 / (s0 * s0),"
+        " 'if2', g2 / (d * s0 * s0), 'iff2', f2 / (d * d * s0 * s0))"
     )
-    a = "(s0 - l / d * e0)"
+    y = "(d - l + past)"
+    a = f"(s0 * {y} / z)"
     add = (
-        f"named_struct('ln_a', k.ln_a + ln{a}, 'i1', k.i1 + 1 / {a}, 'if1', k.if1 + l / d / {a}, 'i2', k.i2 + 1 / ({a}*{a}),"
+        f"named_struct('ln_a', k.ln_a + ln(s0) - log1p(l / {y}), 'i1', k.i1 + 1 / {a}, 'if1', k.if1 + l / d / {a}, 'i2', k.i2 + 1 / ({a}*{a}),"
         f" 'if2', k.if2 + l / d / ({a}*{a}), 'iff2', k.iff2 + l / d * l / d / ({a}*{a}))"
     )
     fold = f"aggregate(sequence(cast(m AS long), cast(d AS long) - 1), {start}, (k, l) -> {add})"
-    return staged.withColumn("k", F.expr(fold))
+    return head.withColumn("k", F.expr(fold))
 
 
 def _triangle(p: int):
     return [(i, j) for i in range(p) for j in range(i, p)]
 
 
-def per_time(counts: DataFrame, eta: str, centred: list[str], by=(), blocks: int | None = None,
-             fold_limit: int = FOLD_LIMIT) -> DataFrame:
+def per_time(counts: DataFrame, eta: str, centred: list[str], by=(), blocks: int | None = None) -> DataFrame:
     """Per event time: events ``d``, log-likelihood ``l``, gradient ``u{i}`` and
     information ``v{i}_{j}``.
 
@@ -129,7 +165,7 @@ def per_time(counts: DataFrame, eta: str, centred: list[str], by=(), blocks: int
         f" + (s1_{i} * e1_{j} + e1_{i} * s1_{j}) * k.if2 - e1_{i} * e1_{j} * k.iff2 AS v{i}_{j}"
         for i, j in tri
     ]
-    return _with_tie_sums(at_risk, fold_limit).selectExpr(*by, "time", *out)
+    return _with_tie_sums(at_risk).selectExpr(*by, "time", *out)
 
 
 def _total(p: int, weight: str = "1D", tag: str = "") -> list[Column]:

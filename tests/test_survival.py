@@ -138,12 +138,19 @@ def test_separation_stops(spark):
     assert not row["finite"]
 
 
-def test_efron_closed_form(spark):
-    df = spark.createDataFrame([(50.0, 20.0, 30.0), (31.0, 30.0, 30.0), (1e4, 30.0, 30.0), (30.0, 30.0, 30.0)], "s0 double, e0 double, d double")
-    fold = cox._with_tie_sums(df, 64).select("k.*").collect()
-    closed = cox._with_tie_sums(df, 11).select("k.*").collect()
-    for a, b in zip(fold, closed):
-        assert np.allclose(list(a), list(b), rtol=1e-8)
+@pytest.mark.parametrize("s0, e0, d", [
+    (50.0, 20.0, 30), (31.0, 30.0, 30), (30.0, 30.0, 30), (5.0, 2.0, 1), (9.0, 3.5, 10), (40.0, 11.0, 11),
+    (1e9, 1e3, 1000), (1e9, 900.0, 2000), (2e5, 2e5, 200_000), (3e9, 1.0, 65),
+])
+def test_tie_sums_equal_exact_sums(spark, s0, e0, d):
+    df = spark.createDataFrame([(s0, e0, float(d))], "s0 double, e0 double, d double")
+    got = cox._with_tie_sums(df).select("k.*").first()
+    f = [l / d for l in range(d)]
+    a = [(s0 - e0) + e0 * ((d - l) / d) for l in range(d)]
+    want = [map(math.log, a), (1 / y for y in a), (x / y for x, y in zip(f, a)), (1 / y**2 for y in a),
+            (x / y**2 for x, y in zip(f, a)), ((x / y) ** 2 for x, y in zip(f, a))]
+    for value, exact in zip(got, map(math.fsum, want)):
+        assert value == pytest.approx(exact, rel=1e-11, abs=1e-300)
 
 
 def test_concordance(fit):

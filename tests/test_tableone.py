@@ -1,5 +1,7 @@
 """Table 1 arithmetic against published counts and definitions."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -112,15 +114,31 @@ def test_smd_needs_no_particular_dropped_level(published):
     assert a == pytest.approx(b, rel=1e-9)
 
 
-def test_fisher_long_support(spark):
-    """The windowed sum agrees with the corrected chi-square on a large table."""
-    rows = [("nonreadmit", "a", 1_000_300), ("nonreadmit", "b", 999_700), ("readmit", "a", 999_000), ("readmit", "b", 1_001_000)]
-    counts = spark.createDataFrame(rows, "g string, level string, n long")
-    wide = counts.groupBy("level").agg(F.sum(F.when(F.col("g") == "nonreadmit", F.col("n"))).alias("n0"), F.sum(F.when(F.col("g") == "readmit", F.col("n"))).alias("n1"))
-    cells = wide.withColumn("variable", F.lit("v"))
-    p = tableone.fisher(None, ["v"], "g", GROUPS, cells).first()["p"]
-    yates = tableone.chi_square(None, ["v"], "g", GROUPS, cells).first()["p"]
-    assert p == pytest.approx(yates, rel=1e-3)
+def test_fisher_against_all_tables():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        n = int(rng.integers(2, 60))
+        r, c = (int(rng.integers(0, n + 1)) for _ in range(2))
+        low, high = max(0, r + c - n), min(r, c)
+        x = int(rng.integers(low, high + 1))
+        ways = {k: math.comb(r, k) * math.comb(n - r, c - k) for k in range(low, high + 1)}
+        want = sum(w for w in ways.values() if w <= ways[x] * (1 + 1e-7)) / math.comb(n, c)
+        assert tableone.fisher_p(x, r, c, n) == pytest.approx(want, rel=1e-12)
+
+
+@pytest.mark.parametrize("off", [0, -9_000, 4_000, 20_000])
+def test_fisher_at_a_billion(off):
+    """Against sums of ratios to the observed probability, which need no factorials."""
+    n, r, c = 1_000_000_000, 400_000_000, 300_000_000
+    x = r * c // n + off
+    up, down = (np.arange(400_000, dtype="float64") for _ in range(2))
+    k = x + up
+    above = np.cumsum(np.log((r - k) * (c - k) / ((k + 1) * (n - r - c + k + 1))))
+    k = x - down
+    below = np.cumsum(np.log(k * (n - r - c + k) / ((r - k + 1) * (c - k + 1))))
+    logs = np.concatenate([[0.0], above, below])
+    want = math.fsum(np.exp(logs[logs <= 1e-7])) / math.fsum(np.exp(logs))
+    assert tableone.fisher_p(x, r, c, n) == pytest.approx(want, rel=1e-9)
 
 
 def test_profile(spark):
