@@ -1,11 +1,12 @@
 """From an event table to a cohort: index events, linked events, exclusions.
 
-Shuffles of the event table are the cost that matters here, so there are two:
+Scans and shuffles of the event table are the cost that matters here:
 
 * ``index_event`` reads only qualifying claims and reduces them to one per person
   before the shuffle (``index_stay`` does the same for dates of inpatient days);
-* ``link`` joins claims to their person's index once, and ``summarise`` computes
-  every per-person measure asked for from that one pass.
+* ``link`` joins claims to their person's index once, after ``reach`` has left only
+  those that a measure can use, and ``summarise`` computes every per-person measure
+  asked for from that one pass.
 """
 
 from __future__ import annotations
@@ -145,11 +146,22 @@ def link(events: DataFrame, index: DataFrame, cfg: StudyConfig, hot: DataFrame |
 class Measure:
     """A per-person result in two steps: aggregates over the claims of a person-day,
     and aggregates over the days of a person. ``needs_stay`` marks those that refer to
-    the index discharge."""
+    the index discharge. ``earlier`` selects the claims before the study period that it
+    needs, if any; none looks past the end of the study."""
 
     day: dict = field(default_factory=dict)
     person: dict = field(default_factory=dict)
     needs_stay: bool = False
+    earlier: Column | None = None
+
+
+def reach(events: DataFrame, measures: list[Measure], cfg: StudyConfig) -> DataFrame:
+    """The claims that the measures can use. The date bounds reach the scan."""
+    wanted = F.col("start_dt") >= F.lit(cfg.obs_start)
+    for m in measures:
+        if m.earlier is not None:
+            wanted = wanted | ((F.col("start_dt") < F.lit(cfg.obs_start)) & m.earlier)
+    return events.filter((F.col("start_dt") <= F.lit(cfg.study_end)) & wanted)
 
 
 def summarise(linked: DataFrame, measures: list[Measure]) -> DataFrame:
@@ -175,9 +187,14 @@ def claim_count(cfg: StudyConfig) -> Measure:
 
 
 def washout(cfg: StudyConfig) -> Measure:
-    """Index code already present, in either diagnosis, before the observation start."""
+    """Index code already present, in either diagnosis, before the observation start.
+
+    An index code lies in a study phenotype, so earlier claims with no such code cannot
+    equal it. Its three-character category may reach outside the phenotype.
+    """
     hit = (F.col("start_dt") < F.lit(cfg.obs_start)) & same_diagnosis(cfg)
-    return Measure({"d_washout": any_true(hit)}, {"washout": any_true("d_washout")})
+    earlier = F.lit(True) if cfg.match == "prefix3" else matches(["dx1", "dx2"], *cfg.phenotypes.values())
+    return Measure({"d_washout": any_true(hit)}, {"washout": any_true("d_washout")}, earlier=earlier)
 
 
 def death_in_stay(cfg: StudyConfig) -> Measure:

@@ -29,7 +29,7 @@ def flagged_persons(claims: DataFrame, persons: DataFrame, cfg: StudyConfig, mea
     index = cohort.index_event(claims, persons, cfg)
     if any(m.needs_stay for m in measures):
         index = cohort.index_stay(claims, index, cfg)
-    linked = cohort.link(claims, index, cfg, hot=hot)
+    linked = cohort.link(cohort.reach(claims, measures, cfg), index, cfg, hot=hot)
     return cohort.flag_persons(index, cohort.summarise(linked, measures))
 
 

@@ -30,6 +30,12 @@ def _labelled(spark, sf_dir, *measures):
     return outcome.with_label(_measured(spark, sf_dir, outcome.same_dx_count(CONFIG), *measures))
 
 
+def _with_last(spark, sf_dir):
+    """Labelled persons with their last readmission, written once: pairs read them twice."""
+    people = _labelled(spark, sf_dir, outcome.last_event(CONFIG))
+    return settle(people.select("subject_id", "readmit_flag", "first_admit", "discharge_dt", "last_readmit_dt", "last_readmit_discharge"))
+
+
 def people_table(spark, sf_dir):
     return study.person_table(claims(spark, sf_dir), persons(spark, sf_dir), CONFIG)
 
@@ -193,14 +199,14 @@ def first_readmission_after_discharge(spark, sf_dir):
 SELECT subject_id, first_admit AS start_dt, discharge_dt, 'index' AS kind FROM people WHERE readmit_flag = 1
 UNION ALL SELECT subject_id, last_readmit_dt, last_readmit_discharge, 'last' FROM people WHERE readmit_flag = 1""")
 def event_pairs(spark, sf_dir):
-    return outcome.event_pairs(_labelled(spark, sf_dir, outcome.last_event(CONFIG)))
+    return outcome.event_pairs(_with_last(spark, sf_dir))
 
 
 @query(prelude=COHORT, sql=f"""
 SELECT subject_id, CAST(date_diff('day', first_admit, CASE WHEN readmit_flag = 1 THEN last_readmit_dt ELSE {END} END) AS INT) AS gap_days FROM people""")
 def gaps_to_event_or_end(spark, sf_dir):
     """Gap to the paired readmission, or to the study end, built from pairs."""
-    people = _labelled(spark, sf_dir, outcome.last_event(CONFIG))
+    people = _with_last(spark, sf_dir)
     return outcome.paired_gap(outcome.event_pairs(people)).unionByName(outcome.gap_to_end(people, CONFIG))
 
 

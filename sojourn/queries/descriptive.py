@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
 from sojourn import features
 from sojourn.config import CATEGORICAL, CONTINUOUS, EXACT, GROUPS, NONNORMAL
-from sojourn.operators.work import settle
+from sojourn.operators.work import scratch_path, settle
 from sojourn.queries.cohorts import analysis, people_table
-from sojourn.queries.reference_sql import COHORT, chi2_sf, f_sf, r
+from sojourn.queries.reference_sql import COHORT, END, chi2_sf, f_sf, r
 from sojourn.queries.registry import query, rounded
 from sojourn.sources.binding import CONFIG
+from sojourn.sources.tables import write_table
 from sojourn.stats import profile, tableone
 
 
@@ -210,3 +214,36 @@ def table1_display(spark, sf_dir):
 @query(prelude=COHORT, sql="SELECT count(*) AS n_rows, count(DISTINCT subject_id) AS n_ids FROM tbl")
 def subject_counts(spark, sf_dir):
     return profile.counts(analysis(spark, sf_dir), "subject_id")
+
+
+SUMMARISED = ("age_index", "los", "n_same_dx", "gap_days", "prior_other_n", "prior_emergency_n", "prior_inpatient_n")
+LISTED = ("index_code", "index_dx_group_f", "form_cd", "dx2", "sex_f", "er_flag", "path_type_f", "result_type_f", "index_year_f", "death_flag", "group")
+_gap = "date_diff('day', first_admit, CASE WHEN readmit_flag = 1 THEN last_readmit_dt ELSE " + END + " END)"
+_summary_of = {"gap_days": _gap, "group": "grp"}
+_numbers = " UNION ALL ".join(
+    f"SELECT '{c}' AS variable, ({_summary_of.get(c, c)})::DOUBLE AS value FROM tbl" for c in SUMMARISED
+)
+_listed = " UNION ALL ".join(f"SELECT '{c}' AS variable, CAST({_summary_of.get(c, c)} AS VARCHAR) AS value FROM tbl" for c in LISTED)
+
+
+@query(prelude=COHORT, sql=f""", nv AS ({_numbers})
+SELECT variable, min(value) AS min, {r('avg(value)', 'mean')}, max(value) AS max, count(*) - count(value) AS n_missing,
+       {r('quantile_cont(value, 0.25)', 'q1')}, {r('quantile_cont(value, 0.5)', 'median')}, {r('quantile_cont(value, 0.75)', 'q3')} FROM nv GROUP BY 1""")
+def analysis_summary(spark, sf_dir):
+    """Numeric columns of the whole analysis table."""
+    return rounded(profile.numeric_summary(_analysis_features(spark, sf_dir, *SUMMARISED), SUMMARISED))
+
+
+@query(prelude=COHORT, sql=f""", lv AS (SELECT variable, value, count(*) AS n FROM ({_listed}) GROUP BY 1, 2), pl AS (
+SELECT *, row_number() OVER (PARTITION BY variable ORDER BY n DESC, value ASC) AS place,
+       count(*) OVER (PARTITION BY variable) AS n_levels FROM lv WHERE value IS NOT NULL)
+SELECT variable, CASE WHEN n_levels > 7 AND place > 6 THEN '(Other)' ELSE value END AS level, CAST(sum(n) AS BIGINT) AS n FROM pl GROUP BY 1, 2
+UNION ALL SELECT variable, '(NULL)', n FROM lv WHERE value IS NULL""")
+def analysis_level_summary(spark, sf_dir):
+    """Levels of the text and factor columns of the whole analysis table."""
+    return profile.level_summary(_analysis_features(spark, sf_dir, *LISTED), LISTED)
+
+
+def _analysis_features(spark, sf_dir, *names):
+    """Columns of the analysis table, written once, as a summary reads them more than once."""
+    return settle(analysis(spark, sf_dir).select(*names))

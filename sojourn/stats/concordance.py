@@ -18,8 +18,8 @@ from sojourn.operators.running import BLOCKS, running_totals
 from sojourn.operators.work import settle
 
 TIE = -1
-# Salts of the topmost bit's cells; halved at each bit below, as the cells split in two.
-TOP_SALTS = 256
+# Rows per salt of the topmost bit's cells; salts halve at each bit below, as the cells split in two.
+ROWS_PER_SALT = 500_000
 
 
 def _ranked(df: DataFrame) -> DataFrame:
@@ -36,8 +36,9 @@ def concordance(df: DataFrame, score: str = "score", weight: str | None = None)
     value = F.expr(score)
     base = df.select("time", F.col("event").cast("int").alias("event"), value.cast("double").alias("score"), n.alias("n"))
     rows = _ranked(base.filter("time IS NOT NULL AND event IS NOT NULL AND score IS NOT NULL"))
-    top = rows.agg(F.max("rank")).first()[0]
+    top, size = rows.agg(F.max("rank"), F.count("*")).first()
     bits = max(int(top or 0).bit_length(), 1)
+    top_salts = 1 << (size // ROWS_PER_SALT).bit_length()
     level = F.explode(F.sequence(F.lit(TIE), F.lit(bits - 1))).alias("level")
     spread = rows.select("time", "event", "rank", "n", level).selectExpr(
         "*",
@@ -70,9 +71,9 @@ def concordance(df: DataFrame, score: str = "score", weight: str | None = None)
     )
     # Near the top a few cells meet most rows (many persons share the last time), so
     # those cells are repeated and the rows spread over the copies.
-    salts = F.expr(f"CASE WHEN level = {TIE} THEN 1 ELSE greatest(1, shiftright({TOP_SALTS}, {bits - 1} - level)) END")
-    spread = spread.withColumn("salt", F.pmod(F.col("rank"), salts).cast("int"))
-    cells = cells.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    salts = F.expr(f"CASE WHEN level = {TIE} THEN 1 ELSE greatest(1, shiftright({top_salts}L, least(62, {bits - 1} - level))) END")
+    spread = spread.withColumn("salt", F.pmod(F.col("rank"), salts))
+    cells = cells.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)))
     joined = spread.join(cells, ["level", "prefix", "time", "salt"])
     one = F.col("bit") == 1
     tie = F.col("level") == TIE

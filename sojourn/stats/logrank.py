@@ -27,7 +27,7 @@ def _per_time(df: DataFrame, group: str, levels, blocks: int | None) -> DataFram
     return per_time.withColumns({
         "d": sum((F.col(f"d{i}") for i in range(len(levels))), F.lit(0)),
         "n": sum((F.col(f"n{i}") for i in range(len(levels))), F.lit(0)),
-    }).filter("d > 0")
+    })
 
 
 def _variance(i: int, j: int):
@@ -37,7 +37,8 @@ def _variance(i: int, j: int):
 
 
 def logrank_table(df: DataFrame, group: str, levels, blocks: int | None = None) -> DataFrame:
-    """Persons, observed and expected events per group."""
+    """Persons, observed and expected events per group; ``n`` is NULL for a group without
+    persons. Rows outside the listed levels are not part of the test."""
     levels = list(levels)
     times = _per_time(df, group, levels, blocks)
     aggs = []
@@ -47,13 +48,13 @@ def logrank_table(df: DataFrame, group: str, levels, blocks: int | None = None)
             F.coalesce(F.sum(F.col("d") * F.col(f"n{i}") / F.col("n")), F.lit(0.0)).alias(f"e{i}"),
             _variance(i, i).alias(f"v{i}"),
         ]
+        aggs.append(F.nullif(F.sum(f"c{i}"), F.lit(0)).alias(f"p{i}"))
     rows = F.array(*[
-        F.struct(F.lit(level).alias(group), F.col(f"o{i}").alias("observed"), F.col(f"e{i}").alias("expected"),
+        F.struct(F.lit(level).alias(group), F.col(f"p{i}").alias("n"), F.col(f"o{i}").alias("observed"), F.col(f"e{i}").alias("expected"),
                  F.col(f"v{i}").alias("variance"))
         for i, level in enumerate(levels)
     ])
-    sizes = df.filter(F.col("time").isNotNull() & F.col("event").isNotNull()).groupBy(group).agg(F.count("*").alias("n"))
-    return times.agg(*aggs).select(F.inline(rows)).join(F.broadcast(sizes.filter(F.col(group).isin(*levels))), group, "left")
+    return times.agg(*aggs).select(F.inline(rows))
 
 
 def logrank_test(df: DataFrame, group: str, levels, blocks: int | None = None) -> DataFrame:

@@ -253,3 +253,28 @@ def test_result_does_not_depend_on_row_order(spark):
     a = study.survival_table(table, persons, CFG)
     b = study.survival_table(table.orderBy(F.rand(1)).repartition(7), persons, CFG)
     assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+def test_claims_are_cut_before_the_link(spark, tmp_path):
+    """Every scan of the claims has the date bounds; what is cut changes no measure."""
+    codes = ["I20", "I63", "J40", "E11", "I209"]
+    rows = [
+        claim(p, day("2004-06-01") + timedelta(days=(211 * i + 97 * j) % 6400), form=["02", "03"][i % 2], dx1=codes[(i + j) % 5], dx2=codes[i % 5], los=i % 6)
+        for j, p in enumerate("abcdefghij") for i in range(40)
+    ]
+    events(spark, rows).write.parquet(str(tmp_path / "claims"))
+    table, persons = spark.read.parquet(str(tmp_path / "claims")), people(spark, **{i: {} for i in "abcdefghij"})
+    length = spark.conf.get("spark.sql.maxMetadataStringLength")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "5000")
+    plan = study.survival_table(table, persons, CFG)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.maxMetadataStringLength", length)
+    scans = [line for line in plan.splitlines() if "FileScan" in line and "claims" in line]
+    assert scans and all("LessThanOrEqual(start_dt,2019-12-31)" in line for line in scans)
+    for match in ("exact", "prefix3", "group"):
+        cfg = StudyConfig(order=("seq",), match=match)
+        measures = study.all_measures(cfg)
+        index = cohort.index_stay(table, cohort.index_event(table, persons, cfg), cfg)
+        whole = cohort.flag_persons(index, cohort.summarise(cohort.link(table, index, cfg), measures))
+        cut = study.flagged_persons(table, persons, cfg)
+        assert cut.filter("washout").count() > 0
+        assert cut.exceptAll(whole).isEmpty() and whole.exceptAll(cut).isEmpty()
