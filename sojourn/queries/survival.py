@@ -70,6 +70,13 @@ def km_landmarks(spark, sf_dir):
     return rounded(km.landmarks(km.kaplan_meier(followup(spark, sf_dir)), LANDMARK_DAYS))
 
 
+@query(prelude=COHORT, sql=f"{_landmarks(LANDMARK_DAYS, False)} SELECT \"time\", round_even(s, 3) AS surv, round_even(1 - s, 3) AS risk FROM marks")
+def km_landmarks_report(spark, sf_dir):
+    """The landmark days as reported, at three decimals."""
+    points = km.landmarks(km.kaplan_meier(followup(spark, sf_dir)), LANDMARK_DAYS)
+    return forest.presentation(points.select("time", "surv", "risk"), {"surv": 3, "risk": 3}, {})
+
+
 EXTENDED = (30, 90, 365, 730, 1094, 2000)
 
 
@@ -169,20 +176,35 @@ def cox_univariate_all(spark, sf_dir):
     return rounded(cox.cox_sweep(model_table(spark, sf_dir), ["age10", SEX, "los", *HX]), 3)
 
 
-@query(prelude=COHORT, sql=f"""{_sweep(['age10', 'sex_f', 'los', *COMORBIDITIES])}, q AS (SELECT var, exp(b) AS hr, exp(b - 1.959963984540054 * se) AS lo,
+def _signif(p: str, name: str) -> str:
+    place = f"2 - floor(log10(greatest({p}, 1e-300::DOUBLE)))"
+    return r(f"CASE WHEN {p} > 0 THEN round({p} * pow(10::DOUBLE, {place})) / pow(10::DOUBLE, {place}) ELSE {p} END", name)
+
+
+def _report(names) -> str:
+    return f"""{_sweep(names)}, q AS (SELECT var, exp(b) AS hr, exp(b - 1.959963984540054 * se) AS lo,
        exp(b + 1.959963984540054 * se) AS hi, {chi2_sf('(b / se) ** 2', '1')} AS p FROM uni)
-SELECT var, round_even(hr, 2) AS estimate, round_even(lo, 2) AS conf_low, round_even(hi, 2) AS conf_high,
-       {r('round(p * pow(10::DOUBLE, 2 - floor(log10(p)))) / pow(10::DOUBLE, 2 - floor(log10(p)))', 'p_value')} FROM q""")
+SELECT var, round_even(hr, 2) AS estimate, round_even(lo, 2) AS conf_low, round_even(hi, 2) AS conf_high, {_signif('p', 'p_value')} FROM q"""
+
+
+HAZARD_DIGITS = {"estimate": 2, "conf_low": 2, "conf_high": 2}
+
+
+def _reported(fits):
+    shown = forest.presentation(fits.select("var", "estimate", "conf_low", "conf_high", "p_value"), HAZARD_DIGITS, {"p_value": 3})
+    return rounded(shown).orderBy("p_value", "var")
+
+
+@query(prelude=COHORT, sql=_report(["age10", "sex_f", "los", *COMORBIDITIES]))
 def cox_univariate_report(spark, sf_dir):
     """The sweep as reported: rounded and sorted by p."""
-    fits = cox.cox_sweep(model_table(spark, sf_dir), ["age10", SEX, "los", *HX])
-    shown = forest.presentation(
-        fits.select("var", "estimate", "conf_low", "conf_high", "p_value"),
-        {"estimate": 2, "conf_low": 2, "conf_high": 2}, {"p_value": 3},
-    )
-    return rounded(shown).orderBy("p_value", "var")
+    return _reported(cox.cox_sweep(model_table(spark, sf_dir), ["age10", SEX, "los", *HX]))
 
 
+@query(prelude=COHORT, sql=_report(COMORBIDITIES))
+def cox_comorbidity_report(spark, sf_dir):
+    """The comorbidity sweep as reported."""
+    return _reported(cox.cox_sweep(model_table(spark, sf_dir), HX))
 
 
 @query(prelude=COHORT, sql=f"""{_sweep(['los'])} SELECT var AS term, {r('ll', 'loglik_null')}, {r('u * u / v', 'score_chisq')} FROM steps WHERE i = 0""")
@@ -202,6 +224,16 @@ def cox_main(spark, sf_dir):
     return rounded(cox.cox_fit(model_table(spark, sf_dir), MAIN).tidy())
 
 
+@query(prelude=COHORT, sql=_main + " " + " UNION ALL ".join(f"""
+SELECT '{n}' AS term, round_even(exp(b{k}), 2) AS estimate, {r(f'sqrt(w{k}_{k})', 'std_error')}, {r(f'b{k} / sqrt(w{k}_{k})', 'statistic')},
+       {_signif(f"({chi2_sf(f'(b{k} / sqrt(w{k}_{k})) ** 2', '1')})", 'p_value')},
+       round_even(exp(b{k} - 1.959963984540054 * sqrt(w{k}_{k})), 2) AS conf_low, round_even(exp(b{k} + 1.959963984540054 * sqrt(w{k}_{k})), 2) AS conf_high FROM fit"""
+    for k, n in enumerate(_names)))
+def cox_main_report(spark, sf_dir):
+    """The main model as reported: hazard ratios at two decimals, p at three digits."""
+    return rounded(forest.presentation(cox.cox_fit(model_table(spark, sf_dir), MAIN).tidy(), HAZARD_DIGITS, {"p_value": 3}))
+
+
 _quad = lambda a, m: " + ".join(f"{a}{i} * {a}{j} * {m}{min(i, j)}_{max(i, j)}" for i in range(4) for j in range(4))
 _score = "(SELECT " + " + ".join(f"u{i} * h{i}" for i in range(4)) + " FROM fit0)"
 
@@ -233,6 +265,21 @@ def cox_main_performance(spark, sf_dir):
     }))
 
 
+_three = ("concordance", "concordance_se", "loglik_null", "loglik_final", "lr_chisq", "wald_chisq", "score_chisq", "aic", "bic")
+MAIN_NAME = "age, sex, length of stay and hypertension"
+
+
+@query(prelude=COHORT, sql=f"""{_perf}
+SELECT '{MAIN_NAME}' AS model, n, events, round_even(c, 3) AS concordance, round_even(c_se, 3) AS concordance_se, round_even(ll0, 3) AS loglik_null,
+       round_even(ll1, 3) AS loglik_final, round_even(lr, 3) AS lr_chisq, 4 AS lr_df, round_even(wald, 3) AS wald_chisq, 4 AS wald_df,
+       round_even(score, 3) AS score_chisq, 4 AS score_df, round_even(-2 * ll1 + 8, 3) AS aic, round_even(-2 * ll1 + ln(n) * 4, 3) AS bic,
+       {_signif(f"({chi2_sf('lr', '4')})", 'lr_p')}, {_signif(f"({chi2_sf('wald', '4')})", 'wald_p')}, {_signif(f"({chi2_sf('score', '4')})", 'score_p')} FROM perf""")
+def cox_main_performance_report(spark, sf_dir):
+    """The performance row as reported: named, three decimals, p at three digits."""
+    row = forest.presentation(cox_main_performance(spark, sf_dir), {c: 3 for c in _three}, {f"{t}_p": 3 for t in ("lr", "wald", "score")})
+    return rounded(row.withColumn("model", F.lit(MAIN_NAME)))
+
+
 @query(prelude=COHORT, sql=f""", s AS (SELECT "time", event, los FROM surv WHERE los IS NOT NULL){_pairs.format(eta='los', sources='(SELECT 1)')}
 SELECT {r('concordance', 'concordance')}, {r('std_error', 'std_error')}, pairs FROM conc""")
 def concordance_of_length_of_stay(spark, sf_dir):
