@@ -42,6 +42,7 @@ CATEGORICAL = (
     "index_year_f", "index_cat", "death_flag", "index_dx_group_f",
 )
 NONNORMAL = ("los", "diff_days", "prior_other_n", "prior_emergency_n", "prior_inpatient_n")
+LEVELS = {"sex_f": ("M", "F"), "index_dx_group_f": ("heart", "cerebro"), "er_flag": ("No", "Yes"), "death_flag": ("No", "Yes")}
 EXACT = ("sex_f", "er_flag", "death_flag", "index_dx_group_f")
 # ---------------------------------------------------------------------------
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sojourn import features
-from sojourn.config import CATEGORICAL, CONTINUOUS, EXACT, GROUPS, NONNORMAL
+from sojourn.config import CATEGORICAL, CONTINUOUS, EXACT, GROUPS, LEVELS, NONNORMAL
 from sojourn.operators.work import scratch_path, settle
 from sojourn.queries.cohorts import analysis, people_table
 from sojourn.queries.reference_sql import COHORT, END, chi2_sf, f_sf, r
@@ -184,31 +184,55 @@ def _cells(where: str, label: str) -> str:
 _position = "CAST(CASE variable " + " ".join(f"WHEN '{v}' THEN {i}" for i, v in enumerate(["n", *CONTINUOUS, *CATEGORICAL])) + " END AS INT) AS position"
 
 
+_label = "CASE variable WHEN 'n' THEN 'n' " + " ".join(
+    f"WHEN '{v}' THEN '{v} ({'%' if v in CATEGORICAL else 'median [IQR]' if v in NONNORMAL else 'mean (SD)'})'" for v in (*CONTINUOUS, *CATEGORICAL)
+) + " END AS label"
+_given = "CASE " + " ".join(f"WHEN variable = '{v}' AND level = '{x}' THEN {i}" for v, listed in LEVELS.items() for i, x in enumerate(listed)) + " END"
+_level_position = f"CAST(row_number() OVER (PARTITION BY variable ORDER BY {_given} ASC NULLS LAST, level) - 1 AS INT) AS level_position"
+
+
 @query(prelude=COHORT, sql=f"""{_levels}, shown AS ({_cells('true', 'Overall')}
 UNION ALL SELECT variable, level, 'Overall', printf('%d (%.1f)', n0 + n1, (n0 + n1) * 100.0::DOUBLE / (t0 + t1)) FROM cells)
-SELECT variable, level, cell AS "Overall", {_position} FROM shown""")
+SELECT variable, level, cell AS "Overall", {_position}, {_label}, {_level_position} FROM shown""")
 def table1_overall_display(spark, sf_dir):
     """The printed table for all persons together."""
     people = subjects(spark, sf_dir)
-    return tableone.display(people, CONTINUOUS, CATEGORICAL, NONNORMAL, EXACT, None, GROUPS)
+    return tableone.display(people, CONTINUOUS, CATEGORICAL, NONNORMAL, EXACT, None, GROUPS, levels=LEVELS)
 
 
 _text = lambda c: f"CASE WHEN {c} IS NULL THEN 'NA' WHEN {c} < 0.001 THEN '<0.001' ELSE printf('%.3f', {c}) END"
 
 
-@query(prelude=COHORT, sql=f"""{_all_tests}, shown AS ({_cells("grp = 'nonreadmit'", 'nonreadmit')} UNION ALL {_cells("grp = 'readmit'", 'readmit')}
+_display = f"""{_all_tests}, shown AS ({_cells("grp = 'nonreadmit'", 'nonreadmit')} UNION ALL {_cells("grp = 'readmit'", 'readmit')}
 UNION ALL SELECT variable, level, 'nonreadmit', printf('%d (%.1f)', n0, n0 * 100.0::DOUBLE / t0) FROM cells
 UNION ALL SELECT variable, level, 'readmit', printf('%d (%.1f)', n1, n1 * 100.0::DOUBLE / t1) FROM cells),
-wide AS (SELECT variable, level, max(cell) FILTER (g = 'nonreadmit') AS nonreadmit, max(cell) FILTER (g = 'readmit') AS readmit,
-         level = min(level) OVER (PARTITION BY variable) AS is_first FROM shown GROUP BY 1, 2)
-SELECT w.variable, w.level, nonreadmit, readmit, {_position.replace('variable ', 'w.variable ', 1)},
-       CASE WHEN is_first AND w.variable <> 'n' THEN {_text('p')} END AS p,
-       CASE WHEN is_first THEN CASE test WHEN 'kruskal' THEN 'nonnorm' WHEN 'fisher' THEN 'exact' WHEN 'anova' THEN '' WHEN 'chisq' THEN '' END END AS test,
-       CASE WHEN is_first AND w.variable <> 'n' THEN {_text('smd')} END AS smd
-FROM wide w LEFT JOIN tests t ON t.variable = w.variable LEFT JOIN smds ON smds.variable = w.variable""")
+flat AS (SELECT variable, level, max(cell) FILTER (g = 'nonreadmit') AS nonreadmit, max(cell) FILTER (g = 'readmit') AS readmit FROM shown GROUP BY 1, 2),
+wide AS (SELECT *, {_position}, {_label}, {_level_position} FROM flat),
+printed AS (SELECT w.variable, w.level, nonreadmit, readmit, w.position, w.label, w.level_position,
+       CASE WHEN level_position = 0 AND w.variable <> 'n' THEN {_text('p')} END AS p,
+       CASE WHEN level_position = 0 THEN CASE test WHEN 'kruskal' THEN 'nonnorm' WHEN 'fisher' THEN 'exact' WHEN 'anova' THEN '' WHEN 'chisq' THEN '' END END AS test,
+       CASE WHEN level_position = 0 AND w.variable <> 'n' THEN {_text('smd')} END AS smd
+FROM wide w LEFT JOIN tests t ON t.variable = w.variable LEFT JOIN smds ON smds.variable = w.variable)"""
+
+
+@query(prelude=COHORT, sql=f"{_display} SELECT * FROM printed")
 def table1_display(spark, sf_dir):
     """The printed comparison table."""
-    return tableone.display(subjects(spark, sf_dir), CONTINUOUS, CATEGORICAL, NONNORMAL, EXACT, "group", GROUPS)
+    return tableone.display(subjects(spark, sf_dir), CONTINUOUS, CATEGORICAL, NONNORMAL, EXACT, "group", GROUPS, levels=LEVELS)
+
+
+@query(prelude=COHORT, sql=f"""{_display}
+SELECT CAST(row_number() OVER (ORDER BY position, level_position) AS INT) AS row_no, label, level, nonreadmit, readmit,
+       coalesce(p, '') AS p, coalesce(test, '') AS test, coalesce(smd, '') AS smd FROM printed""")
+def table1_file(spark, sf_dir):
+    """The printed table with row labels, written as CSV in display order and read back;
+    a file has blank cells where there is nothing to print."""
+    shown = table1_display(spark, sf_dir)
+    in_order = Window.orderBy("position", "level_position")  # one row per printed line
+    lines = shown.select(F.row_number().over(in_order).alias("row_no"), "label", "level", "nonreadmit", "readmit", "p", "test", "smd")
+    path = scratch_path(spark)
+    write_table(lines, path, "csv")
+    return spark.read.schema(lines.schema).csv(path, header=True, enforceSchema=False).na.fill("")
 
 
 @query(prelude=COHORT, sql="SELECT count(*) AS n_rows, count(DISTINCT subject_id) AS n_ids FROM tbl")

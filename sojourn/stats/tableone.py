@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sojourn.functions.numbers import chi2_sf, f_sf
 from sojourn.operators.quantiles import exact_quantiles
@@ -337,10 +338,30 @@ def comparison(df: DataFrame, continuous_vars, categorical_vars, nonnormal, exac
     return out.join(F.broadcast(reduce(lambda a, b: a.unionByName(b), smds)), "variable", "left")
 
 
+def spread_literals(rows, key: str, *names: str):
+    """A function that adds columns looked up by ``key`` among a few fixed rows."""
+    def add(df: DataFrame) -> DataFrame:
+        for at, name in enumerate(names, 1):
+            chosen = reduce(lambda a, row: a.when(F.col(key) == row[0], row[at]), rows[1:], F.when(F.col(key) == rows[0][0], rows[0][at]))
+            df = df.withColumn(name, chosen)
+        return df
+
+    return add
+
+
 def display(df: DataFrame, continuous_vars, categorical_vars, nonnormal, exact, group: str | None, groups,
-            digits: int = 2, pct_digits: int = 1, p_digits: int = 3, overall: bool = False) -> DataFrame:
+            digits: int = 2, pct_digits: int = 1, p_digits: int = 3, overall: bool = False,
+            levels: dict | None = None) -> DataFrame:
     """The printed table: one row per variable or level, a text column per group, then
-    p, test and standardised difference. ``overall`` adds an all-persons column."""
+    p, test and standardised difference. ``overall`` adds an all-persons column.
+
+    ``levels`` gives the level order of some variables; their other levels follow in
+    text order, as all levels of other variables do. ``position`` and ``level_position``
+    order the rows, and the tests stand on a variable's first row. ``label`` names what
+    the cells show.
+    """
+    levels = levels or {}
+
     def number(c: str, places: int) -> Column:
         return F.when(F.col(c).isNull(), "NA").otherwise(F.format_string(f"%.{places}f", F.col(c)))
 
@@ -371,9 +392,18 @@ def display(df: DataFrame, continuous_vars, categorical_vars, nonnormal, exact,
         cells = block(None, [OVERALL]).unionByName(cells)
         shown = [OVERALL, *shown]
     wide = cells.groupBy("variable", "level").agg(*[F.max(F.when(F.col("grp") == g, F.col("cell"))).alias(g) for g in shown])
-    order = {v: i for i, v in enumerate(["n", *continuous_vars, *categorical_vars])}
-    place = reduce(lambda a, kv: a.when(F.col("variable") == kv[0], kv[1]), list(order.items())[1:], F.when(F.col("variable") == "n", 0))
-    wide = wide.withColumn("position", place)
+    kinds = {"n": "n"}
+    kinds.update({v: f"{v} (median [IQR])" if v in nonnormal else f"{v} (mean (SD))" for v in continuous_vars})
+    kinds.update({v: f"{v} (%)" for v in categorical_vars})
+    places = spread_literals([(v, i, label) for i, (v, label) in enumerate(kinds.items())], "variable", "position", "label")
+    given = F.lit(None).cast("int")
+    for v, listed in levels.items():
+        for i, level in enumerate(listed):
+            given = F.when((F.col("variable") == v) & (F.col("level") == level), i).otherwise(given)
+    in_order = Window.partitionBy("variable").orderBy(F.col("__given").asc_nulls_last(), "level")
+    wide = places(wide).withColumn("__given", given).withColumn(
+        "level_position", (F.row_number().over(in_order) - 1).cast("int")
+    ).drop("__given")
     if not group:
         return wide
     stats = comparison(df, continuous_vars, categorical_vars, nonnormal, exact, group, groups, counted)
@@ -383,5 +413,5 @@ def display(df: DataFrame, continuous_vars, categorical_vars, nonnormal, exact,
         *[F.when(F.col(c) < 10.0 ** -p_digits, least).otherwise(number(c, p_digits)).alias(c) for c in ("p", "smd")],
         F.when(F.col("test") == "kruskal", "nonnorm").when(F.col("test") == "fisher", "exact").otherwise("").alias("test"),
     )
-    first = wide.groupBy("variable").agg(F.min("level").alias("level"))
-    return wide.join(F.broadcast(first.join(F.broadcast(stats), "variable")), ["variable", "level"], "left")
+    stats = stats.withColumn("level_position", F.lit(0))
+    return wide.join(F.broadcast(stats), ["variable", "level_position"], "left")

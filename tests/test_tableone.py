@@ -62,6 +62,14 @@ def test_published_display(published):
     assert rows[("sex_f", "00")]["Overall"] == "27 (49.1)"
 
 
+def test_display_in_given_level_order(published):
+    rows = tableone.display(published, [], ["sex_f", "er_flag"], [], EXACT, "group", GROUPS, levels={"sex_f": ("01", "00")})
+    got = [(r["variable"], r["level"], r["test"]) for r in rows.orderBy("position", "level_position").collect()]
+    assert [g[:2] for g in got] == [("n", ""), ("sex_f", "01"), ("sex_f", "00"), ("er_flag", "00"), ("er_flag", "01")]
+    assert [g[2] for g in got] == [None, "exact", None, "exact", None]
+    assert {r["label"] for r in rows.collect()} == {"n", "sex_f (%)", "er_flag (%)"}
+
+
 @pytest.fixture(scope="module")
 def numeric(spark):
     rng = np.random.default_rng(7)
