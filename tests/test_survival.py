@@ -153,6 +153,23 @@ def test_tie_sums_equal_exact_sums(spark, s0, e0, d):
         assert value == pytest.approx(exact, rel=1e-11, abs=1e-300)
 
 
+# Published data of an ovarian cancer trial: days, died, age, performance status.
+OVARIAN = """59 1 72.3315 1, 115 1 74.4932 1, 156 1 66.4658 2, 421 0 53.3644 1, 431 1 50.3397 1, 448 0 56.4301 2,
+464 1 56.9370 2, 475 1 59.8548 2, 477 0 64.1753 1, 563 1 55.1781 2, 638 1 56.7562 2, 744 0 50.1096 1, 769 0 59.6301 2,
+770 0 57.0521 1, 803 0 39.2712 1, 855 0 43.1233 2, 1040 0 38.8932 2, 1106 0 44.6000 1, 1129 0 53.9068 1, 1206 0 44.2055 1,
+1227 0 59.5890 2, 268 1 74.5041 2, 329 1 43.1370 1, 353 1 63.2192 2, 365 1 64.4247 1, 377 0 58.3096 1"""
+
+
+def test_proportionality_on_a_published_trial(spark):
+    rows = [tuple(map(float, line.split())) for line in OVARIAN.split(",")]
+    df = spark.createDataFrame(rows, "time double, event double, age double, ps double").withColumn("event", F.col("event").cast("int"))
+    got = {r["term"]: r for r in ph_test(cox.cox_fit(df, ["age", "ps"])).collect()}
+    want = {"age": (0.698, 0.40), "ps": (2.371, 0.12), "GLOBAL": (3.633, 0.16)}
+    for term, (chisq, p) in want.items():
+        assert got[term]["chisq"] == pytest.approx(chisq, abs=5.1e-4)
+        assert got[term]["p"] == pytest.approx(p, abs=5.1e-3)
+
+
 def test_concordance(fit):
     row = model_concordance(fit).first()
     assert row["concordance"] == pytest.approx(0.69004, abs=5e-6)
