@@ -17,8 +17,9 @@ first, exactly: one edit spares the first or the last half of a line, so a line
 hashes of its halves for both lengths it may have to match, and only a half that two
 distinct lines share goes on, with variants from the other half alone.
 
-Only lines of at least ``MIN_CHARS`` characters are looked at; shorter ones (headings,
-list marks) all stay. Defined results. Null and empty texts have one empty line. A null id
+Every line that is not empty is looked at, however short; empty lines part paragraphs and
+all stay. ``min_chars`` leaves shorter lines alone where a caller wants that. Defined
+results. Null and empty texts have one empty line. A null id
 is later than every other; rows that repeat an id have their lines in one sequence, where
 equal lines at equal places count as one. Extra columns never matter.
 """
@@ -38,7 +39,7 @@ from sojourn.operators.work import settle
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-MIN_CHARS = 32
+MIN_CHARS = 1
 LINE = ["h1", "h2"]
 
 
@@ -159,7 +160,7 @@ def near_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """(id, kept): numbers of the long lines that stay, for each id that keeps one."""
+    """(id, kept): numbers of the lines looked at that stay, for each id that keeps one."""
     near = near_lines(docs, id_col, text_col, min_chars).select(*LINE)
     firsts = _lines(docs, id_col, text_col, min_chars).select("id", "no", *_hashes()).groupBy(*LINE).agg(_place())
     return firsts.join(near, LINE, "left_anti").groupBy(F.col("first.id").alias("id")).agg(F.sort_array(F.collect_list("first.no")).alias("kept"))

@@ -430,6 +430,25 @@ def test_lines(spark, empty):
     assert line_dedup.report(empty).count() == 0
 
 
+def test_short_lines_by_default(spark):
+    rng = random.Random(8)
+    base = ["Released under the MIT License.", "Released under the MIT License!!", "Licensed under CC BY-NC 4.0.", "* * *", "}", "é", "🙂🙂", "ab", "abc", "", " ", "x" * 31]
+    rows = [(0, "Licensed under CC BY-NC 4.0.\n\n}"), (1, "Licensed under CC BY-NC 4.0.\n\nReleased under the MIT License."), (2, "Released under the MIT License.."), (3, None)]
+    for i in range(4, 40):
+        lines = []
+        for _ in range(4):
+            s = rng.choice(base)
+            if s and rng.random() < 0.5:
+                p = rng.randrange(len(s))
+                s = rng.choice([s[:p] + rng.choice("qwz") + s[p:], s[:p] + s[p + 1 :]])
+            lines.append(s)
+        rows.append((i, "\n".join(lines)))
+    want = _line_repeats(rows, 1)
+    assert want[1] == [0] and want[2] == [0]
+    data = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r.id: r.removed for r in line_dedup.report(data).collect()} == {i: want[i] for i, _ in rows}
+
+
 def test_lines_with_awkward_rows(docs):
     assert line_dedup.report(docs).count() == len(ROWS)
 
