@@ -17,6 +17,12 @@ first, exactly: one edit spares the first or the last half of a line, so a line
 hashes of its halves for both lengths it may have to match, and only a half that two
 distinct lines share goes on, with variants from the other half alone.
 
+Other edit bounds take patterns: the line with ``edits`` marks, each in the place of one
+character or of none. Lines share a pattern exactly if they are that near, so the earliest
+line per key decides here as well; pieces of the line take the part of its halves. Patterns
+are about (2n)^edits / edits! of n characters, all of which are made, so the cost of more
+than one edit grows with a power of the length.
+
 Every line that is not empty is looked at, however short; empty lines part paragraphs and
 all stay. ``min_chars`` leaves shorter lines alone where a caller wants that. Defined
 results. Null and empty texts have one empty line. A null id
@@ -27,6 +33,7 @@ equal lines at equal places count as one. Extra columns never matter.
 from __future__ import annotations
 
 import sys
+from itertools import combinations, combinations_with_replacement
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +47,7 @@ from sojourn.operators.work import settle
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 MIN_CHARS = 1
+EDITS = 1
 LINE = ["h1", "h2"]
 
 
@@ -100,10 +108,72 @@ def one_edit(a: str, b: str) -> bool:
     return a[i + (len(a) >= len(b)) :] == b[i + (len(b) >= len(a)) :]
 
 
-def _verify(batches):
-    for batch in batches:
-        near = [one_edit(a, b) for a, b in zip(batch.column("line").to_pylist(), batch.column("other").to_pylist())]
-        yield batch.select(["h1", "h2", "late", "id", "no", "o1", "o2"]).filter(pa.array(near, pa.bool_()))
+def within(a: str, b: str, edits: int) -> bool:
+    """Whether two lines are at most ``edits`` edits apart, by the band around the diagonal."""
+    if abs(len(a) - len(b)) > edits:
+        return False
+    row = {j: j for j in range(min(edits, len(b)) + 1)}
+    for i, x in enumerate(a, 1):
+        above, row = row, {}
+        for j in range(max(0, i - edits), min(len(b), i + edits) + 1):
+            steps = [above.get(j, edits) + 1, row.get(j - 1, edits) + 1]
+            if j:
+                steps.append(above.get(j - 1, edits + 1) + (x != b[j - 1]))
+            row[j] = min(steps)
+        if min(row.values()) > edits:
+            return False
+    return row.get(len(b), edits + 1) <= edits
+
+
+def piece_keys(line: Column, edits: int) -> Column:
+    """Array of keys of which lines within ``edits`` edits share one: of ``edits`` + 1 pieces one is spared."""
+    n, out = F.length(line), []
+    for shorter in range(edits + 1):
+        length = n - shorter
+        for i in range(edits + 1):
+            low, high = (F.floor(length * x / (edits + 1)).cast("int") for x in (i, i + 1))
+            for shift in range(-edits, edits + 1):
+                out.append(F.xxhash64(F.lit(i), length, F.substring(line, F.greatest(low + shift + 1, F.lit(1)), high - low)))
+    return F.array_distinct(F.array(*out))
+
+
+def pattern_keys(line: str, edits: int):
+    """Arrays of the keys of a line's patterns."""
+    sums, down = _prefix_sums(line)
+    n = len(sums) - 1
+    for gone in range(min(edits, n) + 1):
+        # A pattern is what remains and the gaps of it where marks stand, some of them twice.
+        marks = kernels.scramble(np.arange(1, n - gone + 2, dtype=np.uint64))
+        for first in combinations(range(n - 1), max(gone - 1, 0)):
+            rest, stand, prev = np.zeros(1, np.uint64), np.zeros(1, np.uint64), -1
+            for t, at in enumerate(first):
+                rest = rest + (sums[at : at + 1] - sums[prev + 1]) * down[t]
+                stand, prev = stand + marks[at - t], at
+            if gone:
+                at = np.arange(prev + 1, n)
+                rest = rest + (sums[at] - sums[prev + 1]) * down[gone - 1] + (sums[n:] - sums[at + 1]) * down[gone]
+                stand = stand + marks[at - gone + 1]
+            else:
+                rest = rest + sums[n:]
+            own = kernels.scramble(rest + kernels.scramble(np.full(1, n - gone + 1, np.uint64))) + stand
+            for more in combinations_with_replacement(range(len(marks)), max(edits - gone - 1, 0)):
+                free = marks[more[-1] if more else 0 :] if gone < edits else np.zeros(1, np.uint64)
+                for m in more:
+                    free = free + marks[m : m + 1]
+                step = max(1, 65536 // len(free))
+                for k in range(0, len(own), step):
+                    yield np.unique(own[k : k + step, None] + free)
+
+
+def _verify(edits: int):
+    near = one_edit if edits == 1 else lambda a, b: within(a, b, edits)
+
+    def check(batches):
+        for batch in batches:
+            kept = [near(a, b) for a, b in zip(batch.column("line").to_pylist(), batch.column("other").to_pylist())]
+            yield batch.select(["h1", "h2", "late", "id", "no", "o1", "o2"]).filter(pa.array(kept, pa.bool_()))
+
+    return check
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
@@ -136,12 +206,8 @@ def _emit_variants(id_type):
     return scan
 
 
-def near_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """(h1, h2, late, id, no, o1, o2): distinct lines with an earlier line one edit away, and that line."""
-    lines = _lines(docs, id_col, text_col, min_chars)
-    kind = lines.schema["id"].dataType.simpleString()
-    distinct = lines.select("*", *_hashes()).groupBy(*LINE).agg(_place("line")).select(*LINE, "first.*")
-
+def _by_deletions(distinct: DataFrame, kind: str):
+    """(candidates, met) of one edit: each line with the earliest line ``o`` of its keys."""
     halves = distinct.select(*LINE, F.explode(half_keys(F.col("line"))).alias("k")).select(*LINE, "k.*")
     shared = halves.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     possible = halves.join(shared, "key", "left_semi").groupBy(*LINE).agg(F.collect_set(F.struct("length", "half")).alias("halves"))
@@ -151,41 +217,73 @@ def near_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     earliest = lambda role: F.min(F.when(F.col("role") == role, F.struct("late", "id", "no", "h1", "h2")))
     groups = keys.groupBy("key").agg(F.count("*").alias("n"), *[earliest(r).alias(f"e{r}") for r in (0, 1, 2)]).where("n > 1").drop("n")
     met = keys.join(groups, "key").withColumn("o", F.expr("CASE role WHEN 0 THEN e0 WHEN 1 THEN e2 ELSE e1 END")).where("o IS NOT NULL")
+    return candidates, met
+
+
+def _emit_patterns(edits: int):
+    def scan(batches):
+        for batch in batches:
+            for at, line in enumerate(batch.column("line").to_pylist()):
+                own = batch.slice(at, 1).select(["late", "id", "no", "h1", "h2"])
+                for keys in pattern_keys(line, edits):
+                    row = pa.array(np.zeros(len(keys), np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *[c.take(row) for c in own.columns]], ["key", *own.schema.names])
+
+    return scan
+
+
+def _by_patterns(distinct: DataFrame, kind: str, edits: int):
+    """(candidates, met) of any edit bound: each line with the earliest line ``o`` of its keys."""
+    pieces = distinct.select(*LINE, F.explode(piece_keys(F.col("line"), edits)).alias("key"))
+    shared = pieces.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    candidates = settle(distinct.join(pieces.join(shared, "key", "left_semi").select(*LINE).distinct(), LINE))
+    keys = settle(candidates.mapInArrow(_emit_patterns(edits), f"key long, late boolean, id {kind}, no int, h1 long, h2 long"))
+    earliest = keys.groupBy("key").agg(F.min(F.struct("late", "id", "no", "h1", "h2")).alias("o"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return candidates, keys.join(earliest, "key")
+
+
+def near_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, edits: int = EDITS) -> DataFrame:
+    """(h1, h2, late, id, no, o1, o2): distinct lines with an earlier line within ``edits`` edits, and that line."""
+    lines = _lines(docs, id_col, text_col, min_chars)
+    kind = lines.schema["id"].dataType.simpleString()
+    distinct = lines.select("*", *_hashes()).groupBy(*LINE).agg(_place("line")).select(*LINE, "first.*")
+
+    candidates, met = _by_deletions(distinct, kind) if edits == 1 else _by_patterns(distinct, kind, edits)
     before = met.where(F.col("o") < F.struct("late", "id", "no", "h1", "h2")).groupBy(*LINE).agg(F.min("o").alias("o")).select(*LINE, F.col("o.h1").alias("o1"), F.col("o.h2").alias("o2"))
 
     mine = candidates.select(*LINE, "late", "id", "no", "line")
     theirs = candidates.select(F.col("h1").alias("o1"), F.col("h2").alias("o2"), F.col("line").alias("other"))
     pairs = before.join(mine, LINE).join(theirs, ["o1", "o2"])
-    return pairs.mapInArrow(_verify, f"h1 long, h2 long, late boolean, id {kind}, no int, o1 long, o2 long")
+    return pairs.mapInArrow(_verify(edits), f"h1 long, h2 long, late boolean, id {kind}, no int, o1 long, o2 long")
 
 
-def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, edits: int = EDITS) -> DataFrame:
     """(id, kept): numbers of the lines looked at that stay, for each id that keeps one."""
-    near = near_lines(docs, id_col, text_col, min_chars).select(*LINE)
+    near = near_lines(docs, id_col, text_col, min_chars, edits).select(*LINE)
     firsts = _lines(docs, id_col, text_col, min_chars).select("id", "no", *_hashes()).groupBy(*LINE).agg(_place())
     return firsts.join(near, LINE, "left_anti").groupBy(F.col("first.id").alias("id")).agg(F.sort_array(F.collect_list("first.no")).alias("kept"))
 
 
-def _with_kept(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
+def _with_kept(docs: DataFrame, id_col: str, text_col: str, min_chars: int, edits: int) -> DataFrame:
     """``docs`` with ``__removed``: the numbers of the lines that go, in order."""
-    kept = settle(kept_lines(docs, id_col, text_col, min_chars).select(F.col("id").alias("__id"), F.col("kept").alias("__kept")))
+    kept = settle(kept_lines(docs, id_col, text_col, min_chars, edits).select(F.col("id").alias("__id"), F.col("kept").alias("__kept")))
     text = F.coalesce(F.col(text_col), F.lit(""))
     long_lines = F.filter(F.transform(F.split(text, "\n", -1), lambda x, i: F.when(F.length(x) >= min_chars, i)), lambda x: x.isNotNull())
     removed = F.array_except(F.col("__long"), F.coalesce("__kept", F.array().cast("array<int>")))
     return docs.withColumn("__long", long_lines).join(kept, F.col(id_col).eqNullSafe(F.col("__id")), "left").withColumn("__removed", removed)
 
 
-def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, edits: int = EDITS) -> DataFrame:
     """Per document: id, number of lines, number and numbers (from 0) of those removed."""
     n_lines = F.size(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)).cast("long")
     # Line numbers are taken before the join, so texts are not shuffled.
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), n_lines.alias("n_lines"))
-    found = _with_kept(rows, "id", "text", min_chars)
+    found = _with_kept(rows, "id", "text", min_chars, edits)
     return found.select("id", "n_lines", F.size("__removed").cast("long").alias("n_removed"), F.col("__removed").alias("removed"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, edits: int = EDITS) -> DataFrame:
     """The documents with their repeated lines taken out; other columns stay."""
-    found = _with_kept(docs, id_col, text_col, min_chars)
+    found = _with_kept(docs, id_col, text_col, min_chars, edits)
     lines = F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains("__removed", i))
     return found.select(*[F.array_join(lines, "\n").alias(c) if c == text_col else F.col(c) for c in docs.columns])

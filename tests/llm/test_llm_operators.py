@@ -449,6 +449,41 @@ def test_short_lines_by_default(spark):
     assert {r.id: r.removed for r in line_dedup.report(data).collect()} == {i: want[i] for i, _ in rows}
 
 
+def _edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        above, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(above[j] + 1, row[-1] + 1, above[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_lines_within_other_bounds(spark):
+    rng = random.Random(9)
+    base = ["Page 10 of 99", "2021-03-04 done", "aaaaabaaa", "é🙂ñ", "ab", "}", ""]
+    rows = []
+    for i in range(30):
+        lines = []
+        for _ in range(3):
+            s = rng.choice(base)
+            for _ in range(rng.choice([0, 1, 2, 3, 4])):
+                p, c = rng.randrange(len(s) + 1), rng.choice("ab1🙂")
+                s = rng.choice([s[:p] + c + s[p:], s[:p] + s[p + 1 :], s[:p] + c + s[p + 1 :]])
+            lines.append(s)
+        rows.append((i, "\n".join(lines)))
+    data = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    every = [(i, no, x) for i, t in rows for no, x in enumerate(t.split("\n")) if x]
+    for bound in (0, 2, 3):
+        want, seen = defaultdict(list), []
+        for i, no, line in every:
+            if any(_edits(line, other) <= bound for other in seen):
+                want[i].append(no)
+            seen.append(line)
+        assert {r.id: r.removed for r in line_dedup.report(data, edits=bound).collect()} == {i: want[i] for i, _ in rows}
+    lines = sorted({x for _, _, x in every})
+    assert all(line_dedup.within(a, b, k) == (_edits(a, b) <= k) for a in lines for b in lines for k in (0, 1, 2, 3))
+
+
 def test_lines_with_awkward_rows(docs):
     assert line_dedup.report(docs).count() == len(ROWS)
 
