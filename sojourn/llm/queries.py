@@ -114,8 +114,8 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM docs LEFT JOIN per USING (doc_id)
 """)
 def op9_secret_ledger(spark, sf_dir):
-    """Secrets of every document, scanned once per distinct text."""
-    found = secret_ledger.scan(table(spark, sf_dir, "documents"))
+    """Secrets of every document, scanned once per distinct text by a ledger that advances in parts."""
+    found = secret_ledger.scan_in_parts(table(spark, sf_dir, "documents"))
     count = lambda name: F.size(F.filter("spans", lambda s: s["name"] == name)).cast("long").alias(f"n_{name}")
     line = secret_ledger.joined(F.col("spans"))
     return found.select(F.col("id").alias("doc_id"), *[count(r.name) for r in secret_ledger.BASE_RULES], F.sha2(line.cast("binary"), 256).alias("base_sha256"), line.alias("spans"))

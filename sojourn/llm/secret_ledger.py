@@ -49,6 +49,8 @@ BASE_RULES = (
     Rule("access", "AKIA[A-Z0-9]{16,}", 0, 20, "AKIA[A-Z0-9]{16}"),
     Rule("hex", "[0-9a-f]{24,}", 0, 24, "[0-9a-f]{24}"),
 )
+#: Parts of the table that the query's ledger meets one after another.
+PARTS = 3
 LEDGER = "blob string, rule string, version int, spans array<struct<start: int, end: int>>"
 
 
@@ -139,3 +141,12 @@ def scan(docs: DataFrame, ledger_path: str | None = None, rules=BASE_RULES, id_c
     """Advance a ledger (a new one without ``ledger_path``) over ``docs`` and give their findings."""
     path = ledger_path or scratch_path(docs.sparkSession)
     return findings(docs, advance(docs, path, rules, id_col, text_col, first=ledger_path is None), rules, id_col, text_col)
+
+
+def scan_in_parts(docs: DataFrame, parts: int = PARTS, rules=BASE_RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``scan`` with a new ledger that advances over ``parts`` parts of ``docs``, dealt by id
+    hash, one after another: a blob that an earlier part held is not scanned again."""
+    path, part = scratch_path(docs.sparkSession), F.pmod(F.xxhash64(F.col(id_col)), F.lit(parts))
+    for k in range(parts):
+        ledger = advance(docs.where(part == k), path, rules, id_col, text_col, first=k == 0)
+    return findings(docs, ledger, rules, id_col, text_col)

@@ -23,7 +23,7 @@ from sojourn.llm import (
     token_store,
 )
 from sojourn.llm.components import components
-from sojourn.llm.queries import tokenizer_path
+from sojourn.llm.queries import QUERIES, tokenizer_path
 from sojourn.operators.work import scratch_path
 
 SCHEMA = "doc_id long, text string, source string, n_words string, id int, size string, blob string, spans string, line string, s string, row string"
@@ -522,3 +522,24 @@ def test_ledger_scans_only_what_is_new(docs, spark):
     raised = (*secret_ledger.BASE_RULES[:2], secret_ledger.Rule("hex", "[0-9a-f]{8,}", 0, 8, "[0-9a-f]{8}", 2))
     due = secret_ledger.scan_new(docs, ledger, raised)
     assert {(r.rule, r.version) for r in due.collect()} == {("hex", 2)}
+
+
+def test_query_advances_one_ledger_over_parts(spark, tmp_path, monkeypatch):
+    texts = [f"password = hunter{k}secret" for k in range(5)] + [None, "", "nothing"]
+    rows = [*[(i, texts[i % len(texts)]) for i in range(60)], (None, texts[0]), (None, "token: onlyhere")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    known, plain = [], secret_ledger.scan_new
+
+    def spy(docs, ledger, *more):
+        new = plain(docs, ledger, *more).localCheckpoint()
+        pairs = {(r.blob, r.rule) for r in ledger.collect()}
+        held = {r.blob for r in docs.select(secret_ledger.blob_of(docs.text).alias("blob")).collect()}
+        known.append((len(held & {b for b, _ in pairs}), new.count()))
+        assert not pairs & {(r.blob, r.rule) for r in new.collect()}
+        return new
+
+    monkeypatch.setattr(secret_ledger, "scan_new", spy)
+    got = QUERIES["op9_secret_ledger"](spark, str(tmp_path)).collect()
+    _same([(r.doc_id, r.spans) for r in got], [(i, _secrets(t)) for i, t in rows])
+    assert len(known) > 1 and known[0][0] == 0 and all(n > 0 for n, _ in known[1:])
+    assert sum(n for _, n in known) == 3 * len({t or "" for _, t in rows})
