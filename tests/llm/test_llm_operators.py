@@ -389,6 +389,19 @@ def test_preferences(spark):
     assert preferences.format_pairs(frame([]), frame([])).count() == 0
 
 
+def test_preferences_cut_early_and_end_unequally(spark):
+    say = lambda i, n, side, cut: [(i, k, ("user", "assistant")[k % 2], f"{k}" if k < cut else f"{k} {side}") for k in range(n)]
+    shapes = [(i, a, b, cut) for i, (a, b, cut) in enumerate([(6, 6, 1), (6, 3, 2), (2, 6, 0), (5, 4, 9), (4, 4, 9), (7, 9, 4)])]
+    frame = lambda rows: spark.createDataFrame(rows, "pair long, turn long, role string, text string")
+    got = preferences.format_pairs(frame([r for i, a, _, c in shapes for r in say(i, a, "good", c)]), frame([r for i, _, b, c in shapes for r in say(i, b, "bad", c)])).collect()
+    want = []
+    for i, a, b, c in shapes:
+        at = min(c, a, b)
+        want += [(i, "prompt", k) for k in range(at)] + [(i, "chosen", k) for k in range(at, a)] + [(i, "rejected", k) for k in range(at, b)]
+    _same([(r.pair, r.part, r.turn) for r in got], want)
+    assert all(r.train == (r.part != "prompt" and r.turn % 2 == 1) for r in got)
+
+
 # Lines -----------------------------------------------------------------------------
 
 
