@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sojourn.llm import (
+    conversation_trie,
     decontaminate,
     line_dedup,
     mixing,
@@ -165,3 +166,41 @@ def op8_line_dedup(spark, sf_dir):
     """Lines of every document that an earlier line repeats, within one edit."""
     found = line_dedup.report(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "n_lines", "n_removed", F.array_join("removed", ",").alias("removed_lines"))
+
+
+CRC32_SQL = """xor(4294967295, list_reduce(
+  list_concat([4294967295::BIGINT], list_transform(range(1, length(CAST({0} AS VARCHAR)) + 1), lambda i: ascii(substr(CAST({0} AS VARCHAR), CAST(i AS INT), 1))::BIGINT)),
+  lambda a, x: list_reduce(list_concat([xor(a, x)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda b, y: CASE WHEN b % 2 = 1 THEN xor(b >> 1, 3988292384) ELSE b >> 1 END)))"""
+
+
+@query(rf"""
+WITH turns AS (
+  SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS t, turn FROM conversations WHERE conv_id IS NOT NULL
+), numbered AS (
+  SELECT c, r, t, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, r, sha256(CAST(length(r) AS VARCHAR) || ':' || r || t)) AS p FROM turns
+), convs AS (SELECT c, list({{'r': r, 't': t}} ORDER BY p) AS l, {CRC32_SQL.format("c")} % 4 AS h FROM numbered GROUP BY c),
+rebuilt AS (SELECT a.c, list_concat(coalesce(b.l[1:a.h], []), a.l[a.h + 1:]) AS l FROM convs a LEFT JOIN convs b ON b.c = a.c - a.c % 20),
+visits AS (
+  SELECT c, len(l) AS n, d, l[1:d] AS k, CASE WHEN d > 0 THEN l[1:d - 1] END AS above,
+         CASE WHEN d > 0 THEN len(regexp_extract_all(l[d].t, '[^ 	-]+')) ELSE 0 END AS words
+  FROM (SELECT c, l, unnest(generate_series(0, len(l))) AS d FROM rebuilt)
+), nodes AS (
+  SELECT k, any_value(d) AS depth, any_value(above) AS above, min(c) AS conv, count(*) AS n_convs, (count(*) - 1) * any_value(words) AS saved,
+         string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (d = n) AS ends FROM visits GROUP BY k
+), children AS (SELECT above AS k, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY above),
+sums AS (
+  SELECT k[1:j] AS k, count(*) FILTER (leaf) AS n_leaves, sum(saved) AS saved FROM (
+    SELECT nodes.k, saved, children.n IS NULL AS leaf, unnest(generate_series(0, depth)) AS j FROM nodes LEFT JOIN children USING (k)) GROUP BY ALL
+)
+SELECT n.conv AS conv_id, CAST(n.depth AS BIGINT) AS depth, p.conv AS parent_conv_id, n.n_convs, coalesce(children.n, 0) AS n_children, sums.n_leaves,
+       CAST(sums.saved AS BIGINT) AS saved_tokens, sha256(coalesce(n.ends, '')) AS ends_sha256
+FROM nodes n JOIN sums USING (k) LEFT JOIN children USING (k) LEFT JOIN nodes p ON n.depth > 0 AND p.k = n.above
+""")
+def op11_conversation_trie(spark, sf_dir):
+    """Nodes of the prefix trie over the rebuilt conversations, with sums over their subtrees."""
+    turns = settle(conversation_trie.ordered_turns(table(spark, sf_dir, "conversations")))
+    nodes = conversation_trie.prefix_nodes(conversation_trie.spliced(turns, step=20, heads=4))
+    return nodes.select(
+        F.col("conv").cast("long").alias("conv_id"), "depth", F.col("parent_conv").cast("long").alias("parent_conv_id"), "n_convs", "n_children", "n_leaves",
+        F.col("saved").alias("saved_tokens"), "ends_sha256",
+    )
