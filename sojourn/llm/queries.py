@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sojourn.llm import (
     conversation_trie,
     decontaminate,
+    dual_tree_search,
     line_dedup,
     mixing,
     preferences,
@@ -182,7 +183,8 @@ WITH turns AS (
 rebuilt AS (SELECT a.c, list_concat(coalesce(b.l[1:a.h], []), a.l[a.h + 1:]) AS l FROM convs a LEFT JOIN convs b ON b.c = a.c - a.c % 20),
 visits AS (
   SELECT c, len(l) AS n, d, l[1:d] AS k, CASE WHEN d > 0 THEN l[1:d - 1] END AS above,
-         CASE WHEN d > 0 THEN len(regexp_extract_all(l[d].t, '[^ 	-]+')) ELSE 0 END AS words
+         CASE WHEN d > 0 THEN len(regexp_extract_all(l[d].t, '[^ 	-
+]+')) ELSE 0 END AS words
   FROM (SELECT c, l, unnest(generate_series(0, len(l))) AS d FROM rebuilt)
 ), nodes AS (
   SELECT k, any_value(d) AS depth, any_value(above) AS above, min(c) AS conv, count(*) AS n_convs, (count(*) - 1) * any_value(words) AS saved,
@@ -204,3 +206,26 @@ def op11_conversation_trie(spark, sf_dir):
         F.col("conv").cast("long").alias("conv_id"), "depth", F.col("parent_conv").cast("long").alias("parent_conv_id"), "n_convs", "n_children", "n_leaves",
         F.col("saved").alias("saved_tokens"), "ends_sha256",
     )
+
+
+@query(rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents
+), sized AS (SELECT row, doc_id, t, len(t) AS n FROM docs WHERE len(t) > 0),
+total AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM sized),
+items AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), counts AS (
+  SELECT row, any_value(doc_id) AS doc_id, any_value(n) AS n, term, count(*) AS tf FROM (SELECT row, doc_id, n, unnest(t) AS term FROM sized) WHERE term IN (SELECT term FROM items) GROUP BY row, term
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM counts GROUP BY term), total
+), scores AS (
+  SELECT item_id, row, any_value(doc_id) AS doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * n * docs) // terms))))) AS BIGINT) AS score
+  FROM items JOIN counts USING (term) JOIN weights USING (term), total GROUP BY item_id, row
+), ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM scores WHERE score > 0)
+SELECT * FROM ranked WHERE rank <= 10
+""")
+def op12_dual_tree_search(spark, sf_dir):
+    """The ten best documents of every benchmark item."""
+    found = dual_tree_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+    return found.select("item_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("doc_id"), "score")
