@@ -17,6 +17,7 @@ from sojourn.llm import (
     secret_ledger,
     simhash,
     token_store,
+    toxicity,
 )
 from sojourn.llm.registry import QUERIES, SQL, query, table
 from sojourn.operators.work import settle
@@ -229,3 +230,11 @@ def op12_dual_tree_search(spark, sf_dir):
     """The ten best documents of every benchmark item."""
     found = dual_tree_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
     return found.select("item_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("doc_id"), "score")
+
+
+@query()
+def op13_toxicity(spark, sf_dir):
+    """Toxicity score of every document."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).withColumnRenamed("id", "doc_id")
