@@ -47,7 +47,7 @@ GAP = re.compile(rb"[^0-9A-Za-z\x80-\xff]")
 BLOCK_ITEMS, BLOCK_TERMS = 400, 16_000
 PIECE_BYTES = 1 << 20
 #: Cells of a chunk's dense matrix of documents and terms.
-CHUNK_CELLS, CHUNK_DOCS = 4 << 20, 4096
+CHUNK_CELLS, CHUNK_DOCS = 1 << 20, 4096
 FAN = 8
 #: Documents that set the first thresholds.
 SEED_DOCS = 20_000
@@ -101,8 +101,8 @@ def _count(shared):
         known = shared.value
         for batch in batches:
             sizes, terms, tf = [], [], []
-            for text in batch.column("text").to_pylist():
-                n, found = term_counts(text or b"", known.keys())
+            for text in batch.column("text"):
+                n, found = term_counts(text.as_py() or b"", known.keys())
                 sizes.append(n)
                 terms.append([known[t] for t in found])
                 tf.append(list(found.values()))
@@ -148,32 +148,23 @@ def search_chunk(tree: ItemTree, values: np.ndarray, kth: np.ndarray, scores_of)
         use = tree.support[level][node]
         return docs[doc_level][np.ix_(doc_nodes, use)] @ tree.levels[level][node, use]
 
-    def meet(level: int, node: int, doc_level: int, doc_nodes: np.ndarray) -> None:
-        if doc_level and doc_level >= level:
-            below = (doc_nodes[:, None] * FAN + np.arange(FAN)).ravel()
-            below = below[below < len(docs[doc_level - 1])]
-            open_pairs = [(level, node, doc_level - 1, below)]
+    first = (len(tree.levels) - 1, 0, len(docs) - 1, np.zeros(1, np.int64))
+    todo = [first]
+    while todo:
+        level, node, doc_level, nodes = todo.pop()
+        bound = bounds(level, node, doc_level, nodes)
+        keep = bound >= floor_of(level, node)
+        if not keep.any():
+            continue
+        nodes = nodes[keep]
+        if level == doc_level == 0:
+            scores_of(node, nodes, bound[keep])
+        elif doc_level and doc_level >= level:
+            below = (nodes[:, None] * FAN + np.arange(FAN)).ravel()
+            todo.append((level, node, doc_level - 1, below[below < len(docs[doc_level - 1])]))
         else:
             last = min((node + 1) * FAN, len(tree.levels[level - 1]))
-            open_pairs = [(level - 1, child, doc_level, doc_nodes) for child in range(node * FAN, last)]
-        for lev, nod, doc_lev, nodes in open_pairs:
-            bound = bounds(lev, nod, doc_lev, nodes)
-            keep = bound >= floor_of(lev, nod)
-            if not keep.any():
-                continue
-            if lev == 0 and doc_lev == 0:
-                scores_of(nod, nodes[keep], bound[keep])
-            else:
-                meet(lev, nod, doc_lev, nodes[keep])
-
-    top, doc_top = len(tree.levels) - 1, len(docs) - 1
-    first = np.zeros(1, np.int64)
-    if top == 0 and doc_top == 0:
-        bound = bounds(0, 0, 0, first)
-        if bound[0] >= floor_of(0, 0):
-            scores_of(0, first, bound)
-    else:
-        meet(top, 0, doc_top, first)
+            todo += [(level - 1, child, doc_level, nodes) for child in range(node * FAN, last)]
 
 
 def _rank_docs(score: np.ndarray, order: np.ndarray, k: int) -> np.ndarray:
