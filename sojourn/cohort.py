@@ -138,8 +138,17 @@ def link(events: DataFrame, index: DataFrame, cfg: StudyConfig, hot: DataFrame |
     All index-relative conditions (before, on, after, look-back) are filters on this
     table. Heavy persons are split over salts; see ``operators.skew``.
     """
-    slim = select_any(index.withColumn("death_month", ym("death_yyyymm")), ["subject_id", *INDEX_KEYS])
-    return keyed_join(events, slim, "subject_id", salt_by=cfg.order, hot=hot)
+    return keyed_join(events, _index_side(index), "subject_id", salt_by=cfg.order, hot=hot)
+
+
+def link_local(events: DataFrame, index: DataFrame) -> DataFrame:
+    """``link`` for events that lie together by person and hold no heavy person: a plain
+    join, which moves only the index to the events' buckets."""
+    return events.join(_index_side(index), "subject_id")
+
+
+def _index_side(index: DataFrame) -> DataFrame:
+    return select_any(index.withColumn("death_month", ym("death_yyyymm")), ["subject_id", *INDEX_KEYS])
 
 
 @dataclass(frozen=True)

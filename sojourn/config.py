@@ -53,7 +53,8 @@ class StudyConfig:
 
     ``order`` names the columns that make a claim's position unique; every
     "first claim" rule uses them as its tie-break, because a distributed table
-    has no row order of its own.
+    has no row order of its own. ``id_filter`` is the error rate of a Bloom filter of
+    indexed ids that claims pass before they are shuffled to their person; None goes without.
     """
 
     obs_start: date = date(2006, 1, 1)
@@ -69,6 +70,7 @@ class StudyConfig:
     death_scope: str = "any"
     long_stay_days: int = 5
     landmarks: tuple = LANDMARK_DAYS
+    id_filter: float | None = None
     order: tuple = ("source_seq", "dx1", "dx2", "form_cd", "path_type", "los", "result_type")
 
     @property

@@ -294,11 +294,14 @@ def followup_summary(spark, sf_dir):
     return rounded(tte.followup_summary(settle(horizon_table(spark, sf_dir).select("time", "event"))))
 
 
-_survival_columns = ["subject_id", "start", "end", "time", "event", "cutoff", "age_index", "age10", "sex_f", "los", "outpt5", "index_dx_group_f", *HX]
+SURVIVAL_COLUMNS = ["subject_id", "start", "end", "time", "event", "cutoff", "age_index", "age10", "sex_f", "los", "outpt5", "index_dx_group_f", *HX]
 
 
-@query(prelude=COHORT, sql=f"""
-SELECT * REPLACE ({r('age10', 'age10')}, {r('outpt5', 'outpt5')}) FROM (SELECT {', '.join(f'"{c}"' for c in _survival_columns)} FROM surv)""")
+SURVIVAL_SQL = f"""
+SELECT * REPLACE ({r('age10', 'age10')}, {r('outpt5', 'outpt5')}) FROM (SELECT {', '.join(f'"{c}"' for c in SURVIVAL_COLUMNS)} FROM surv)"""
+
+
+@query(prelude=COHORT, sql=SURVIVAL_SQL)
 def survival_table(spark, sf_dir):
     """Follow-up with covariates, one row per included person."""
-    return rounded(study.survival_table(claims(spark, sf_dir), persons(spark, sf_dir), CONFIG).select(*_survival_columns))
+    return rounded(study.survival_table(claims(spark, sf_dir), persons(spark, sf_dir), CONFIG).select(*SURVIVAL_COLUMNS))
