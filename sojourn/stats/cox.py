@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sojourn.functions.numbers import chi2_sf
-from sojourn.operators.running import running_totals
+from sojourn.operators.running import choose_blocks, form_of, running_totals
 from sojourn.operators.work import settle
 from sojourn.stats.km import Z95
 from sojourn.stats.profile import complete_cases
@@ -282,6 +282,7 @@ class CoxFit:
     steps: int
     converged: bool
     counts: DataFrame = field(repr=False)
+    blocks: int = 0
 
     @property
     def lr(self) -> float:
@@ -334,11 +335,12 @@ def cox_fit(df: DataFrame, terms, blocks: int | None = None) -> CoxFit:
     counts = settle(table.groupBy("time", "event", *xs).agg(F.count("*").alias("n")))
     n = F.col("n").cast("double")
     head = counts.agg(
-        F.sum("n").alias("n"), F.sum(F.when(F.col("event") == 1, F.col("n"))).alias("d"),
+        F.sum("n").alias("n"), F.sum(F.when(F.col("event") == 1, F.col("n"))).alias("d"), F.count_distinct("time").alias("times"),
         *[(F.sum(n * F.col(x)) / F.sum(n)).alias(x) for x in xs],
     ).first()
     if not head["n"] or not head["d"]:
         raise ValueError("no events among complete cases")
+    blocks = form_of(head["times"]) if blocks is None else blocks
     centre = np.array([head[x] for x in xs])
     centred = _centred(centre)
     newton = _Newton(p)
@@ -347,17 +349,17 @@ def cox_fit(df: DataFrame, terms, blocks: int | None = None) -> CoxFit:
         newton.update(row["l"], _vector(row, p), _matrix(row, p))
     return CoxFit(
         df.sparkSession, list(terms), names, owners, centre, newton.beta, _invert(newton.information), newton.information,
-        newton.loglik0, newton.loglik, newton.score, head["n"], head["d"], newton.steps, newton.converged, counts,
+        newton.loglik0, newton.loglik, newton.score, head["n"], head["d"], newton.steps, newton.converged, counts, blocks,
     )
 
 
 def null_tests(df: DataFrame, terms, blocks: int | None = None) -> DataFrame:
     """Null log-likelihood, gradient and information for one numeric or two-level term,
-    and the score test, without iterating; one lazy plan."""
+    and the score test, without iterating; lazy but for the collapsed table."""
     table, names, _ = design(df, terms)
     if len(names) != 1:
         raise ValueError("one coefficient expected")
-    counts = table.groupBy("time", "event", "x0").agg(F.count("*").alias("n"))
+    counts, blocks = choose_blocks(table.groupBy("time", "event", "x0").agg(F.count("*").alias("n")), blocks)
     total = per_time(counts, "0D", ["x0"], blocks=blocks).agg(F.sum("l").alias("loglik_null"), *_total(1))
     return total.select(
         F.lit(names[0]).alias("term"), "loglik_null",
@@ -388,7 +390,8 @@ def cox_sweep(df: DataFrame, terms, blocks: int | None = None) -> DataFrame:
     n = F.col("n").cast("double")
     heads = {r["var"]: r for r in counts.groupBy("var").agg(
         F.sum("n").alias("n"), F.sum(F.when(F.col("event") == 1, F.col("n")).otherwise(0)).alias("d"),
-        (F.sum(n * F.col("x")) / F.sum(n)).alias("m")).collect()}
+        F.count_distinct("time").alias("times"), (F.sum(n * F.col("x")) / F.sum(n)).alias("m")).collect()}
+    blocks = form_of(max((h["times"] for h in heads.values()), default=0)) if blocks is None else blocks
     fits = {v: _Newton(1) for v in names if v in heads and heads[v]["d"]}
 
     def by_var(values: dict) -> str:

@@ -1,8 +1,8 @@
 """Kaplan-Meier curves and what is read off them.
 
 Follow-up time is in whole days, so after one ``groupBy(time)`` a curve is a table
-of at most one row per day of the horizon, however many persons there are. For finer
-times pass ``blocks`` and the running sums stay distributed.
+of at most one row per day of the horizon, however many persons there are. Finer times
+are counted first, and beyond a stated number the running sums go by range blocks.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sojourn.functions.logic import recode
-from sojourn.operators.running import running_totals
+from sojourn.operators.running import choose_blocks, running_totals
 
 Z95 = 1.959963984540054
 
@@ -30,9 +30,8 @@ def kaplan_meier(df: DataFrame, strata=(), z: float = Z95, blocks: int | None =
     """Survival with Greenwood standard error and log-scale confidence limits, cumulative
     incidence, and cumulative hazard both as -log S and as the Nelson-Aalen sum."""
     strata = list(strata)
-    at_risk = running_totals(
-        event_counts(df, strata), "time", {"n_risk": "n_leave"}, by=strata, descending=True, blocks=blocks
-    )
+    counted, blocks = choose_blocks(event_counts(df, strata), blocks)
+    at_risk = running_totals(counted, "time", {"n_risk": "n_leave"}, by=strata, descending=True, blocks=blocks)
     run = running_totals(at_risk, "time", {
         "__log_s": "CASE WHEN n_event < n_risk THEN log1p(-n_event / n_risk) ELSE 0D END",
         "__ended": "CASE WHEN n_event < n_risk THEN 0 ELSE 1 END",

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sojourn.functions.numbers import chi2_sf
-from sojourn.operators.running import running_totals
+from sojourn.operators.running import choose_blocks, running_totals
 
 
 def _per_time(df: DataFrame, group: str, levels, blocks: int | None) -> DataFrame:
@@ -20,8 +20,9 @@ def _per_time(df: DataFrame, group: str, levels, blocks: int | None) -> DataFram
     for i, level in enumerate(levels):
         here = F.col(group) == level
         aggs += [F.count_if(here).alias(f"c{i}"), F.count_if(here & (F.col("event") == 1)).alias(f"d{i}")]
+    counted, blocks = choose_blocks(known.groupBy("time").agg(*aggs), blocks)
     per_time = running_totals(
-        known.groupBy("time").agg(*aggs), "time",
+        counted, "time",
         {f"n{i}": f"c{i}" for i in range(len(levels))}, descending=True, blocks=blocks,
     )
     return per_time.withColumns({

@@ -26,7 +26,7 @@ def _transform(counts: DataFrame, blocks: int | None) -> DataFrame:
 
 def ph_test(fit: CoxFit, blocks: int | None = None) -> DataFrame:
     """Chi-square, degrees of freedom and p per term, and GLOBAL."""
-    p = len(fit.beta)
+    p, blocks = len(fit.beta), fit.blocks if blocks is None else blocks
     at = per_time(fit.counts, fit.predictor(), fit.centred(), blocks=blocks)
     at = at.join(_transform(fit.counts, blocks), "time")
     row = at.agg(*_total(p), *_total(p, "g", "g_"), *_total(p, "g * g", "gg_")).first()
