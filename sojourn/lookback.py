@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sojourn.cohort import Measure, in_lookback, inpatient
 from sojourn.config import StudyConfig
 from sojourn.functions.logic import any_true, in_list, matches, yes_no
+from sojourn.operators.codebook import CodeBook
 
 
 def lookback(linked: DataFrame, cfg: StudyConfig, days: int | None = None) -> DataFrame:
@@ -43,6 +44,15 @@ def comorbidity(cfg: StudyConfig) -> Measure:
     )
 
 
+def comorbidity_by_codes(cfg: StudyConfig, book: CodeBook, bits: str = "code_bits") -> Measure:
+    """``comorbidity`` for claims that carry the bits of a code book over their diagnoses."""
+    seen = in_lookback(cfg)
+    return Measure(
+        {f"d_{name}": any_true(seen & book.has(F.col(bits), name)) for name in cfg.comorbidities},
+        {name: any_true(f"d_{name}") for name in cfg.comorbidities},
+    )
+
+
 def label_flags(persons: DataFrame, names) -> DataFrame:
     """Turn flags into Yes/No; a person without history has none of them."""
     return persons.withColumns({n: yes_no(F.coalesce(F.col(n), F.lit(False))) for n in names})

@@ -62,15 +62,14 @@ def level_summary(df: DataFrame, names, top: int = 6) -> DataFrame:
     """
     counts = long_values(df, names, kind="string").groupBy("variable", "value").agg(F.count("*").alias("n"))
     levels = counts.filter(F.col("value").isNotNull())
-    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), "value", "n"))), 1, top + 1)
-    # The first levels of each group of levels, then of those: no task orders all levels.
-    parts = levels.withColumn("part", F.pmod(F.hash("value"), F.lit(256))).groupBy("variable", "part").agg(best.alias("b"))
-    first = parts.groupBy("variable").agg(F.slice(F.array_sort(F.flatten(F.collect_list("b"))), 1, top + 1).alias("b"))
+    # Spark keeps the first rows of each variable in every task before they meet.
+    by_count = Window.partitionBy("variable").orderBy(F.desc("n"), "value")
+    best = levels.withColumn("rank", F.row_number().over(by_count)).filter(F.col("rank") <= top + 1)
     sizes = levels.groupBy("variable").agg(F.count("*").alias("n_levels"), F.sum("n").alias("total"))
-    known = first.join(sizes, "variable").withColumn("b", F.when(F.col("n_levels") <= top + 1, F.col("b")).otherwise(F.slice("b", 1, top)))
-    shown = known.select("variable", F.explode("b").alias("x")).select("variable", F.col("x.value").alias("level"), F.col("x.n").alias("n"))
-    listed = F.aggregate("b", F.lit(0).cast("long"), lambda a, x: a + x["n"])
-    rest = known.filter(F.col("n_levels") > top + 1).select("variable", F.lit("(Other)").alias("level"), (F.col("total") - listed).alias("n"))
+    best = best.join(F.broadcast(sizes), "variable").filter((F.col("rank") <= top) | (F.col("n_levels") <= top + 1))
+    shown = best.select("variable", F.col("value").alias("level"), "n")
+    listed = best.filter(F.col("n_levels") > top + 1).groupBy("variable").agg((F.first("total") - F.sum("n")).alias("n"))
+    rest = listed.select("variable", F.lit("(Other)").alias("level"), "n")
     missing = counts.filter(F.col("value").isNull()).select("variable", F.lit("(NULL)").alias("level"), "n")
     return shown.unionByName(rest).unionByName(missing)
 
