@@ -4,15 +4,21 @@ Continuous variables are handled in long form: one collapse to (variable, value)
 counts feeds quantiles and rank sums, one grouped aggregate feeds moments.
 Categorical variables need a single (variable, level) count with one column per
 group. Tests and differences are then arithmetic over those small tables.
+
+The assembled tables (``comparison``, ``display``) read the persons once: ``tally`` counts
+every value and level of every variable, per group and over all, and all cells, moments, ranks
+and tests come from that table. Its counts add up, so the overall column costs no pass of its own.
 """
 
 from __future__ import annotations
 
 import math
+import sys
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -20,11 +26,16 @@ from pyspark.sql.window import Window
 from sojourn.functions.numbers import chi2_sf, f_sf
 from sojourn.operators.quantiles import exact_quantiles
 from sojourn.operators.running import BLOCKS, running_totals
+from sojourn.operators.sketches import quantile_sketches, sketched_quantiles
 from sojourn.operators.work import settle
 from sojourn.stats.profile import long_values
 
+# Fisher's test runs in tasks: executors need numpy and pandas, but not this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 OVERALL = "Overall"
 TAIL_BLOCK = 4096
+QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
 
 def _grouped(df: DataFrame, group: str | None) -> DataFrame:
@@ -57,10 +68,16 @@ def moments(df: DataFrame, names, group: str | None = None) -> DataFrame:
     )
 
 
-def continuous(df: DataFrame, names, group: str | None = None) -> DataFrame:
-    """Moments plus median and quartiles."""
-    counts = _value_counts(df, names, group).withColumnRenamed("__g", "grp")
-    spread = exact_quantiles(counts, ["variable", "grp"], {"q1": 0.25, "median": 0.5, "q3": 0.75})
+def continuous(df: DataFrame, names, group: str | None = None, rank_error: float | None = None) -> DataFrame:
+    """Moments plus median and quartiles: exact ones, or with ``rank_error`` from quantile
+    sketches, one of bounded size per variable and group in each task."""
+    if rank_error is None:
+        counts = _value_counts(df, names, group).withColumnRenamed("__g", "grp")
+        spread = exact_quantiles(counts, ["variable", "grp"], QUARTILES)
+    else:
+        long = long_values(_grouped(df, group), names, ["__g"]).withColumnRenamed("__g", "grp")
+        sketched = quantile_sketches(long, ["variable", "grp"], rank_error=rank_error)
+        spread = sketched_quantiles(sketched, ["variable", "grp"], QUARTILES).drop("n")
     return moments(df, names, group).join(F.broadcast(spread), ["variable", "grp"], "left")
 
 
@@ -101,16 +118,17 @@ def anova(df: DataFrame, names, group: str, groups, wide: DataFrame | None = Non
     return out.withColumn("p", f_sf("statistic", "df1", "df2"))
 
 
-def kruskal(df: DataFrame, names, group: str, groups) -> DataFrame:
+def kruskal(df: DataFrame, names, group: str, groups, values: DataFrame | None = None) -> DataFrame:
     """Kruskal-Wallis on mid-ranks with tie correction.
 
-    Values are collapsed first, so ranks are running totals over distinct values.
+    Values are collapsed first, so ranks are running totals over distinct values. ``values``
+    may hold them already, as (variable, value, n0, n1, …).
     """
-    long = long_values(_grouped(df, group), names, ["__g"]).filter(F.col("value").isNotNull())
     ks = range(len(groups))
-    by_value = long.groupBy("variable", "value").agg(
-        *[F.count_if(F.col("__g") == g).alias(f"n{i}") for i, g in enumerate(groups)]
-    ).withColumn("n", _sum_of([F.col(f"n{i}") for i in ks]))
+    if values is None:
+        long = long_values(_grouped(df, group), names, ["__g"]).filter(F.col("value").isNotNull())
+        values = long.groupBy("variable", "value").agg(*[F.count_if(F.col("__g") == g).alias(f"n{i}") for i, g in enumerate(groups)])
+    by_value = values.withColumn("n", _sum_of([F.col(f"n{i}") for i in ks]))
     ranked = running_totals(by_value, "value", {"upto": "n"}, by=["variable"], blocks=BLOCKS)
     n = F.col("n").cast("double")
     mid = F.col("upto") - (n - 1) / 2
@@ -297,29 +315,95 @@ def smd_categorical(df: DataFrame, names, group: str, groups, cells: DataFrame |
     return s.select("variable", F.sqrt(F.greatest(F.col("dd") + quad, F.lit(0.0))).alias("smd"))
 
 
+# --- one pass over the persons ---------------------------------------------------
+
+SIZE = "n"
+
+
+def tally(df: DataFrame, continuous_vars, categorical_vars, group: str | None, groups) -> DataFrame:
+    """(variable, number, level, n0, n1, …, n_known, n_all), written out: rows per value of each
+    continuous variable and level of each categorical one, NULLs included, and under ``SIZE``
+    all rows. ``n_known`` counts rows with a group, ``n_all`` all rows."""
+    number, text = F.lit(None).cast("double"), F.lit(None).cast("string")
+    entries = [F.struct(F.lit(SIZE).alias("variable"), number.alias("number"), F.lit("").alias("level"))]
+    entries += [F.struct(F.lit(v).alias("variable"), F.col(v).cast("double").alias("number"), text.alias("level")) for v in continuous_vars]
+    entries += [F.struct(F.lit(v).alias("variable"), number.alias("number"), F.col(v).cast("string").alias("level")) for v in categorical_vars]
+    own = F.col(group) if group else text
+    long = df.select(own.alias("__g"), F.inline(F.array(*entries)))
+    shown = groups if group else ()
+    return settle(long.groupBy("variable", "number", "level").agg(
+        *[F.count_if(F.col("__g") == g).alias(f"n{i}") for i, g in enumerate(shown)],
+        F.count_if(F.col("__g").isNotNull()).alias("n_known"), F.count("*").alias("n_all"),
+    ))
+
+
+def _tallied_levels(tallied: DataFrame, names, k: int) -> DataFrame:
+    """``level_counts`` of the tally."""
+    here = F.col("variable").isin(*names) & F.col("level").isNotNull() & (F.col("n_known") > 0)
+    return tallied.filter(here).select("variable", "level", *[f"n{i}" for i in range(k)])
+
+
+def _by_group(tallied: DataFrame, names, labels: dict[str, str]) -> DataFrame:
+    """(variable, number, level, grp, n) of the named variables; ``labels`` maps count columns to groups."""
+    each = F.array(*[F.struct(F.lit(label).alias("grp"), F.col(c).alias("n")) for c, label in labels.items()])
+    return tallied.filter(F.col("variable").isin(*names)).select("variable", "number", "level", F.inline(each)).filter("n > 0")
+
+
+def _tallied_moments(counts: DataFrame) -> DataFrame:
+    """Values, missing, mean and sample variance per (variable, grp) from (variable, grp, number, n)."""
+    keys, known = ["variable", "grp"], F.col("number").isNotNull()
+    first = counts.groupBy(*keys).agg(
+        F.coalesce(F.sum(F.when(known, F.col("n"))), F.lit(0)).alias("n_values"), F.coalesce(F.sum(F.when(~known, F.col("n"))), F.lit(0)).alias("n_missing"),
+        (F.sum(F.col("n") * F.col("number")) / F.sum(F.when(known, F.col("n")))).alias("mean"),
+    )
+    off = F.col("number") - F.col("mean")
+    spread = counts.filter(known).join(F.broadcast(first.select(*keys, "mean")), keys).groupBy(*keys).agg(F.sum(F.col("n") * off * off).alias("off"))
+    return first.join(F.broadcast(spread), keys, "left").select(
+        *keys, F.col("n_values").alias("n"), "n_missing", "mean", (F.col("off") / F.nullif(F.col("n_values") - 1, F.lit(0))).alias("var")
+    )
+
+
+def _tallied_wide(tallied: DataFrame, names, groups) -> DataFrame:
+    """``_moments_wide`` of the tally."""
+    per_group = _tallied_moments(_by_group(tallied, names, {f"n{i}": str(i) for i in range(len(groups))}))
+    aggs = []
+    for i in range(len(groups)):
+        here = F.col("grp") == str(i)
+        aggs += [F.coalesce(F.max(F.when(here, F.col("n"))), F.lit(0)).alias(f"n{i}"), F.max(F.when(here, F.col("mean"))).alias(f"m{i}"), F.max(F.when(here, F.col("var"))).alias(f"v{i}")]
+    return per_group.groupBy("variable").agg(*aggs)
+
+
+def _tallied_continuous(tallied: DataFrame, names, labels: dict[str, str]) -> DataFrame:
+    """Moments, median and quartiles per (variable, grp)."""
+    counts = _by_group(tallied, names, labels)
+    values = counts.filter(F.col("number").isNotNull()).select("variable", "grp", F.col("number").alias("value"), "n")
+    return _tallied_moments(counts).withColumn("sd", F.sqrt("var")).join(
+        F.broadcast(exact_quantiles(values, ["variable", "grp"], QUARTILES)), ["variable", "grp"], "left"
+    )
+
+
 # --- assembled ----------------------------------------------------------------
 
 def comparison(df: DataFrame, continuous_vars, categorical_vars, nonnormal, exact, group: str, groups,
-               cells: DataFrame | None = None) -> DataFrame:
-    """Test, p and standardised difference for every variable.
-
-    Level counts and moments are written out first, as several tests share them: the
-    persons are read three times however many variables and tests there are.
+               tallied: DataFrame | None = None) -> DataFrame:
+    """Test, p and standardised difference for every variable, from one tally of the persons.
 
     Normal variables use analysis of variance, nonnormal ones Kruskal-Wallis; exact ones
     Fisher's test where the table is 2 x 2 and chi-square otherwise.
     """
     normal = [v for v in continuous_vars if v not in nonnormal]
     ranked = [v for v in continuous_vars if v in nonnormal]
-    if cells is None and categorical_vars:
-        cells = settle(level_counts(df, categorical_vars, group, groups))
-    wide = settle(_moments_wide(df, continuous_vars, group, groups)) if continuous_vars else None
+    tallied = tally(df, continuous_vars, categorical_vars, group, groups) if tallied is None else tallied
+    cells = _tallied_levels(tallied, categorical_vars, len(groups)) if categorical_vars else None
+    wide = settle(_tallied_wide(tallied, continuous_vars, groups)) if continuous_vars else None
     tests = []
     keep = ["variable", "test", "statistic", "df1", "p"]
     if normal:
         tests.append(anova(df, normal, group, groups, wide).select(keep))
     if ranked:
-        tests.append(kruskal(df, ranked, group, groups).select(keep))
+        values = tallied.filter(F.col("variable").isin(*ranked) & F.col("number").isNotNull() & (F.col("n_known") > 0))
+        values = values.select("variable", F.col("number").alias("value"), *[f"n{i}" for i in range(len(groups))])
+        tests.append(kruskal(df, ranked, group, groups, values).select(keep))
     if categorical_vars:
         chi = chi_square(df, categorical_vars, group, groups, cells).select(keep)
         exact_here = [v for v in categorical_vars if v in exact]
@@ -373,24 +457,23 @@ def display(df: DataFrame, continuous_vars, categorical_vars, nonnormal, exact,
     text = F.when(F.col("n") == 0, F.lit("NA")).otherwise(text)
     level_text = F.concat(F.col("n").cast("string"), F.lit(" ("), number("pct", pct_digits), F.lit(")"))
 
-    counted = settle(level_counts(df, categorical_vars, group, groups)) if group and categorical_vars else None
-
-    def block(part_group, part_groups):
-        sizes = _grouped(df, part_group).groupBy(F.col("__g").alias("grp")).agg(F.count("*").alias("n"))
-        rows = [sizes.select(F.lit("n").alias("variable"), F.lit("").alias("level"), "grp", F.col("n").cast("string").alias("cell"))]
-        if continuous_vars:
-            rows.append(continuous(df, list(continuous_vars), part_group).select("variable", F.lit("").alias("level"), "grp", text.alias("cell")))
-        if categorical_vars:
-            rows.append(categorical(
-                df, list(categorical_vars), part_group, part_groups, counted if part_group else None
-            ).select("variable", "level", "grp", level_text.alias("cell")))
-        return reduce(lambda a, b: a.unionByName(b), rows)
-
-    shown = list(groups) if group else [OVERALL]
-    cells = block(group, shown)
-    if overall and group:
-        cells = block(None, [OVERALL]).unionByName(cells)
-        shown = [OVERALL, *shown]
+    tallied = tally(df, continuous_vars, categorical_vars, group, groups)
+    labels = {f"n{i}": g for i, g in enumerate(groups)} if group else {}
+    if overall or not group:
+        labels = {"n_all": OVERALL, **labels}
+    shown = list(labels.values())
+    rows = [_by_group(tallied, [SIZE], labels).select("variable", "level", "grp", F.col("n").cast("string").alias("cell"))]
+    if continuous_vars:
+        found = _tallied_continuous(tallied, list(continuous_vars), labels)
+        rows.append(found.select("variable", F.lit("").alias("level"), "grp", text.alias("cell")))
+    if categorical_vars:
+        for c, label in labels.items():
+            # a level unknown to every group has a row in the overall column only
+            levels_here = tallied.filter(F.col("variable").isin(*categorical_vars) & F.col("level").isNotNull())
+            levels_here = levels_here if c == "n_all" else levels_here.filter("n_known > 0")
+            counted = levels_here.select("variable", "level", F.col(c).alias("n0"))
+            rows.append(categorical(df, list(categorical_vars), None, (label,), counted).select("variable", "level", "grp", level_text.alias("cell")))
+    cells = reduce(lambda a, b: a.unionByName(b), rows)
     wide = cells.groupBy("variable", "level").agg(*[F.max(F.when(F.col("grp") == g, F.col("cell"))).alias(g) for g in shown])
     kinds = {"n": "n"}
     kinds.update({v: f"{v} (median [IQR])" if v in nonnormal else f"{v} (mean (SD))" for v in continuous_vars})
@@ -406,7 +489,7 @@ def display(df: DataFrame, continuous_vars, categorical_vars, nonnormal, exact,
     ).drop("__given")
     if not group:
         return wide
-    stats = comparison(df, continuous_vars, categorical_vars, nonnormal, exact, group, groups, counted)
+    stats = comparison(df, continuous_vars, categorical_vars, nonnormal, exact, group, groups, tallied)
     least = "<0." + "0" * (p_digits - 1) + "1"
     stats = stats.select(
         "variable",

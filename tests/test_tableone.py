@@ -166,3 +166,37 @@ def test_level_summary_shows_a_single_rest_itself(spark, kinds, shown):
     levels = {r["level"]: r["n"] for r in profile.level_summary(rows, ["s"]).collect()}
     assert levels.pop("(NULL)") == 7 and len(levels) == shown and sum(levels.values()) == 63
     assert ("(Other)" in levels) == (kinds == 8)
+
+
+def test_overall_beside_groups_in_one_pass(spark, tmp_path):
+    """Every cell of the combined table equals that of the separate ones; persons are read once."""
+    rows = [(("a", "b", None, "c")[i % 4], float(i * 37 % 11) if i % 5 else None, i * 1.5, ("x", "y", None)[i % 3], "only c" if i % 4 == 3 else "z") for i in range(120)]
+    df = spark.createDataFrame(rows, "g string, v double, w double, k string, m string")
+    args = (["v", "w"], ["k", "m"], ["v"], [])
+    both = {(r.variable, r.level): r for r in tableone.display(df, *args, "g", ("a", "b"), overall=True).collect()}
+    alone = {(r.variable, r.level): r for r in tableone.display(df, *args, None, ()).collect()}
+    groups = {(r.variable, r.level): r for r in tableone.display(df, *args, "g", ("a", "b")).collect()}
+    assert {k: r.Overall for k, r in both.items()} == {k: r.Overall for k, r in alone.items()}
+    assert {k: (r.a, r.b, r.p, r.smd) for k, r in groups.items()}.items() <= {k: (r.a, r.b, r.p, r.smd) for k, r in both.items()}.items()
+    assert both[("n", "")].Overall == "120" and both[("n", "")].a == "30"
+    v = sorted(x for _, x, *_ in rows if x is not None)
+    assert both[("v", "")].Overall.startswith(f"{(v[47] + v[48]) / 2:.2f} [")
+    df.write.parquet(str(tmp_path / "p"))
+    stored, reads = spark.read.parquet(str(tmp_path / "p")), []
+    real = tableone.tally
+    try:
+        tableone.tally = lambda *a: reads.append(1) or real(*a)
+        shown = tableone.display(stored, *args, "g", ("a", "b"), overall=True)
+    finally:
+        tableone.tally = real
+    assert reads == [1] and str(tmp_path / "p") not in shown._jdf.queryExecution().analyzed().toString()
+    assert not any(str(tmp_path / "p") in f for f in shown.inputFiles())
+
+
+def test_sketched_quartiles(spark):
+    df = spark.range(30_000).selectExpr("IF(id % 2 = 0, 'a', 'b') AS g", "CAST(id AS DOUBLE) AS v", "CAST(NULL AS DOUBLE) AS w")
+    exact = {(r.variable, r.grp): r for r in tableone.continuous(df, ["v", "w"], "g").collect()}
+    near = {(r.variable, r.grp): r for r in tableone.continuous(df, ["v", "w"], "g", rank_error=0.01).collect()}
+    assert near.keys() == exact.keys() and near[("w", "a")].median is None
+    for q in ("q1", "median", "q3"):
+        assert abs(near[("v", "a")][q] - exact[("v", "a")][q]) <= 0.02 * 30_000
