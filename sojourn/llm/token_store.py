@@ -55,6 +55,8 @@ SAFE_LINE = re.compile(r"(?<=[\w!-~])\n(?=[\w!-~])")
 SHAPE = re.compile(r"([^\W\d_]*)([!-/:-@\[-`{-~]*)")
 #: Letters of the Latin blocks, whose kind no version of Unicode has changed.
 LAST_LATIN = "\u024f"
+#: The common piece: such letters, then ASCII punctuation.
+PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-/:-@\[-`{-~]*)")
 
 
 #: What stands for a blank in a byte-level vocabulary.
@@ -122,8 +124,14 @@ class Encoder:
         """Ids of a blank and ``piece``, now among the recent ones; None unless it begins and ends safely."""
         ids = self.earlier.get(piece)
         if ids is None:
-            if piece.isascii() and piece.isalpha():
-                ids = self._token(" " + piece)
+            if plain := PLAIN.fullmatch(piece):
+                letters, marks = plain.groups()
+                if marks:
+                    # the letters are mostly known as a piece of their own
+                    ids = self.recent.get(letters) or self.earlier.get(letters) or self._token(" " + letters)
+                    ids += self.marks.get(marks) or self._marks(marks)
+                else:
+                    ids = self._token(" " + letters)
             elif not piece or not SAFE.match(piece[0]) or not SAFE.match(piece[-1]):
                 return None
             elif "\n" in piece:
