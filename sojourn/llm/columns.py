@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The six ASCII white-space characters: word separators of every contract here.
@@ -30,3 +30,24 @@ def words(text: Column) -> Column:
 
 def word_count(text: Column) -> Column:
     return F.size(words(text)).cast("long")
+
+
+def column(name: str) -> Column:
+    """A column by its very name, whatever characters that has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def position(df: DataFrame, name: str) -> str:
+    """Name of a column's field in ``whole_row``."""
+    return f"c{df.columns.index(name)}"
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns in one struct, so that an operator's own columns cannot clash with them."""
+    return F.struct(*[column(c).alias(position(df, c)) for c in df.columns])
+
+
+def unpacked(found: DataFrame, df: DataFrame, changed: dict[str, Column] | None = None, row: str = "row") -> DataFrame:
+    """The columns of ``df`` again, from its rows in ``found``; ``changed`` replaces some."""
+    changed = changed or {}
+    return found.select(*[changed.get(c, F.col(row).getField(position(df, c))).alias(c) for c in df.columns])

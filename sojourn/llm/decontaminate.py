@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sojourn.llm import kernels
+from sojourn.llm.columns import column
 from sojourn.operators.work import settle
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -98,20 +99,27 @@ def _blocks(windows: DataFrame, limit: int):
         yield k == n - 1, windows.where(F.pmod(F.xxhash64("window"), F.lit(n)) == k).collect()
 
 
+def window_set(rows) -> dict:
+    """What ``WindowSet`` holds, as plain dicts and arrays: these are broadcast, so that
+    executors need not have this package to read them."""
+    windows = {bytes(r["window"]): tuple(r["items"]) for r in rows}
+    by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for length in sorted({r["n"] for r in rows}):
+        texts = [bytes(r["window"]) for r in rows if r["n"] == length]
+        data = np.frombuffer(b" ".join(texts), np.uint8)
+        folded, starts, ends, _ = words_of(data, np.array([0, len(data)]))
+        hashes = window_hashes(kernels.run_hashes(folded, starts, ends), length)[::length]
+        seen = np.zeros(1 << 20, bool)
+        seen[hashes >> np.uint64(44)] = True
+        by_length[length] = (np.unique(hashes), seen)
+    return {"windows": windows, "by_length": by_length}
+
+
 class WindowSet:
     """Hash set of windows: sorted hashes, and the windows to verify against."""
 
-    def __init__(self, rows):
-        self.windows = {bytes(r["window"]): tuple(r["items"]) for r in rows}
-        self.by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for length in sorted({r["n"] for r in rows}):
-            texts = [bytes(r["window"]) for r in rows if r["n"] == length]
-            data = np.frombuffer(b" ".join(texts), np.uint8)
-            folded, starts, ends, _ = words_of(data, np.array([0, len(data)]))
-            hashes = window_hashes(kernels.run_hashes(folded, starts, ends), length)[::length]
-            seen = np.zeros(1 << 20, bool)
-            seen[hashes >> np.uint64(44)] = True
-            self.by_length[length] = (np.unique(hashes), seen)
+    def __init__(self, windows: dict, by_length: dict):
+        self.windows, self.by_length = windows, by_length
 
     def hits(self, data: np.ndarray, offsets: np.ndarray):
         """Word bounds, and verified (first word, length, items) hits."""
@@ -151,7 +159,7 @@ def _scan(shared, text_col: str, carry: bool, last: bool, out, one_in: int):
     """Task function for one block of windows. ``out`` makes the final batch."""
 
     def scan(batches):
-        windows = shared.value
+        windows = WindowSet(**shared.value)
         for batch in batches:
             data, offsets = kernels.utf8(batch.column(text_col))
             earlier = [pickle.loads(h) if h else None for h in batch.column("__hits").to_pylist()] if carry else [None] * batch.num_rows
@@ -225,7 +233,7 @@ def _spans(names, text_col: str):
 def _run(docs: DataFrame, benchmark: DataFrame, text_col: str, out, schema, one_in: int, window: int, block_bytes: int) -> DataFrame:
     spark, current, carry = docs.sparkSession, docs, False
     for last, rows in _blocks(benchmark_windows(benchmark, window=window), block_bytes):
-        shared = spark.sparkContext.broadcast(WindowSet(rows))
+        shared = spark.sparkContext.broadcast(window_set(rows))
         if last:
             return current.mapInArrow(_scan(shared, text_col, carry, True, out, one_in), schema)
         names = docs.columns
@@ -247,5 +255,9 @@ def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
 def remove(docs: DataFrame, benchmark: DataFrame, what: str = "documents", text_col: str = "text", window: int = WINDOW, one_in: int = ONE_IN, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents without the contaminated ones, or (``what="spans"``) all documents
     with the hit words, and what stands between them, cut out. Other columns stay."""
-    outs = {"documents": _documents(one_in, docs.columns), "spans": _spans(docs.columns, text_col)}
-    return _run(docs, benchmark, text_col, outs[what], docs.schema, one_in, window, block_bytes)
+    others = [c for c in docs.columns if c != text_col]
+    row = F.struct(F.lit(0).alias("none"), *[column(c).alias(f"c{i}") for i, c in enumerate(others)])
+    packed = docs.select(row.alias("row"), column(text_col).alias("text"))
+    outs = {"documents": _documents(one_in, packed.columns), "spans": _spans(packed.columns, "text")}
+    found = _run(packed, benchmark, "text", outs[what], packed.schema, one_in, window, block_bytes)
+    return found.select(*[F.col("text").alias(c) if c == text_col else F.col("row").getField(f"c{others.index(c)}").alias(c) for c in docs.columns])

@@ -1,6 +1,7 @@
 """Numpy routines that run inside Spark tasks, on Arrow batches.
 
-They are pickled by value, so executors need numpy and pyarrow but not this package.
+They are pickled by value, and what is broadcast are plain arrays and dicts, so executors need
+numpy and pyarrow (and xxhash for SimHash, tokenizers for the token store) but not this package.
 """
 
 from __future__ import annotations
