@@ -199,10 +199,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """id, held_out, score, predicted of every document."""
     rows = docs.select(F.col(id_col).alias("id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    # a plain dict of arrays: executors need not have this package to read it
+    shared = docs.sparkSession.sparkContext.broadcast(vars(model))
 
     def apply(batches):
-        model = shared.value
+        model = Model(**shared.value)
         for batch in batches:
             data, offsets = kernels.utf8(batch.column("text"))
             parts = [model.scores(features(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], model.vectors)) for lo, hi in kernels.row_chunks(offsets, CHUNK_BYTES)]
