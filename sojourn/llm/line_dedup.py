@@ -27,7 +27,8 @@ Every line that is not empty is looked at, however short; empty lines part parag
 all stay. ``min_chars`` leaves shorter lines alone where a caller wants that. Defined
 results. Null and empty texts have one empty line. A null id
 is later than every other; rows that repeat an id have their lines in one sequence, where
-equal lines at equal places count as one. Extra columns never matter.
+equal lines at equal places count as one, and unequal ones at equal places are ordered by their
+hashes. Extra columns never matter; their names may be any.
 """
 
 from __future__ import annotations
@@ -42,6 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sojourn.llm import kernels
+from sojourn.llm.columns import position, unpacked, whole_row
 from sojourn.operators.work import settle
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -258,32 +260,42 @@ def near_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, edits: int = EDITS) -> DataFrame:
-    """(id, kept): numbers of the lines looked at that stay, for each id that keeps one."""
+    """(id, no, h1, h2): place and hashes of the lines looked at that stay, one row each."""
     near = near_lines(docs, id_col, text_col, min_chars, edits).select(*LINE)
     firsts = _lines(docs, id_col, text_col, min_chars).select("id", "no", *_hashes()).groupBy(*LINE).agg(_place())
-    return firsts.join(near, LINE, "left_anti").groupBy(F.col("first.id").alias("id")).agg(F.sort_array(F.collect_list("first.no")).alias("kept"))
+    return firsts.join(near, LINE, "left_anti").select(F.col("first.id").alias("id"), F.col("first.no").alias("no"), *LINE)
 
 
-def _with_kept(docs: DataFrame, id_col: str, text_col: str, min_chars: int, edits: int) -> DataFrame:
-    """``docs`` with ``__removed``: the numbers of the lines that go, in order."""
-    kept = settle(kept_lines(docs, id_col, text_col, min_chars, edits).select(F.col("id").alias("__id"), F.col("kept").alias("__kept")))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    long_lines = F.filter(F.transform(F.split(text, "\n", -1), lambda x, i: F.when(F.length(x) >= min_chars, i)), lambda x: x.isNotNull())
-    removed = F.array_except(F.col("__long"), F.coalesce("__kept", F.array().cast("array<int>")))
-    return docs.withColumn("__long", long_lines).join(kept, F.col(id_col).eqNullSafe(F.col("__id")), "left").withColumn("__removed", removed)
+def _removed(docs: DataFrame, id_col: str, text_col: str, min_chars: int, edits: int) -> DataFrame:
+    """(id, version, removed): numbers of the lines that go, in order, for each distinct text of an id.
+
+    A line stays if its place and its hashes are those of a kept line; each line asks for itself.
+    """
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = rows.select("id", F.xxhash64("text").alias("version"), F.posexplode(F.split("text", "\n", -1)).alias("no", "line")).where(F.length("line") >= min_chars)
+    asked = rows.select("id", "version", "no", *_hashes())
+    kept = settle(kept_lines(docs, id_col, text_col, min_chars, edits)).select(F.col("id").alias("kept_id"), F.col("no").alias("kept_no"), F.col("h1").alias("k1"), F.col("h2").alias("k2"))
+    same = F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("no") == F.col("kept_no")) & (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2"))
+    gone = asked.join(kept, same, "left_anti")
+    return gone.groupBy("id", "version").agg(F.array_sort(F.collect_set("no")).alias("removed"))
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, edits: int = EDITS) -> DataFrame:
     """Per document: id, number of lines, number and numbers (from 0) of those removed."""
     n_lines = F.size(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)).cast("long")
-    # Line numbers are taken before the join, so texts are not shuffled.
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), n_lines.alias("n_lines"))
-    found = _with_kept(rows, "id", "text", min_chars, edits)
-    return found.select("id", "n_lines", F.size("__removed").cast("long").alias("n_removed"), F.col("__removed").alias("removed"))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("version"), n_lines.alias("n_lines"))
+    gone = _removed(docs, id_col, text_col, min_chars, edits).select(F.col("id").alias("gone_id"), F.col("version").alias("gone_version"), "removed")
+    found = rows.join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("version") == F.col("gone_version")), "left")
+    removed = F.coalesce("removed", F.array().cast("array<int>"))
+    return found.select("id", "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, edits: int = EDITS) -> DataFrame:
     """The documents with their repeated lines taken out; other columns stay."""
-    found = _with_kept(docs, id_col, text_col, min_chars, edits)
-    lines = F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains("__removed", i))
-    return found.select(*[F.array_join(lines, "\n").alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    gone = _removed(docs, id_col, text_col, min_chars, edits)
+    whole = docs.select(whole_row(docs).alias("row"))
+    text, key = F.col("row").getField(position(docs, text_col)), F.col("row").getField(position(docs, id_col))
+    version = F.xxhash64(F.coalesce(text, F.lit("")))
+    found = whole.join(gone, key.eqNullSafe(F.col("id")) & (version == F.col("version")), "left")
+    lines = F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains(F.coalesce("removed", F.array().cast("array<int>")), i))
+    return unpacked(found, docs, {text_col: F.array_join(lines, "\n")})
