@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sojourn.llm.columns import word_count
+from sojourn.llm.columns import position, unpacked, whole_row, word_count
 from sojourn.operators.work import settle
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -214,10 +214,9 @@ def taken(docs: DataFrame, **settings) -> DataFrame:
 
 def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **settings) -> DataFrame:
     """The mixed documents: each row as often as it is taken, all columns kept."""
-    units = settle(mix(docs, id_col, text_col, source_col, **settings).where("copies > 0").select(
-        F.col("id").alias("__id"), F.col("src").alias("__src"), F.col("size").alias("__size"), F.col("copies").alias("__copies")
-    ))
-    sized = docs.withColumn("__words", word_count(F.col(text_col)))
-    match = F.col(id_col).eqNullSafe(F.col("__id")) & F.col(source_col).eqNullSafe(F.col("__src")) & (F.col("__words") == F.col("__size"))
-    rows = sized.join(units.hint("shuffle_hash"), match).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    return rows.select(*docs.columns)
+    units = settle(mix(docs, id_col, text_col, source_col, **settings).where("copies > 0").select("id", "src", "size", "copies"))
+    whole = docs.select(whole_row(docs).alias("row"))
+    key, source, text = (F.col("row").getField(position(docs, c)) for c in (id_col, source_col, text_col))
+    match = key.eqNullSafe(F.col("id")) & source.eqNullSafe(F.col("src")) & (word_count(text) == F.col("size"))
+    rows = whole.join(units.hint("shuffle_hash"), match).select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return unpacked(rows, docs)

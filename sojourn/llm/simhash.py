@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sojourn.llm import kernels
+from sojourn.llm.columns import position, unpacked, whole_row
 from sojourn.llm.components import components
 from sojourn.operators.work import settle
 
@@ -171,11 +172,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 3) -> DataFrame:
-    """The first document of each component, all columns kept. Rows with equal id and text are one."""
+    """The first document of each component, all columns kept. Rows with equal id and text are
+    one: of these the row whose other columns are smallest as JSON text, NULL last, stays."""
     found = settle(near_duplicates(docs, id_col, text_col, shingle, max_bits).select("id", "row", "label"))
-    first = found.groupBy("label").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("f")).select(F.col("f.id").alias("__id"), F.col("f.row").alias("__row"))
-    tagged = docs.withColumn("__key", F.xxhash64(F.col(id_col), F.col(text_col)))
-    kept = tagged.join(first, (F.col("__key") == F.col("__row")) & F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
+    first = found.groupBy("label").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("f")).select(F.col("f.id").alias("id"), F.col("f.row").alias("key"))
+    whole = docs.select(whole_row(docs).alias("row"))
+    own_id, text = (F.col("row").getField(position(docs, c)) for c in (id_col, text_col))
+    kept = whole.join(first, own_id.eqNullSafe(F.col("id")) & (F.xxhash64(own_id, text) == F.col("key")))
     if not found.groupBy("id", "row").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates([id_col, "__key"])
-    return kept.drop("__key")
+        others = [F.col("row").getField(position(docs, c)) for c in docs.columns if c not in (id_col, text_col)]
+        order = F.concat_ws("\0", *[F.coalesce(F.to_json(F.struct(c.alias("v"))), F.lit("")) for c in others]) if others else F.lit("")
+        kept = kept.groupBy("id", "key").agg(F.min_by("row", order).alias("row"))
+    return unpacked(kept, docs)
