@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sojourn.llm.columns import let
+from sojourn.operators.skew import keyed_join
 from sojourn.operators.work import scratch_path, settle
 
 
@@ -49,6 +50,8 @@ BASE_RULES = (
     Rule("access", "AKIA[A-Z0-9]{16,}", 0, 20, "AKIA[A-Z0-9]{16}"),
     Rule("hex", "[0-9a-f]{24,}", 0, 24, "[0-9a-f]{24}"),
 )
+#: Matches of one short list; a text of n matches costs about n * (CHUNK + n / CHUNK**2) copies.
+CHUNK = 128
 #: Parts of the table that the query's ledger meets one after another.
 PARTS = 3
 LEDGER = "blob string, rule string, version int, spans array<struct<start: int, end: int>>"
@@ -64,8 +67,6 @@ def spans(text: Column, rule: Rule) -> Column:
     pattern = F.lit(rule.pattern)
 
     def walk(found: Column, between: Column, sized: Column) -> Column:
-        start = F.struct(F.lit(0).alias("at"), none.alias("out"))
-
         def step(a: Column, i: Column) -> Column:
             begin = a["at"] + F.length(F.get(between, i))
             end = begin + F.length(F.get(found, i))
@@ -73,7 +74,14 @@ def spans(text: Column, rule: Rule) -> Column:
             kept = F.length(F.get(sized, i)) >= rule.least
             return F.struct(end.alias("at"), F.when(kept, F.array_append(a["out"], span)).otherwise(a["out"]).alias("out"))
 
-        return F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, step, lambda a: a["out"])
+        # Appending copies a list, so matches go to short lists, and these to the list of lists.
+        def chunk(a: Column, first: Column) -> Column:
+            own = F.aggregate(F.sequence(first, F.least(first + (CHUNK - 1), F.size(found) - 1)), F.struct(a["at"].alias("at"), none.alias("out")), step)
+            return let(own, lambda o: F.struct(o["at"].alias("at"), F.array_append(a["out"], o["out"]).alias("out")))
+
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<start: int, end: int>>>").alias("out"))
+        firsts = F.sequence(F.lit(0), F.greatest(F.size(found) - 1, F.lit(0)), F.lit(CHUNK))
+        return F.when(F.size(found) == 0, none).otherwise(F.aggregate(firsts, start, chunk, lambda a: F.flatten(a["out"])))
 
     whole = F.regexp_extract_all(text, pattern, F.lit(0))
     group = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else None
@@ -127,9 +135,11 @@ def findings(docs: DataFrame, ledger: DataFrame, rules=BASE_RULES, id_col: str =
     each = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), F.col("kind").alias("kind"), s["end"].alias("end"), F.col("rule").alias("name")))
     found = current.where(F.size("spans") > 0).withColumn("kind", kind).select("blob", each.alias("s"))
     found = found.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("s"))).alias("spans"))
-    paths = docs.select(F.col(id_col).alias("id"), blob_of(F.col(text_col)).alias("blob"))
+    # Many paths may share a blob, such as the empty text; they are spread over salts.
+    paths = settle(docs.select(F.col(id_col).alias("id"), blob_of(F.col(text_col)).alias("blob")))
     none = F.array().cast("array<struct<start: int, kind: int, end: int, name: string>>")
-    return paths.join(found, "blob", "left").select("id", "blob", F.coalesce("spans", none).alias("spans"))
+    joined_paths = keyed_join(paths, found, "blob", salt_by=["id"], how="left")
+    return joined_paths.select("id", "blob", F.coalesce("spans", none).alias("spans"))
 
 
 def joined(found: Column) -> Column:
