@@ -27,7 +27,8 @@ number with the corpus, not in size.
 Defined results. Null and empty texts have no bytes and nothing to remove. A document
 shorter than the depth keeps everything. Only a strictly smaller id removes, so rows that
 share an id do not remove from each other; a null id counts as larger than all others and
-two null ids as equal. Extra columns never matter.
+two null ids as equal. Texts may be of any length; one text is held by one task, at about
+ten bytes of memory a byte. Extra columns never matter.
 """
 
 from __future__ import annotations
@@ -51,6 +52,8 @@ DEPTH, GRAM = 50, 16
 BATCH_BYTES = 4 << 20
 BUCKET_BYTES = 8 << 20
 CHUNK_BYTES = 1 << 20
+#: Part of a long document that is cut into stretches at a time; at most 2^28.
+SEGMENT_BYTES = 32 << 20
 HOT_DOCS = 10_000
 KEY_BITS = 48
 SORT_ROWS = 1 << 19
@@ -126,8 +129,6 @@ def _stretches(data: np.ndarray, offsets: np.ndarray, lo: int, hi: int):
     grams = kernels.scramble(kernels.scramble(at[: n + DEPTH]) + at[GRAM // 2 : n + DEPTH + GRAM // 2])
     del at
     low = np.uint64((1 << 28) - 1)
-    if n > int(low):
-        raise ValueError("a document is limited to 256 MB")
     # Equal hashes: the leftmost gram is the anchor, as position fills the low bits.
     best = grams & ~low
     best |= np.arange(len(grams), dtype=np.uint64)
@@ -145,12 +146,24 @@ def _stretches(data: np.ndarray, offsets: np.ndarray, lo: int, hi: int):
     return windows[fresh] + base, doc[fresh], np.diff(np.r_[fresh, len(windows)]), kernels.scramble(grams[anchor[fresh]]) >> np.uint64(64 - KEY_BITS)
 
 
+def _segments(data: np.ndarray, offsets: np.ndarray, lo: int, hi: int):
+    """``_stretches`` of documents lo to hi; a longer document goes in segments that overlap by
+    DEPTH - 1 bytes, as every window, and so its anchor, lies whole in one of them."""
+    if offsets[hi] - offsets[lo] <= SEGMENT_BYTES or hi - lo > 1:
+        yield _stretches(data, offsets, lo, hi)
+        return
+    for at in range(int(offsets[lo]), int(offsets[hi]), SEGMENT_BYTES):
+        part = data[at : min(at + SEGMENT_BYTES + DEPTH - 1, int(offsets[hi]))]
+        start, doc, count, key = _stretches(part, np.array([0, len(part)]), 0, 1)
+        yield start + at, doc + lo, count, key
+
+
 class Stretches:
     """The stretches of windows with one anchor, of all documents of a batch."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         self.data = data
-        parts = [_stretches(data, offsets, lo, hi) for lo, hi in kernels.row_chunks(offsets, CHUNK_BYTES)]
+        parts = [part for lo, hi in kernels.row_chunks(offsets, CHUNK_BYTES) for part in _segments(data, offsets, lo, hi)]
         self.start, self.doc, self.count, self.key = (np.concatenate(c) for c in zip(*parts)) if parts else (np.zeros(0, t) for t in (int, int, int, np.uint64))
 
     @cached_property
