@@ -360,3 +360,20 @@ def gaps_between_admissions(spark, sf_dir):
     """Days to the person's next distinct admission day."""
     days = claims(spark, sf_dir).filter(cohort.inpatient(CONFIG)).select("subject_id", "start_dt").distinct()
     return select.gap_to_next(days, "subject_id", "start_dt")
+
+
+@query(prelude=CLAIMS, sql="""
+SELECT 0 AS source_seq, count(*) FILTER (form_cd <> '03') AS n_rows, count(*) FILTER (form_cd = '03') AS n_bad, count(*) FILTER (form_cd = '03') AS n_quarantined FROM claims""")
+def malformed_rows(spark, sf_dir):
+    """Claims written as CSV with one field of every third-form claim broken: rows read, lines left
+    out, and lines in the quarantine."""
+    events = claims(spark, sf_dir)
+    raw = events.select(
+        F.col("subject_id").cast("string").alias("RN_INDI"), F.date_format("start_dt", "yyyyMMdd").alias("MDCARE_STRT_DT"), F.col("form_cd").alias("FORM_CD"),
+        F.when(F.col("form_cd") == "03", F.lit("x7")).otherwise(F.col("los").cast("string")).alias("VSHSP_DD_CNT"),
+    )
+    path = work.scratch_path(spark)
+    tables.write_table(raw, path)
+    report = tables.file_report(spark, path, tables.CLAIM_SCHEMA).groupBy("source_seq").agg(F.sum("n_rows").alias("n_rows"), F.sum("n_bad").alias("n_bad"))
+    left_out = tables.quarantine(spark, path, tables.CLAIM_SCHEMA).groupBy("source_seq").agg(F.count("*").alias("n_quarantined"))
+    return report.join(left_out, "source_seq", "left").na.fill(0, ["n_quarantined"])

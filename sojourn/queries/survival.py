@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sojourn import features, lookback
+from sojourn import features, lookback, tte
 from sojourn.config import COMORBIDITIES, LANDMARK_DAYS, LANDMARK_LABELS
+from sojourn.functions.dates import ym
 from sojourn.operators.work import settle
 from sojourn.plans import study
 from sojourn.queries.cohorts import horizon_table
-from sojourn.queries.reference_sql import COHORT, chi2_sf, cox_steps, hazard_columns, ldl, r, solve
+from sojourn.queries.reference_sql import COHORT, END, chi2_sf, cox_steps, hazard_columns, ldl, r, solve
 from sojourn.queries.registry import query, rounded
 from sojourn.sources.binding import CONFIG, claims, persons
-from sojourn.stats import concordance, cox, forest, km, logrank, zph
+from sojourn.stats import concordance, cox, forest, incidence, km, logrank, zph
 
 SEX = cox.Factor("sex_f", ("M", "F"))
 HX = [cox.Factor(name, ("No", "Yes")) for name in COMORBIDITIES]
@@ -309,6 +310,43 @@ def cox_main_ph_test(spark, sf_dir):
     return rounded(zph.ph_test(cox.cox_fit(model_table(spark, sf_dir), MAIN)))
 
 
+_mean = f"xm AS (SELECT t, {', '.join(f'avg(a1_{k} / a0) AS c{k}' for k in range(4))} FROM pieces GROUP BY 1)"
+_residual = [f"(x{k} - m{k} - c{k})" for k in range(4)]
+_scaled = [f"b{k} + (SELECT sum(d) FROM ft) * (" + " + ".join(f"w{min(k, j)}_{max(k, j)} * {_residual[j]}" for j in range(4)) + ")" for k in range(4)]
+
+
+@query(prelude=COHORT, sql=f"{_main}, {_mean} " + " UNION ALL ".join(
+    f"""SELECT "time", CAST(n AS BIGINT) AS n, '{name}' AS term, {r(_residual[k], 'residual')}, {r(_scaled[k], 'scaled', 4)} FROM g JOIN xm ON g."time" = xm.t, fit WHERE event = 1"""
+    for k, name in enumerate(["age10", "sex_fF", "los", "hx_htnYes"])
+))
+def cox_main_residuals(spark, sf_dir):
+    """Schoenfeld residuals of the main model, plain and scaled, per event and coefficient."""
+    found = zph.schoenfeld_residuals(cox.cox_fit(model_table(spark, sf_dir), MAIN))
+    return rounded(found.withColumn("scaled", F.round("scaled", 4)))
+
+
+_competing = f"""cr AS (SELECT CASE WHEN first_after_discharge <= lim THEN first_after_discharge ELSE lim END AS e,
+  CASE WHEN first_after_discharge <= lim THEN 1 WHEN death <= {END} THEN 2 ELSE 0 END AS ev, index_discharge AS b, least(CAST(index_discharge + INTERVAL 3 YEAR AS DATE), {END}) AS cutoff
+  FROM (SELECT *, least(coalesce(death, {END}), {END}) AS lim FROM (SELECT *, last_day(CAST(try_strptime(death_yyyymm, '%Y%m') AS DATE)) AS death FROM tbl))),
+ct AS (SELECT CAST(greatest(0, date_diff('day', b, least(e, cutoff))) AS INT) AS "time", CASE WHEN e <= cutoff THEN ev ELSE 0 END AS ev FROM cr),
+cc AS (SELECT "time", count(*) AS c, count(*) FILTER (ev = 1) AS d1, count(*) FILTER (ev = 2) AS d2 FROM ct WHERE "time" IS NOT NULL GROUP BY 1),
+cn AS (SELECT *, CAST(sum(c) OVER (ORDER BY "time" DESC) AS BIGINT) AS n FROM cc),
+cs AS (SELECT *, exp(sum(CASE WHEN d1 + d2 < n THEN ln(1 - (d1 + d2) / n::DOUBLE) ELSE 0 END) OVER (ORDER BY "time")) AS s1,
+  max(CASE WHEN d1 + d2 < n THEN 0 ELSE 1 END) OVER (ORDER BY "time") AS ended FROM cn),
+cb AS (SELECT *, coalesce(lag(s1) OVER (ORDER BY "time"), 1) AS before, CASE WHEN ended = 1 THEN 0 ELSE s1 END AS surv FROM cs),
+ci AS (SELECT *, sum(before * d1 / n) OVER (ORDER BY "time") AS i1, sum(before * d2 / n) OVER (ORDER BY "time") AS i2 FROM cb)"""
+
+
+@query(prelude=COHORT, sql=f"""{_competing.join([', ', ''])}
+SELECT "time", 1 AS cause, n AS n_risk, d1 AS n_event, {r('i1', 'incidence')}, {r('surv', 'surv')} FROM ci
+UNION ALL SELECT "time", 2, n, d2, {r('i2', 'incidence')}, {r('surv', 'surv')} FROM ci""")
+def cumulative_incidence(spark, sf_dir):
+    """Readmission (1) with death (2) as a competing event, taken at the end of its month."""
+    people = study.person_table(claims(spark, sf_dir), persons(spark, sf_dir), CONFIG).withColumn("death_dt", F.last_day(ym("death_yyyymm")))
+    timed = tte.apply_horizon(tte.time_to_event(people, CONFIG, censor_at="death_dt", competing=2), CONFIG)
+    return rounded(incidence.cumulative_incidence(settle(timed.select("time", "event"))))
+
+
 _forest = [("age10", "", "age10", 0, "TRUE"), ("sex_f", "M", "sex_fM", None, "sex_f = 'M'"), ("sex_f", "F", "sex_fF", 1, "sex_f = 'F'"),
            ("los", "", "los", 2, "TRUE"), ("hx_htn", "No", "hx_htnNo", None, "hx_htn = 'No'"), ("hx_htn", "Yes", "hx_htnYes", 3, "hx_htn = 'Yes'")]
 

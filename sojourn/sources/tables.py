@@ -69,18 +69,52 @@ def read_files(spark: SparkSession, paths, schema: T.StructType, fmt: str = "csv
     return append(*frames, seq="source_seq")
 
 
-def _read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """All files under ``path``, each by its own header; files with equal headers are read together."""
-    lines = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("at"))
-    first = lines.filter("file_block_start = 0").groupBy("file_path").agg(F.min_by("value", "at").alias("header"))
-    headers = first.groupBy("header").agg(F.sort_array(F.collect_list("file_path")).alias("files")).orderBy("header").collect()
+CORRUPT = "__line"
+
+
+def _parse_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """(file, line, bad, columns…) of all lines under ``path`` but the headers, each by its own
+    file's header. Only the distinct headers come to the driver, never a list of files."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), "_metadata.file_block_start", F.monotonically_increasing_id().alias("at"))
+    first = lines.filter("file_block_start = 0").groupBy("file").agg(F.min(F.struct("at", "value")).alias("h")).select("file", F.col("h.at").alias("header_at"), F.col("h.value").alias("header"))
+    body = lines.join(first, "file").filter(F.col("at") != F.col("header_at")).filter(F.trim("value") != "")
     frames = []
-    for row in headers:
-        header = spark.read.csv(row["files"][0], header=True).schema.fieldNames()
-        as_read = T.StructType([schema[n] if n in schema.fieldNames() else T.StructField(n, T.StringType()) for n in header])
-        rows = spark.read.schema(as_read).csv(row["files"], header=True, mode="PERMISSIVE")
-        frames.append(rows.select(*[n for n in schema.fieldNames() if n in header]))
-    return append(*frames) if frames else spark.createDataFrame([], schema)
+    for row in first.select("header").distinct().orderBy("header").collect():
+        names = spark.createDataFrame([(row["header"],)], "h string").select(F.from_csv("h", ", ".join(f"c{i} string" for i in range(row["header"].count(",") + 1)))).first()[0]
+        kinds: dict[str, str] = {}
+        for i, n in enumerate(names[: max((i + 1 for i, n in enumerate(names) if n is not None), default=0)]):
+            n = (n or "").lstrip("\ufeff").strip()
+            kinds[n if n and n not in kinds else f"__{i}"] = schema[n].dataType.simpleString() if n in schema.fieldNames() else "string"
+        as_read = ", ".join([*[f"`{n}` {k}" for n, k in kinds.items()], f"`{CORRUPT}` string"])
+        parsed = F.from_csv("value", as_read, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+        own = body.filter(F.col("header") == row["header"]).select("file", "value", parsed.alias("r"))
+        frames.append(own.select("file", F.col("value").alias("line"), F.col(f"r.{CORRUPT}").isNotNull().alias("bad"), *[F.col(f"r.`{n}`").alias(n) for n in schema.fieldNames() if n in kinds]))
+    if not frames:
+        return spark.createDataFrame([], T.StructType([T.StructField("file", T.StringType()), T.StructField("line", T.StringType()), T.StructField("bad", T.BooleanType()), *schema.fields]))
+    return append(*frames)
+
+
+def _read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The well-formed rows of all files under ``path``."""
+    parsed = _parse_csv(spark, path, schema)
+    return parsed.filter(~F.col("bad")).drop("file", "line", "bad")
+
+
+def quarantine(spark: SparkSession, paths, schema: T.StructType) -> DataFrame:
+    """(source_seq, file, line): lines that ``read_files`` leaves out, as they stand.
+
+    A line is malformed if it has more or fewer fields than its header, or a field that is
+    not of its column's type.
+    """
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    return append(*[_parse_csv(spark, p, schema).filter("bad").select("file", "line") for p in paths], seq="source_seq")
+
+
+def file_report(spark: SparkSession, paths, schema: T.StructType) -> DataFrame:
+    """(source_seq, file, n_rows, n_bad): rows read and lines left out, per file."""
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    counted = [_parse_csv(spark, p, schema).groupBy("file").agg(F.count_if(~F.col("bad")).alias("n_rows"), F.count_if("bad").alias("n_bad")) for p in paths]
+    return append(*counted, seq="source_seq")
 
 
 def renamed(df: DataFrame, names: dict[str, str]) -> DataFrame:

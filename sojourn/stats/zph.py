@@ -1,5 +1,6 @@
 """Test of proportional hazards: score test for a trend of each coefficient with a
-transform of time (one minus the survival just before the event time)."""
+transform of time (one minus the survival just before the event time); and the residuals
+behind it, a row per event and coefficient."""
 
 from __future__ import annotations
 
@@ -42,3 +43,29 @@ def ph_test(fit: CoxFit, blocks: int | None = None) -> DataFrame:
     rows.append((len(rows), "GLOBAL", float(u @ np.linalg.pinv(schur) @ u), p))
     out = fit.spark.createDataFrame(rows, "position int, term string, chisq double, df int")
     return out.withColumn("p", chi2_sf("chisq", "df"))
+
+
+def schoenfeld_residuals(fit: CoxFit, blocks: int | None = None) -> DataFrame:
+    """(time, n, term, residual, scaled): what an event's covariate exceeds its mean over those at
+    risk by, for ``n`` events with equal time and covariates, and each coefficient.
+
+    The mean comes from the per-time sums, averaged over the steps of tied events, so a
+    coefficient's residuals sum to its score, zero at the estimate. ``scaled`` multiplies an event's
+    residuals by the covariance matrix and the number of events and adds the coefficient:
+    its trend in time is that of the coefficient.
+    """
+    p, blocks = len(fit.beta), fit.blocks if blocks is None else blocks
+    centred = fit.centred()
+    events = fit.counts.where("event = 1").selectExpr("time AS event_time", "n", *[f"{c} AS z{i}" for i, c in enumerate(centred)])
+    sums = events.groupBy("event_time").agg(F.sum("n").alias("d"), *[F.sum(F.col("n") * F.col(f"z{i}")).alias(f"sx{i}") for i in range(p)])
+    at = per_time(fit.counts, fit.predictor(), centred, blocks=blocks).select("time", *[f"u{i}" for i in range(p)])
+    means = sums.join(at, F.col("event_time") == F.col("time")).select("time", *[((F.col(f"sx{i}") - F.col(f"u{i}")) / F.col("d")).alias(f"m{i}") for i in range(p)])
+    rows = events.join(means, F.col("event_time") == F.col("time"))
+    rows = rows.select("time", "n", *[(F.col(f"z{i}") - F.col(f"m{i}")).alias(f"r{i}") for i in range(p)])
+    each = []
+    for i, name in enumerate(fit.names):
+        scaled = F.lit(float(fit.beta[i]))
+        for j in range(p):
+            scaled = scaled + F.lit(float(fit.events * fit.vcov[i, j])) * F.col(f"r{j}")
+        each.append(F.struct(F.lit(name).alias("term"), F.col(f"r{i}").alias("residual"), scaled.alias("scaled")))
+    return rows.select("time", "n", F.inline(F.array(*each)))

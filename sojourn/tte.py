@@ -11,13 +11,24 @@ from sojourn.functions.logic import row_max, row_min
 from sojourn.operators.quantiles import exact_quantiles
 
 
-def time_to_event(persons: DataFrame, cfg: StudyConfig) -> DataFrame:
-    """Add ``start`` (index discharge), ``end`` (event, else study end) and ``event``."""
-    seen = F.col("first_after_discharge").isNotNull()
+def time_to_event(persons: DataFrame, cfg: StudyConfig, censor_at: str | None = None, competing: int = 0) -> DataFrame:
+    """Add ``start`` (index discharge), ``end`` (event, else study end) and ``event``.
+
+    ``censor_at`` names a date column, such as the day of death, after which no event can be
+    seen; it ends follow-up with the event ``competing`` (0: censored). A first event on that
+    day counts.
+    """
+    first, last = F.col("first_after_discharge"), F.lit(cfg.study_end)
+    seen, other = first.isNotNull(), F.lit(0)
+    if censor_at is not None:
+        stop = F.col(censor_at)
+        last = F.least(F.coalesce(stop, last), last)
+        seen = F.coalesce(first <= last, F.lit(False))
+        other = F.when(stop <= F.lit(cfg.study_end), competing).otherwise(0)
     out = persons.withColumns({
         "start": F.col("index_discharge"),
-        "end": F.coalesce(F.col("first_after_discharge"), F.lit(cfg.study_end)),
-        "event": seen.cast("int"),
+        "end": F.when(seen, first).otherwise(last),
+        "event": F.when(seen, 1).otherwise(other).cast("int"),
     })
     return out.withColumn("diff_days_raw", days_between("start", "end"))
 
@@ -27,7 +38,7 @@ def apply_horizon(tte: DataFrame, cfg: StudyConfig) -> DataFrame:
     An event on the cutoff day still counts; time is never negative."""
     cutoff = row_min(years_after("start", cfg.horizon_years), F.lit(cfg.study_end))
     out = tte.withColumn("cutoff", cutoff)
-    event = F.when((F.col("event") == 1) & (F.col("end") <= F.col("cutoff")), 1).otherwise(0)
+    event = F.when((F.col("event") > 0) & (F.col("end") <= F.col("cutoff")), F.col("event")).otherwise(0)
     out = out.withColumns({"event": event, "end": row_min("end", "cutoff")})
     return out.withColumn("time", row_max(F.lit(0), days_between("start", "end")))
 

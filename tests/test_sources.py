@@ -56,3 +56,18 @@ def test_source_types_must_agree(spark, tmp_path):
 
     with pytest.raises(TypeError):
         append(spark.createDataFrame([(1,)], "a int"), spark.createDataFrame([("x",)], "a string"))
+
+
+def test_malformed_lines_go_to_the_quarantine_and_nowhere_else(spark, tmp_path):
+    folder = tmp_path / "claims"
+    folder.mkdir()
+    write(folder, "a.csv", "RN_INDI,FORM_CD,VSHSP_DD_CNT\n1,02,3\n2,02,many\n3,02\n4,02,5,6\n5,,\n\n")
+    write(folder, "b.csv", "VSHSP_DD_CNT,,RN_INDI\n7,x,8\n,y,9\nbad,z,10\n")
+    write(folder, "c.csv", "RN_INDI,FORM_CD,VSHSP_DD_CNT\n")
+    other = write(tmp_path, "d.csv", 'RN_INDI,SICK_SYM1\n11,"I20, unspecified"\n')
+    rows = tables.read_files(spark, [str(folder), other], tables.CLAIM_SCHEMA).collect()
+    assert sorted((r.RN_INDI, r.VSHSP_DD_CNT, r.source_seq) for r in rows) == [("1", 3, 0), ("11", None, 1), ("5", None, 0), ("8", 7, 0), ("9", None, 0)]
+    left_out = tables.quarantine(spark, [str(folder), other], tables.CLAIM_SCHEMA).collect()
+    assert sorted((r.source_seq, r.file.rsplit("/", 1)[1], r.line) for r in left_out) == [(0, "a.csv", "2,02,many"), (0, "a.csv", "3,02"), (0, "a.csv", "4,02,5,6"), (0, "b.csv", "bad,z,10")]
+    report = tables.file_report(spark, [str(folder), other], tables.CLAIM_SCHEMA).collect()
+    assert sorted((r.file.rsplit("/", 1)[1], r.n_rows, r.n_bad) for r in report) == [("a.csv", 2, 3), ("b.csv", 2, 1), ("d.csv", 1, 0)]
