@@ -24,7 +24,7 @@ from sojourn.llm import (
 )
 from sojourn.llm.components import components
 from sojourn.llm.queries import QUERIES, tokenizer_path
-from sojourn.operators.work import scratch_path
+from sojourn.operators.work import scratch_path, settle
 
 SCHEMA = "doc_id long, text string, source string, n_words string, id int, size string, blob string, spans string, line string, s string, row string"
 SPACE = r"[^\x20\x09-\x0D]+"
@@ -544,7 +544,7 @@ def test_query_advances_one_ledger_over_parts(spark, tmp_path, monkeypatch):
     known, plain = [], secret_ledger.scan_new
 
     def spy(docs, ledger, *more):
-        new = plain(docs, ledger, *more).localCheckpoint()
+        new = settle(plain(docs, ledger, *more))
         pairs = {(r.blob, r.rule) for r in ledger.collect()}
         held = {r.blob for r in docs.select(secret_ledger.blob_of(docs.text).alias("blob")).collect()}
         known.append((len(held & {b for b, _ in pairs}), new.count()))
