@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,15 +13,25 @@ _written: list[str] = []
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names for checkpoints, or else one inside the warehouse.
 
-    Never a folder of the driver's machine alone: executors could not read it.
+    The warehouse may be a folder of the driver's machine, which executors on other
+    machines could not read: on a cluster that names no checkpoint folder this warns.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         chosen = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = chosen.get() if chosen.isDefined() else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
+        if chosen.isDefined():
+            return chosen.get().rstrip("/")
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
+        if _is_local(folder) and not spark.sparkContext.master.startswith("local"):
+            warnings.warn(f"scratch goes to {folder}, a local folder; set spark.checkpoint.dir to shared storage", stacklevel=2)
     return folder.rstrip("/")
 
 
+def _is_local(folder: str) -> bool:
+    """Whether a path is on the machine's own file system."""
+    return ":" not in folder.split("/")[0] or folder.startswith("file:")
+
+
 def scratch_path(spark: SparkSession) -> str:
     """A new path in the shared folder; ``release`` removes what was written there."""
     path = f"{shared_folder(spark)}/sojourn-{uuid.uuid4().hex}"

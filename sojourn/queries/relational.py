@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from datetime import date
 
 from pyspark.sql import functions as F
@@ -23,7 +22,7 @@ from sojourn.stats import profile
 def person_files(spark, sf_dir):
     """Persons written as one birth file and two eligibility files, then read and merged."""
     people = persons(spark, sf_dir)
-    folder = f"{work.shared_folder(spark)}/persons-{uuid.uuid4().hex}"
+    folder = work.scratch_path(spark)
     birth = people.select(*[F.col(new).alias(old) for old, new in tables.BIRTH_NAMES.items()])
     sex = people.select(*[F.col(new).alias(old) for old, new in tables.ELIGIBILITY_NAMES.items()])
     tables.write_table(birth, f"{folder}/birth")
@@ -44,7 +43,7 @@ def claim_files(spark, sf_dir):
     names = {v: k for k, v in tables.CLAIM_NAMES.items()}
     events = claims(spark, sf_dir).withColumn("start_text", F.date_format("start_dt", "yyyyMMdd"))
     raw = events.select("start_dt", *[F.col(c).alias(names[c]) for c in names if c in events.columns])
-    folder = f"{work.shared_folder(spark)}/claims-{uuid.uuid4().hex}"
+    folder = work.scratch_path(spark)
     early = F.col("start_dt") < F.lit(date(1999, 1, 1))
     tables.write_table(raw.filter(early).drop("start_dt"), f"{folder}/early")
     tables.write_table(raw.filter(~early).drop("start_dt"), f"{folder}/late")

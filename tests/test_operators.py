@@ -113,3 +113,9 @@ def test_settle(spark):
     kept = work.settle(df)
     assert kept.columns == df.columns and kept.agg(F.sum("x")).first()[0] == 90
     assert work.settle(df.filter("id < 0")).count() == 0
+
+
+def test_local_scratch_is_told_apart():
+    from sojourn.operators import work
+
+    assert [work._is_local(p) for p in ("/tmp/w/scratch", "file:/tmp/w", "file:///tmp", "hdfs://n/w", "s3a://b/w", "viewfs://x/y")] == [True, True, True, False, False, False]
