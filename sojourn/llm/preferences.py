@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sojourn.operators.work import settle
+
 
 def rendered(role: Column, text: Column) -> Column:
     """One turn; a marker inside a text is broken up so that it cannot pass for one."""
@@ -37,7 +39,7 @@ def format_pairs(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     """pair, part (prompt, chosen, rejected), turn, role, rendered, train; inputs have pair, turn, role, text."""
     both = turns(chosen, "chosen").join(turns(rejected, "rejected"), ["pair", "turn"], "full")
     differs = F.col("chosen").isNull() | F.col("rejected").isNull() | ~F.col("chosen").eqNullSafe(F.col("rejected"))
-    both = both.withColumn("differs", differs)
+    both = settle(both.withColumn("differs", differs))
     first = both.where("differs").groupBy("pair").agg(F.min("turn").alias("cut"))
     placed = both.join(first, "pair", "left")
     shared = F.col("cut").isNull() | (F.col("turn") < F.col("cut"))
@@ -51,12 +53,20 @@ def format_pairs(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
 
 
 def echo_pairs(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text"):
-    """(chosen, rejected) made from plain conversations: each up to its last assistant turn,
-    and the same with that answer replaced by the text of the turn before it."""
+    """(chosen, rejected) made from plain conversations.
+
+    Chosen is a conversation up to its last assistant turn. Rejected has one answer replaced
+    by the text of the turn before it (empty if there is none), by the conversation's CRC-32
+    modulo 3: 0, the last answer; 1, the first one, and it ends there; 2, the first one, and
+    it goes on like the chosen side. Conversations without an assistant turn give no pair.
+    """
     rows = conversations.select(F.col(conv).alias("pair"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
-    rows = turns(rows, "t").select("pair", "turn", "t.role", "t.text")
-    last = rows.where("role = 'assistant'").groupBy("pair").agg(F.max("turn").alias("last"))
-    chosen = rows.join(last, "pair").where("turn <= last")
-    before = chosen.where("turn < last").groupBy("pair").agg(F.max(F.struct("turn", "text")).alias("b")).select("pair", F.col("b.text").alias("echo"))
-    rejected = chosen.join(before, "pair", "left").withColumn("text", F.when(F.col("turn") == F.col("last"), F.coalesce("echo", F.lit(""))).otherwise(F.col("text")))
-    return chosen.drop("last"), rejected.select("pair", "turn", "role", "text")
+    rows = settle(turns(rows, "t").select("pair", "turn", "t.role", "t.text"))
+    answers = rows.where("role = 'assistant'").groupBy("pair").agg(F.min("turn").alias("first"), F.max("turn").alias("last"))
+    kind = F.pmod(F.crc32(F.col("pair").cast("string")), F.lit(3))
+    ends = answers.select("pair", "last", F.when(kind == 0, F.col("last")).otherwise(F.col("first")).alias("at"), F.when(kind == 1, F.col("first")).otherwise(F.col("last")).alias("until"))
+    sides = rows.join(ends, "pair").where("turn <= last")
+    before = sides.where("turn < at").groupBy("pair").agg(F.max(F.struct("turn", "text")).alias("b")).select("pair", F.col("b.text").alias("echo"))
+    answer = F.when(F.col("turn") == F.col("at"), F.coalesce("echo", F.lit(""))).otherwise(F.col("text")).alias("text")
+    rejected = sides.where("turn <= until").join(before, "pair", "left").select("pair", "turn", "role", answer)
+    return sides.select("pair", "turn", "role", "text"), rejected

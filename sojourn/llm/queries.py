@@ -139,19 +139,26 @@ def op4_repeated_windows(spark, sf_dir):
     return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-@query("""
+CRC32_SQL = """xor(4294967295, list_reduce(
+  list_concat([4294967295::BIGINT], list_transform(range(1, length(CAST({0} AS VARCHAR)) + 1), lambda i: ascii(substr(CAST({0} AS VARCHAR), CAST(i AS INT), 1))::BIGINT)),
+  lambda a, x: list_reduce(list_concat([xor(a, x)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda b, y: CASE WHEN b % 2 = 1 THEN xor(b >> 1, 3988292384) ELSE b >> 1 END)))"""
+
+
+@query(f"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, 'unknown') AS role, text FROM (
     SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY role NULLS LAST, text NULLS LAST) AS r FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL) WHERE r = 1
-), last AS (SELECT conv_id, max(turn) AS last FROM turns WHERE role = 'assistant' GROUP BY conv_id),
-chosen AS (SELECT turns.*, last FROM turns JOIN last USING (conv_id) WHERE turn <= last),
-echo AS (SELECT conv_id, arg_max(coalesce(text, ''), turn) AS echo FROM chosen WHERE turn < last GROUP BY conv_id),
-sides AS (SELECT c.*, CASE WHEN turn = last THEN coalesce(echo, '') ELSE text END AS other FROM chosen c LEFT JOIN echo USING (conv_id)),
-cut AS (SELECT conv_id, min(turn) AS cut FROM sides WHERE text IS DISTINCT FROM other GROUP BY conv_id),
+), answers AS (
+  SELECT conv_id, min(turn) AS first, max(turn) AS last, {CRC32_SQL.format("conv_id")} % 3 AS kind FROM turns WHERE role = 'assistant' GROUP BY conv_id
+), ends AS (SELECT conv_id, last, CASE WHEN kind = 0 THEN last ELSE first END AS at_turn, CASE WHEN kind = 1 THEN first ELSE last END AS until FROM answers),
+chosen AS (SELECT * FROM turns JOIN ends USING (conv_id) WHERE turn <= last),
+echo AS (SELECT conv_id, arg_max(coalesce(text, ''), turn) AS echo FROM chosen WHERE turn < at_turn GROUP BY conv_id),
+sides AS (SELECT c.*, CASE WHEN turn = at_turn THEN coalesce(echo, '') ELSE text END AS other FROM chosen c LEFT JOIN echo USING (conv_id)),
+cut AS (SELECT conv_id, min(turn) AS cut FROM sides WHERE turn > until OR text IS DISTINCT FROM other GROUP BY conv_id),
 parts AS (
   SELECT conv_id, 'prompt' AS part, turn, role, text FROM sides LEFT JOIN cut USING (conv_id) WHERE cut IS NULL OR turn < cut
   UNION ALL SELECT conv_id, 'chosen', turn, role, text FROM sides JOIN cut USING (conv_id) WHERE turn >= cut
-  UNION ALL SELECT conv_id, 'rejected', turn, role, other FROM sides JOIN cut USING (conv_id) WHERE turn >= cut
+  UNION ALL SELECT conv_id, 'rejected', turn, role, other FROM sides JOIN cut USING (conv_id) WHERE turn >= cut AND turn <= until
 )
 SELECT conv_id, part, turn, role, '<|' || role || '|>' || chr(10) || replace(coalesce(text, ''), '<|', '< |') || '<|end|>' || chr(10) AS rendered,
        part <> 'prompt' AND role = 'assistant' AS train
@@ -170,11 +177,6 @@ def op8_line_dedup(spark, sf_dir):
     return found.select(F.col("id").alias("doc_id"), "n_lines", "n_removed", F.array_join("removed", ",").alias("removed_lines"))
 
 
-CRC32_SQL = """xor(4294967295, list_reduce(
-  list_concat([4294967295::BIGINT], list_transform(range(1, length(CAST({0} AS VARCHAR)) + 1), lambda i: ascii(substr(CAST({0} AS VARCHAR), CAST(i AS INT), 1))::BIGINT)),
-  lambda a, x: list_reduce(list_concat([xor(a, x)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda b, y: CASE WHEN b % 2 = 1 THEN xor(b >> 1, 3988292384) ELSE b >> 1 END)))"""
-
-
 @query(rf"""
 WITH turns AS (
   SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS t, turn FROM conversations WHERE conv_id IS NOT NULL
@@ -184,8 +186,7 @@ WITH turns AS (
 rebuilt AS (SELECT a.c, list_concat(coalesce(b.l[1:a.h], []), a.l[a.h + 1:]) AS l FROM convs a LEFT JOIN convs b ON b.c = a.c - a.c % 20),
 visits AS (
   SELECT c, len(l) AS n, d, l[1:d] AS k, CASE WHEN d > 0 THEN l[1:d - 1] END AS above,
-         CASE WHEN d > 0 THEN len(regexp_extract_all(l[d].t, '[^ 	-
-]+')) ELSE 0 END AS words
+         CASE WHEN d > 0 THEN len(regexp_extract_all(l[d].t, '[^\x20\x09-\x0D]+')) ELSE 0 END AS words
   FROM (SELECT c, l, unnest(generate_series(0, len(l))) AS d FROM rebuilt)
 ), nodes AS (
   SELECT k, any_value(d) AS depth, any_value(above) AS above, min(c) AS conv, count(*) AS n_convs, (count(*) - 1) * any_value(words) AS saved,

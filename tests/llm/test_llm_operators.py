@@ -389,6 +389,38 @@ def test_preferences(spark):
     assert preferences.format_pairs(frame([]), frame([])).count() == 0
 
 
+def test_echo_pairs_against_plain_python(spark):
+    rng = random.Random(3)
+    talks = {}
+    for c in range(150):
+        roles = [rng.choice(["user", "assistant", "tool", None]) for _ in range(rng.randrange(0, 9))]
+        talks[c] = [(t, r, rng.choice(["yes", "no", "", None, "a <|b"])) for t, r in enumerate(roles)]
+    rows = [(c, *t) for c, ts in talks.items() for t in ts]
+    schema = "conv_id long, turn long, role string, text string"
+    got = preferences.format_pairs(*preferences.echo_pairs(spark.createDataFrame(rows + rows[:5] + [(None, 1, "user", "x"), (3, None, "assistant", "x")], schema))).collect()
+    want, cuts, shorter = set(), 0, 0
+    for c, ts in talks.items():
+        answers = [t for t, r, _ in ts if r == "assistant"]
+        if not answers:
+            continue
+        kind = crc32(str(c).encode()) % 3
+        chosen = [(t, r or "unknown", x) for t, r, x in ts[: answers[-1] + 1]]
+        at = answers[-1] if kind == 0 else answers[0]
+        echo = (chosen[at - 1][2] or "") if at else ""
+        rejected = [(t, r, echo if t == at else x) for t, r, x in chosen][: at + 1 if kind == 1 else None]
+        n = 0
+        while n < min(len(chosen), len(rejected)) and chosen[n] == rejected[n]:
+            n += 1
+        cuts += n < answers[-1]
+        shorter += len(rejected) < len(chosen)
+        for part, side in (("prompt", chosen[:n]), ("chosen", chosen[n:]), ("rejected", rejected[n:])):
+            for t, r, x in side:
+                text = (x or "").replace("<|", "< |")
+                want.add((c, part, t, r, f"<|{r}|>\n{text}<|end|>\n", part != "prompt" and r == "assistant"))
+    assert cuts > 10 and shorter > 5
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
 def test_preferences_cut_early_and_end_unequally(spark):
     say = lambda i, n, side, cut: [(i, k, ("user", "assistant")[k % 2], f"{k}" if k < cut else f"{k} {side}") for k in range(n)]
     shapes = [(i, a, b, cut) for i, (a, b, cut) in enumerate([(6, 6, 1), (6, 3, 2), (2, 6, 0), (5, 4, 9), (4, 4, 9), (7, 9, 4)])]
