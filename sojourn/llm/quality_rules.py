@@ -28,7 +28,7 @@ from math import log2
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sojourn.llm.columns import SPACES, let, words
+from sojourn.llm.columns import SPACES, column, let, position, unpacked, whole_row, words
 from sojourn.operators.work import settle
 
 SYMBOLS = "#*$%&|<>"
@@ -280,3 +280,16 @@ def learn_from(docs: DataFrame, labels: DataFrame, settings: RuleSettings = Rule
 def keep_good(docs: DataFrame, rules: DecisionList, text_col: str = "text") -> DataFrame:
     """The documents that neither the base rule nor a learned rule rejects, all columns kept."""
     return docs.where(let(text_counts(F.col(text_col)), lambda s: ~base_failed(s) & rules.first_met(s).isNull()))
+
+
+def sift(docs: DataFrame, labels: DataFrame, settings: RuleSettings = RuleSettings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``keep_good`` by rules learned from the same documents.
+
+    Every text is counted once: the rows are settled with their counts beside them, the
+    learning reads ids and counts only, and the filter moves no row.
+    """
+    counted = settle(docs.select(whole_row(docs).alias("row"), text_counts(column(text_col)).alias("s")))
+    counts = counted.select(F.col("row").getField(position(docs, id_col)).alias(id_col), "s")
+    rules = learn(settle(training_rows(counts, labels, id_col)), settings)
+    s = F.col("s")
+    return unpacked(counted.where(~base_failed(s) & rules.first_met(s).isNull()), docs)

@@ -10,7 +10,7 @@ from pathlib import Path
 
 import pytest
 
-from sojourn.llm import decontaminate, line_dedup, mixing, repeated_windows, secret_ledger, simhash
+from sojourn.llm import decontaminate, line_dedup, mixing, quality_rules, repeated_windows, secret_ledger, simhash
 
 ROOT = Path(__file__).resolve().parents[2]
 NAMES = ["__words", "__key", "__id", "__removed", "__hits", "a.b", "row", "id", "version", "removed", "c0", "copies", "key", "weird `name`"]
@@ -51,6 +51,21 @@ def test_other_columns_stay_as_they_are(spark, wide):
     assert len(spans) == 40 and spans[3].strip() == "shared last line of all texts"
 
 
+def test_sift_keeps_what_its_rules_keep(spark, wide):
+    noisy = [(100 + i, "# $ % & " * 20 + f"tail {i}", "c", *[0] * len(NAMES)) for i in range(30)]
+    plain = [(200 + i, " ".join(f"w{i}x{k}" for k in range(60)), None, *[1] * len(NAMES)) for i in range(30)]
+    awkward = [(None, None, None, *[None] * len(NAMES)), (200, "too short", "c", *[2] * len(NAMES)), (None, plain[0][1], "d", *[3] * len(NAMES))]
+    docs = wide.unionByName(spark.createDataFrame(noisy + plain + awkward, wide.schema))
+    labels = spark.createDataFrame([(r[0], 0) for r in noisy] + [(r[0], 1) for r in plain] + [(None, 0), (7, None)], "doc_id long, quality int")
+    out = quality_rules.sift(docs, labels)
+    want = quality_rules.keep_good(docs, quality_rules.learn_from(docs, labels))
+    order = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    assert out.columns == docs.columns and order(out) == order(want)
+    kept = [r.doc_id for r in out.collect()]
+    assert sorted(i for i in kept if i is not None and i >= 100) == [200 + i for i in range(30)] and kept.count(None) == 1
+    assert quality_rules.sift(docs.limit(0), labels).columns == docs.columns and quality_rules.sift(docs.limit(0), labels).count() == 0
+
+
 def _near(a, b):
     if a == b:
         return True
