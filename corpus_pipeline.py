@@ -34,8 +34,7 @@ def _stage(fn):
 @_stage
 def quality(spark, docs, sf_dir):
     """Documents that the base rule and the learned decision list let pass."""
-    rules = quality_rules.learn_from(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality_rules.keep_good(docs, rules)
+    return quality_rules.sift(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 @_stage
