@@ -19,10 +19,11 @@ def _index(spark, sf_dir):
     return events, cohort.index_event(events, persons(spark, sf_dir), CONFIG)
 
 
-def _measured(spark, sf_dir, *measures, keep=True):
+def _measured(spark, sf_dir, *measures, keep=True, events=None):
     """Index persons with the given measures; with ``keep`` only included persons."""
     wanted = [*measures, *(cohort.exclusion_measures(CONFIG) if keep else [])]
-    people = study.flagged_persons(claims(spark, sf_dir), persons(spark, sf_dir), CONFIG, wanted)
+    events = claims(spark, sf_dir) if events is None else events
+    people = study.flagged_persons(events, persons(spark, sf_dir), CONFIG, wanted)
     return cohort.included(people) if keep else people
 
 
@@ -278,7 +279,9 @@ def time_to_event(spark, sf_dir):
 
 
 def horizon_table(spark, sf_dir, *measures):
-    people = _measured(spark, sf_dir, outcome.first_event(CONFIG, "discharge"), *measures)
+    # Written once: index, stay, heavy persons and link would each join order lines to orders.
+    events = settle(claims(spark, sf_dir))
+    people = _measured(spark, sf_dir, outcome.first_event(CONFIG, "discharge"), *measures, events=events)
     return tte.apply_horizon(tte.time_to_event(people, CONFIG), CONFIG)
 
 

@@ -26,7 +26,8 @@ TIME_BLOCKS = 1024
 
 
 def _ranked(df: DataFrame) -> DataFrame:
-    rows = df.groupBy("time", "event", "score").agg(F.sum("n").cast("double").alias("n"))
+    # Written before it is ranked: the ranks and the join with them would each compute the input again.
+    rows = settle(df.groupBy("time", "event", "score").agg(F.sum("n").cast("double").alias("n")))
     scores = rows.select("score").distinct()
     ranks = running_totals(scores, "score", {"rank": "1L"}, blocks=RANGE)
     return settle(rows.join(ranks, "score").select("time", "event", "n", (F.col("rank") - 1).cast("long").alias("rank")))

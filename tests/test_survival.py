@@ -1,11 +1,14 @@
 """Survival statistics on a published trial of remission times."""
 
 import math
+import random
+from datetime import date, timedelta
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sojourn.queries import survival
 from sojourn.stats import cox, forest, km, logrank
 from sojourn.stats.concordance import concordance, model_concordance
 from sojourn.stats.zph import ph_test
@@ -287,3 +290,45 @@ def test_published_model_summary():
     fit = cox.CoxFit(None, [], [], [], np.zeros(4), np.zeros(4), np.eye(4), np.eye(4), -50.203, -39.529, 21.836, 55, 13, 5, True, None)
     assert fit.lr == pytest.approx(21.349, abs=2e-3)
     assert fit.aic == pytest.approx(87.058, abs=1e-3) and fit.bic == pytest.approx(95.087, abs=1e-3)
+
+
+def test_concordance_computes_its_input_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def row(i):
+        seen.add(1)
+        return 1 + i % 7, i % 2, float(i % 5)
+
+    people = spark.createDataFrame(spark.sparkContext.parallelize(range(60), 3).map(row), "time int, event int, score double")
+    got = concordance(people).first()
+    rows = [(1 + i % 7, i % 2, i % 5) for i in range(60)]
+    pairs = [(s, z) for t, e, s in rows if e for u, f, z in rows if u > t or u == t and not f]
+    assert got["pairs"] == len(pairs) and got["concordance"] == pytest.approx(sum((s > z) + (s == z) / 2 for s, z in pairs) / len(pairs), rel=1e-12)
+    assert seen.value == 60
+
+
+def test_followup_joins_claims_once(spark, tmp_path):
+    start, rng = date(1997, 1, 1), random.Random(4)
+    people = [(c, rng.randrange(2, 15), rng.choice([None, 20, 45, 300])) for c in range(1, 19)]
+    orders, lines = [], []
+    for c, los, later in people:
+        for k, day in enumerate([0] if later is None else [0, los + later]):
+            orders.append((10 * c + k, c, start + timedelta(days=day), "F"))
+            lines.append((10 * c + k, 10, 1, 1, float(los), "A"))
+    tables = {
+        "customer": ([(c, c % 3) for c, *_ in people], "c_custkey long, c_nationkey int"),
+        "orders": (orders, "o_orderkey long, o_custkey long, o_orderdate date, o_orderstatus string"),
+        "lineitem": (lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_returnflag string"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    table = survival.followup(spark, str(tmp_path))
+    assert not [f for f in table.inputFiles() if "lineitem" in f or "orders" in f]
+    horizon = (date(2000, 1, 1) - start).days
+    want = {c: (los, horizon if later is None else later, int(later is not None)) for c, los, later in people}
+    got = {r.subject_id: (r.los, r.time, r.event) for r in table.collect()}
+    assert {c: (los, e) for c, (los, _, e) in got.items()} == {c: (los, e) for c, (los, _, e) in want.items()}
+    assert all(got[c][1] == want[c][1] for c in want if want[c][2]) and min(t for _, t, e in got.values() if not e) >= horizon
+    pairs = [(a, b) for a, t, e in got.values() if e for b, u, f in got.values() if u > t or u == t and not f]
+    row = survival.concordance_of_length_of_stay(spark, str(tmp_path)).first()
+    assert row["pairs"] == len(pairs) and row["concordance"] == pytest.approx(sum((a > b) + (a == b) / 2 for a, b in pairs) / len(pairs), abs=1e-6)
